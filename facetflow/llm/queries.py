@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from facetflow.llm import ann, chat, embedding_dedup, jaccard_join, mixing, packing, sharding, warc
+from facetflow.llm import ann, chat, embedding_dedup, jaccard_join, lm_scoring, mixing, packing, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_stupid_backoff": lm_scoring.op1_stupid_backoff,
     "op2_pivotal_mixing": mixing.op2_pivotal_mixing,
     "op3_pruned_graph_search": ann.op3_pruned_graph_search,
     "op4_multi_index_dedup": embedding_dedup.op4_multi_index_dedup,
     "op5_chat_format": chat.op5_chat_format,
+    "op6_toxicity_chain": toxicity.op6_toxicity_chain,
     "op7_minhash_jaccard_join": jaccard_join.op7_minhash_jaccard_join,
     "op8_hierarchical_packing": packing.op8_hierarchical_packing,
     "op9_external_shuffle": sharding.op9_external_shuffle,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_stupid_backoff": lm_scoring.SQL,
     "op4_multi_index_dedup": embedding_dedup.SQL,
     "op5_chat_format": chat.SQL,
     "op7_minhash_jaccard_join": jaccard_join.SQL,
