@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import batches_by_bytes, column_bytes, components, drop_table, mix, shingles, word_hashes, word_spans, write_table
+from facetflow.llm.common import batches_by_bytes, column_bytes, components, drop_table, map_arrow, mix, shingles, word_hashes, word_spans, write_table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_hash"), key, pa.array(np.diff(first)), lists], names=["doc_id", "text_hash", "key", "words", "bands"])
 
     rows_in = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows_in.mapInArrow(signed, "doc_id long, text_hash long, key binary, words long, bands array<long>")
+    return rows_in.transform(map_arrow, signed, "doc_id long, text_hash long, key binary, words long, bands array<long>")
 
 
 def _verified(words: int, similarity: float):
@@ -101,6 +101,7 @@ def _verified(words: int, similarity: float):
 
     def found(batches):
         now, held, index, labels, seen = None, {}, None, None, set()
+        links: np.ndarray | None = None  # of the kept classes, to classes that look in
         out: list[tuple[int, int, int | None]] = []
 
         def near(grams: np.ndarray) -> np.ndarray:
@@ -114,7 +115,8 @@ def _verified(words: int, similarity: float):
 
         def close():
             """Indexes the kept classes; links among them, and their components."""
-            nonlocal index, labels
+            nonlocal index, labels, links
+            links = np.zeros(len(held), np.int64)
             ids, sets = list(held), [s for _, s in held.values()]
             grams, owner = np.concatenate(sets), np.repeat(np.arange(len(ids)), [len(s) for s in sets])
             by = np.argsort(grams, kind="stable")
@@ -131,6 +133,12 @@ def _verified(words: int, similarity: float):
                         labels[np.isin(labels, joined)] = joined[0]
             out.extend((ids[k], 0, ids[labels[k]]) for k in range(len(ids)) if labels[k] != k)
 
+        def end():
+            """A block is over: each kept class gives its links to all that looked in as one row."""
+            if index is None:
+                close()
+            out.extend((rep, int(links[k]), None) for k, rep in enumerate(held) if links[k])
+
         for batch in batches:
             for low, high in batches_by_bytes(batch.column("text"), _TEXT_BYTES):
                 some = batch.slice(low, high - low)
@@ -142,8 +150,8 @@ def _verified(words: int, similarity: float):
                         continue  # another row with the id of the class's first
                     grams_k = np.unique(grams[begin[k] : begin[k + 1]])
                     if (component, block) != now:
-                        if held and index is None:
-                            close()
+                        if held:
+                            end()
                         now, held, index = (component, block), {}, None
                     if role == 0:
                         held.setdefault(rep, (n, grams_k))
@@ -153,19 +161,19 @@ def _verified(words: int, similarity: float):
                     if index is None:
                         close()
                         seen.clear()
+                        ids, sizes = list(held), np.array([x for x, _ in held.values()])
                     if rep in seen:
                         continue
                     seen.add(rep)
                     other = near(grams_k)
                     if len(other):
-                        ids, sizes = list(held), [x for x, _ in held.values()]
-                        out.append((rep, sum(sizes[j] for j in other), None))
-                        out.extend((ids[j], n, None) for j in other)
+                        links[other] += n
+                        out.append((rep, int(sizes[other].sum()), None))
                         out.extend((rep, 0, ids[j]) for j in np.unique(labels[other]))
                 if len(out) > 20_000:
                     yield flush(out)
-        if held and index is None:
-            close()
+        if held:
+            end()
         yield flush(out)
 
     def flush(out):
@@ -203,7 +211,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = S
     texts = texts.join(F.broadcast(candidates) if many <= BROADCAST_ROWS else candidates, "rep")
     texts = texts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), "mine"))).withColumn("role", (F.col("block") < F.col("mine")).cast("int"))
     texts = texts.select("component", "block", "role", "rep", "n", "key", "text").repartition("component", "block").sortWithinPartitions("component", "block", "role")
-    found, path_found = write_table(texts.mapInArrow(_verified(words, similarity), "node long, links long, other long"))
+    found, path_found = write_table(texts.transform(map_arrow, _verified(words, similarity), "node long, links long, other long"))
     links = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
     links, _ = write_table(links)
     linked = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
