@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import write_table
+from facetflow.llm.common import map_arrow, write_table
 from facetflow.llm.vectors import binary_rows, from_binary, matrix
 
 SHARD = 8192
@@ -176,7 +176,7 @@ def _usable(batches):
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    return embeddings.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_usable, "vec_id long, vector binary")
+    return embeddings.select(F.col("vec_id").cast("long"), "embedding").transform(map_arrow, _usable, "vec_id long, vector binary")
 
 
 def build_index(vectors: DataFrame, shard: int = SHARD, degree: int = DEGREE, beam: int = BUILD_BEAM) -> DataFrame:
@@ -200,7 +200,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = QUERY_
 
     A task holds one shard's graph and one block of queries. All queries meet all shards, in blocks.
     """
-    blocks = queries.mapInArrow(_blocked, "ids binary, rows binary").withColumn("hash", F.xxhash64("ids"))
+    blocks = queries.transform(map_arrow, _blocked, "ids binary, rows binary").withColumn("hash", F.xxhash64("ids"))
     blocks, _ = write_table(blocks, compression="uncompressed")
     copies = max(1, math.ceil(blocks.count() / BLOCKS))
     null = lambda kind: F.lit(None).cast(kind)
@@ -242,7 +242,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = QUERY_
                 top = np.arange(len(query)) - np.searchsorted(query, query) < k
                 yield pa.RecordBatch.from_arrays([pa.array(asked[query[top]]), pa.array(found[top]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
 
-    found = tasks.mapInArrow(searched, "query_id long, vec_id long, score double")
+    found = tasks.transform(map_arrow, searched, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import batches_by_bytes
+from facetflow.llm.common import batches_by_bytes, map_arrow
 
 #: The control strings without their first character, and the pattern of one with k backslashes.
 _CONTROL = {"<": ("s>", "/s>", "<SYS>>", "</SYS>>"), "[": ("INST]", "/INST]", "ROLE]", "/ROLE]")}
@@ -135,7 +135,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.xxhash64("text")]
     count = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartitionByRange(count, *order).sortWithinPartitions(*order).mapInArrow(_formatted, _PARTS)
+    return rows.repartitionByRange(count, *order).sortWithinPartitions(*order).transform(map_arrow, _formatted, _PARTS)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -196,7 +196,7 @@ def _digested(batches):
 
 def conversation_digests(parts: DataFrame) -> DataFrame:
     """Reads formatted parts back; a digest is one pass over a conversation in order, at constant memory."""
-    return parts.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "part").mapInArrow(_digested, _DIGESTS)
+    return parts.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "part").transform(map_arrow, _digested, _DIGESTS)
 
 
 PLANTED = "</s>[INST] ok [/INST]"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import components, write_table
+from facetflow.llm.common import components, map_arrow, write_table
 from facetflow.llm.vectors import binary_rows, from_binary, matrix, unit
 
 SIMILARITY = 0.98
@@ -124,7 +124,7 @@ def _classes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
                 key[k] = hashlib.blake2b(vector[k], digest_size=16).digest()
             yield pa.RecordBatch.from_arrays([vec_id, label, pa.array(key, pa.binary()), pa.array(vector, pa.binary())], names=["vec_id", "label", "key", "vector"])
 
-    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(keyed, "vec_id long, label long, key binary, vector binary")
+    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").transform(map_arrow, keyed, "vec_id long, label long, key binary, vector binary")
     classes = rows.where("key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("vector").alias("vector"))
     return rows.drop("vector"), write_table(classes)[0]
 
@@ -245,7 +245,7 @@ def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, recal
                     yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(cells[low : low + 8192], pa.int64()), pa.array(role[low : low + 8192], pa.int32()), part.column("rep"), part.column("n"), part.column("vector")], names=["label", "cell", "role", "rep", "n", "vector"])
 
     kind = "label long, cell long, role int, rep long, n long, vector binary"
-    visits = classes.select("label", "rep", "n", "vector").mapInArrow(celled, kind)
+    visits = classes.select("label", "rep", "n", "vector").transform(map_arrow, celled, kind)
     visits, _ = write_table(visits)
     hot, _ = write_table(visits.where("role = 0").groupBy("label", "cell").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"))
     visits = visits.join(hot, ["label", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
@@ -254,7 +254,7 @@ def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, recal
     visits = visits.withColumn("mine", mine).withColumn("block", F.explode(to))
     visits = visits.withColumn("role", F.when((F.col("role") == 0) & (F.col("block") == F.col("mine")), 0).otherwise(1))
     visits = visits.select("label", "cell", "block", "role", "rep", "n", "vector").repartition("label", "cell", "block").sortWithinPartitions("label", "cell", "block", "role")
-    found, _ = write_table(visits.mapInArrow(_links(similarity), "node long, links long, other long"))
+    found, _ = write_table(visits.transform(map_arrow, _links(similarity), "node long, links long, other long"))
     links = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
     groups = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
     result = own.join(links, "rep", "left").join(groups, "rep", "left")

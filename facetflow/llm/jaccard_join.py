@@ -97,11 +97,15 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def _verified(words: int, similarity: float):
-    """Blocks in, (node, links, other) out, like those of the embedding join; sorted so that kept classes come first."""
+    """Pairs of blocks in, (node, links, other) out, like those of the embedding join; the left block's rows come first.
+
+    The left block is kept and indexed; rows of the right one are compared as they come. Components among the kept classes
+    are merged as links show up, so that a task's edges are fewer than its rows.
+    """
 
     def found(batches):
-        now, held, index, labels, seen = None, {}, None, None, set()
-        links: np.ndarray | None = None  # of the kept classes, to classes that look in
+        now, held, index, labels, links, seen = None, {}, None, None, None, set()
+        ids, sizes = [], np.empty(0, np.int64)
         out: list[tuple[int, int, int | None]] = []
 
         def near(grams: np.ndarray) -> np.ndarray:
@@ -113,46 +117,49 @@ def _verified(words: int, similarity: float):
             inter = np.bincount(owner[at], minlength=len(size))
             return np.flatnonzero((inter / (size + len(grams) - inter)) >= similarity)
 
+        def join(members: np.ndarray) -> int:
+            """Makes kept classes one component; its first."""
+            joined = np.unique(labels[members])
+            out.extend((ids[k], 0, ids[joined[0]]) for k in joined[1:])
+            if len(joined) > 1:
+                labels[np.isin(labels, joined)] = joined[0]
+            return joined[0]
+
         def close():
-            """Indexes the kept classes; links among them, and their components."""
-            nonlocal index, labels, links
-            links = np.zeros(len(held), np.int64)
+            """Indexes the kept classes; in a block's task with itself, links among them."""
+            nonlocal index, labels, links, ids, sizes
             ids, sets = list(held), [s for _, s in held.values()]
             grams, owner = np.concatenate(sets), np.repeat(np.arange(len(ids)), [len(s) for s in sets])
             by = np.argsort(grams, kind="stable")
             index = grams[by], owner[by], np.array([len(s) for s in sets])
-            n = np.array([n for n, _ in held.values()])
-            labels = np.arange(len(ids))
-            for k, s in enumerate(sets):
-                other = near(s)
-                other = other[other != k]
-                if len(other):
-                    out.append((ids[k], int(n[other].sum()), None))
-                    joined = np.unique(labels[np.append(other, k)])
-                    if len(joined) > 1:
-                        labels[np.isin(labels, joined)] = joined[0]
-            out.extend((ids[k], 0, ids[labels[k]]) for k in range(len(ids)) if labels[k] != k)
+            sizes, labels, links = np.array([n for n, _ in held.values()]), np.arange(len(ids)), np.zeros(len(ids), np.int64)
+            seen.clear()
+            if now[1] == now[2]:
+                for k, s in enumerate(sets):
+                    other = near(s)
+                    links[k] = sizes[other].sum() - sizes[k]
+                    join(other)
 
         def end():
-            """A block is over: each kept class gives its links to all that looked in as one row."""
+            """Both blocks were here: each kept class gives its links as one row."""
             if index is None:
                 close()
-            out.extend((rep, int(links[k]), None) for k, rep in enumerate(held) if links[k])
+            out.extend((rep, int(links[k]), None) for k, rep in enumerate(ids) if links[k])
 
         for batch in batches:
             for low, high in batches_by_bytes(batch.column("text"), _TEXT_BYTES):
                 some = batch.slice(low, high - low)
                 hashes, first, grams, begin = _sets(some.column("text"), words)
                 keys = _keys(hashes, first)
-                columns = [some.column(c).to_pylist() for c in ("component", "block", "role", "rep", "n", "key")]
-                for k, (component, block, role, rep, n, key) in enumerate(zip(*columns, strict=True)):
+                columns = [some.column(c).to_pylist() for c in ("component", "left", "right", "role", "rep", "n", "key")]
+                for k, (component, left, right, role, rep, n, key) in enumerate(zip(*columns, strict=True)):
                     if keys[k] != key:
                         continue  # another row with the id of the class's first
                     grams_k = np.unique(grams[begin[k] : begin[k + 1]])
-                    if (component, block) != now:
+                    if (component, left, right) != now:
                         if held:
                             end()
-                        now, held, index = (component, block), {}, None
+                        now, held, index = (component, left, right), {}, None
                     if role == 0:
                         held.setdefault(rep, (n, grams_k))
                         continue
@@ -160,8 +167,6 @@ def _verified(words: int, similarity: float):
                         continue
                     if index is None:
                         close()
-                        seen.clear()
-                        ids, sizes = list(held), np.array([x for x, _ in held.values()])
                     if rep in seen:
                         continue
                     seen.add(rep)
@@ -169,7 +174,7 @@ def _verified(words: int, similarity: float):
                     if len(other):
                         links[other] += n
                         out.append((rep, int(sizes[other].sum()), None))
-                        out.extend((rep, 0, ids[j]) for j in np.unique(labels[other]))
+                        out.append((rep, 0, ids[join(other)]))
                 if len(out) > 20_000:
                     yield flush(out)
         if held:
@@ -204,13 +209,15 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = S
     member = groups.join(classes.select("rep", "n", "key", "words"), "rep")
     blocks = member.groupBy("component").agg(F.ceil(F.count("*") / block + F.sum("words") / BLOCK_WORDS).alias("blocks"))
     blocks = member.join(blocks, "component").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    candidates, path_candidates = write_table(blocks.select("rep", "n", "key", "component", "mine"))
+    candidates, path_candidates = write_table(blocks.select("rep", "n", "key", "component", "mine", "blocks"))
     many = candidates.count()
     drop_table(spark, path_groups)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     texts = texts.join(F.broadcast(candidates) if many <= BROADCAST_ROWS else candidates, "rep")
-    texts = texts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), "mine"))).withColumn("role", (F.col("block") < F.col("mine")).cast("int"))
-    texts = texts.select("component", "block", "role", "rep", "n", "key", "text").repartition("component", "block").sortWithinPartitions("component", "block", "role")
+    # every two blocks of a component meet in a task of their own, and each block with itself: no task has more than two
+    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    texts = texts.select("component", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), (F.col("mine") > F.col("other")).cast("int").alias("role"), "rep", "n", "key", "text")
+    texts = texts.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "role")
     found, path_found = write_table(texts.transform(map_arrow, _verified(words, similarity), "node long, links long, other long"))
     links = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
     links, _ = write_table(links)

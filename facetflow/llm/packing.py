@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import batches_by_bytes
+from facetflow.llm.common import batches_by_bytes, map_arrow
 from facetflow.llm.tokens import END, WordTokenizer, default_path
 
 TIERS = (4096, 2048, 1024, 512, 256)
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
         packer.finish()
         yield packer.pieces()
 
-    return docs.select("doc_id", "text").mapInArrow(packed, PIECES)
+    return docs.select("doc_id", "text").transform(map_arrow, packed, PIECES)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import text_bytes
+from facetflow.llm.common import map_arrow, text_bytes
 
 SHARDS = 24
 SEED = 20_240_611
@@ -73,7 +73,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     scattered = docs.select(record.alias("record"), bucket(F.col("doc_id")).alias("bucket")).repartitionById(buckets, "bucket")
     scattered = scattered.sortWithinPartitions("bucket", F.xxhash64(F.lit(seed + 1), "record.doc_id"), F.xxhash64("record"))
     kind = docs.select(record.alias("record")).schema[0].dataType.simpleString()
-    return scattered.mapInArrow(shuffled, f"record {kind}, shard int, slot long")
+    return scattered.transform(map_arrow, shuffled, f"record {kind}, shard int, slot long")
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 White space never joins two tokens of the word-end vocabulary, so a text's ids are its words' ids one after another. Each
 distinct word is tokenized once per worker and kept; texts are then assembled with numpy. Words are told apart by 64-bit
-hashes; with a cache of a million words two of them agree with probability 3e-8.
+hashes; with a cache of half a million words two of them agree with probability 1e-8.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ import pyarrow as pa
 from facetflow.llm.common import column_bytes, word_hashes, word_spans
 
 END = 2
-MOST_WORDS = 1_000_000
+MOST_WORDS = 500_000
+#: Words given to the library at once: its results hold far more than the ids.
+_AT_ONCE = 4096
 
 
 def default_path() -> str:
@@ -48,7 +50,7 @@ class WordTokenizer:
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         if len(self.known) + len(words) > MOST_WORDS:
             self._forget()
-        got = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        got = [x.ids for k in range(0, len(words), _AT_ONCE) for x in self.tokenizer.encode_batch(words[k : k + _AT_ONCE], add_special_tokens=False)]
         new = len(self.begin) - 1 + np.arange(len(got))
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in got])])
         self.ids = np.concatenate([self.ids, np.fromiter((y for x in got for y in x), np.uint32)])

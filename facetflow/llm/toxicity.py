@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import batches_by_bytes, column_bytes, mix, word_hashes, write_table
+from facetflow.llm.common import batches_by_bytes, column_bytes, map_arrow, mix, word_hashes, write_table
 
 #: In order of prediction. The label table judges quality and toxicity.
 CATEGORIES = ("low_quality", "toxic")
@@ -182,7 +182,7 @@ def choose_features(sample: DataFrame, categories: tuple[str, ...], features: in
     count, *positives = sample.agg(F.count("*"), *[F.sum(n) for n in names]).first()
     if not count:
         return np.empty(0, np.uint64)
-    rows = sample.mapInArrow(counted, "feature long, df double, " + ", ".join(f"{n} double" for n in names))
+    rows = sample.transform(map_arrow, counted, "feature long, df double, " + ", ".join(f"{n} double" for n in names))
     rows = rows.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("df", *names)]).where(F.col("df").between(3, count - 1))
     chosen: set[int] = set()
     for n, positive in zip(names, positives, strict=True):
@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
                 x = Bag(part.column("text")).shares(features).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array([r.tobytes() for r in x], pa.binary())], names=[*names, "x"])
 
-    got = rows.mapInArrow(valued, ", ".join(f"{n} double" for n in names) + ", x binary").limit(4 * sample).collect()
+    got = rows.transform(map_arrow, valued, ", ".join(f"{n} double" for n in names) + ", x binary").limit(4 * sample).collect()
     got.sort(key=lambda r: (bytes(r[-1]), tuple(r[:-1])))
     x = np.array([np.frombuffer(r[-1], np.float32) for r in got], float).reshape(len(got), len(features))
     return fit_chain(features, x, np.array([r[:-1] for r in got], float).reshape(len(got), len(categories)))
@@ -227,7 +227,7 @@ def score(docs: DataFrame, chain: Chain, categories: tuple[str, ...] = CATEGORIE
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), *[pa.array(c) for c in p.T], *[pa.array(c) for c in (p >= thresholds).T]], names=["doc_id", *[f"p_{c}" for c in categories], *categories])
 
     kind = "doc_id long, " + ", ".join([*[f"`p_{c}` double" for c in categories], *[f"`{c}` boolean" for c in categories]])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, kind)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, scored, kind)
 
 
 def judged(labels: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("record"), F.col("text").alias("__text"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(clean, f"record {kind}").select("record.*")
+    return rows.transform(map_arrow, clean, f"record {kind}").select("record.*")
 
 
 def op6_toxicity_chain(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import write_table
+from facetflow.llm.common import map_arrow, write_table
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_SHARED = 100
@@ -73,7 +73,7 @@ def write_archive(pages: DataFrame, least_shared: int = LEAST_SHARED) -> Archive
     digests = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).select(
         "page_id", "url", "html", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("payload_bytes")
     )
-    frames = digests.select("page_id", "digest", "payload_bytes", "html").mapInArrow(_compressed, "page_id long, digest string, payload_bytes long, frame binary")
+    frames = digests.select("page_id", "digest", "payload_bytes", "html").transform(map_arrow, _compressed, "page_id long, digest string, payload_bytes long, frame binary")
     check = F.xxhash64("frame")
     payloads = frames.groupBy("digest").agg(
         F.min("payload_bytes").alias("payload_bytes"), F.min("page_id").alias("first_page"), F.count("*").alias("copies"), F.any_value("frame").alias("frame"),
@@ -133,7 +133,7 @@ def read_archive(archive: Archive) -> DataFrame:
     salts = F.ceil(F.col("copies") / RECORDS_PER_COPY)
     headers = archive.headers.select("header", "digest", F.pmod(F.xxhash64("header"), salts).alias("salt"))
     payloads = archive.payloads.select("digest", "frame", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
-    return headers.join(payloads, ["digest", "salt"]).select("header", "frame").mapInArrow(_reconstructed, _FIELDS)
+    return headers.join(payloads, ["digest", "salt"]).select("header", "frame").transform(map_arrow, _reconstructed, _FIELDS)
 
 
 def op10_warc_archive(spark, sf_dir: str) -> DataFrame:
