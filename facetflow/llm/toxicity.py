@@ -37,7 +37,7 @@ PREFIXES = (4, 5, 6, 8)
 SHRINK, SCALE = 50, 100.0
 FOLDS = 4
 PENALTY = 1.0
-LEAST = 0.5
+LEAST = 0.2
 _TEXT_BYTES = 1 << 20
 _WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _LOWER = np.array([b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
@@ -152,7 +152,7 @@ def fit_chain(features: np.ndarray, x: np.ndarray, labels: np.ndarray, folds: in
                     out[fold == k] = _odds(x[fold == k], fit_logistic(x[fold != k], y[fold != k]))
             weights.append(fit_logistic(x, y))
             p = 1 / (1 + np.exp(-out))
-            grid = np.linspace(least, 0.95, 10)
+            grid = np.linspace(least, 0.95, 16)
             f1 = [2 * (y * (p >= t)).sum() / max(y.sum() + (p >= t).sum(), 1) for t in grid]
             thresholds.append(float(grid[int(np.argmax(f1))]))
         outs.append(1 / (1 + np.exp(-out)))
