@@ -99,8 +99,15 @@ def with_piercing_signs(rows: DataFrame, p: V3, q: V3, t: Triangle) -> DataFrame
     rows = rows.withColumns({f"_{n}{i}": x for i, both in products.items() for n, x in zip("hl", both, strict=True)})
     h, k = ([F.col(f"_{n}{i}") for i in range(4)] for n in "hl")
     signs = [_sign(h[0], k[0]), _sign(h[0] - h[1] - h[2] - h[3], k[0] - k[1] - k[2] - k[3]), *(-_sign(h[i], k[i]) for i in (1, 2, 3))]
-    rows = rows.withColumns(dict(zip(SIGNS, signs, strict=True)))
-    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+    return _behind_barrier(rows, dict(zip(SIGNS, signs, strict=True)))
+
+
+def _behind_barrier(rows: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """Adds columns and drops those of the steps before. Filters on the new columns stay above: pushed down through the steps
+    they would repeat each step's expressions in the next one's.
+    """
+    kept = [F.col(c) for c in rows.columns if not c.startswith("_")]
+    return rows.select(*kept, F.inline(F.array(F.struct(*[x.alias(n) for n, x in made.items()]))))
 
 
 def pierces() -> tuple[Column, Column]:
@@ -145,5 +152,4 @@ def with_filtered_verdict(rows: DataFrame, p: V3, q: V3, t: Triangle, name: str
     for k, sure in enumerate(reliable):
         outside, unsure = outside | (sure & (F.col(f"_v{k}") < 0)), unsure | ~sure
     flat = F.abs("_p3") <= F.col("_kp3") * FILTER["point"]
-    rows = rows.withColumn(name, F.when(flat, "maybe").when(outside, "empty").when(unsure, "maybe").otherwise("meets"))
-    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+    return _behind_barrier(rows, {name: F.when(flat, "maybe").when(outside, "empty").when(unsure, "maybe").otherwise("meets")})

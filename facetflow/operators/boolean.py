@@ -27,8 +27,9 @@ from facetflow.operators.tables import write_table
 from facetflow.operators.triangulate import TriangulationError, triangulate
 from facetflow.sources.derived import MeshFrame
 
-#: Steps of the grid that vertices are moved by, tried in turn while the configuration is degenerate.
-QUANTA = (4, 8, 16, 32, 64, 128)
+#: Steps of the grid that vertices are moved by, tried in turn while the configuration is degenerate or cut points of a
+#: triangle lie too close together to be told apart in doubles.
+QUANTA = (256, 512, 1024, 2048, 4096)
 #: For each operation: (operand, inside) that stay as they are, and those that stay turned.
 RULES = {
     "union": ([(0, 0), (1, 0)], []),
@@ -101,16 +102,21 @@ def resolve(left: MeshFrame, right: MeshFrame, seed: int = 1, quanta: tuple[int,
     """Cuts both operands along each other and labels the pieces."""
     both = MeshFrame(*(_with_mesh_ids(left, right, part) for part in ("vertices", "triangles")))
     quantizer = Quantizer.calibrate(left, right)
+    failure = BooleanError("DEGENERATE")
     for attempt, steps in enumerate(quanta):
         grid = on_grid(both, quantizer, seed + attempt, steps)
         vertices, _ = write_table(grid.vertices)
         grid = MeshFrame(vertices, grid.triangles)
         pairs, _ = write_table(edge_triangle_pairs(grid, other=True).where("meets OR degenerate"))
-        if not pairs.where("degenerate").limit(1).count():
-            break
-    else:
-        raise BooleanError("DEGENERATE")
-    return _label(*_subdivide(grid, pairs), both.vertices, grid, quantizer, pairs)
+        if pairs.where("degenerate").limit(1).count():
+            continue
+        try:
+            cut = _subdivide(grid, pairs)
+        except BooleanError as error:
+            failure = error
+            continue
+        return _label(*cut, both.vertices, grid, quantizer, pairs)
+    raise failure
 
 
 def _with_mesh_ids(left: MeshFrame, right: MeshFrame, part: str) -> DataFrame:

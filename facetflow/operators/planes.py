@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetflow.functions.vec import V3
 
@@ -20,7 +21,10 @@ def moments(points: DataFrame, key: str) -> DataFrame:
     return rows
 
 
-@F.pandas_udf("nx double, ny double, nz double, smallest double")
+_FIT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("nx", "ny", "nz", "smallest")])
+
+
+@F.pandas_udf(_FIT)
 def _normal(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
     m = np.empty((len(xx), 3, 3))
     for (i, j), s in zip(((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)), (xx, xy, xz, yy, yz, zz), strict=True):

@@ -36,7 +36,8 @@ def _sql_points(count: int = 3, scale: int = 1024) -> str:
     return "p AS (SELECT vec_id, label, " + ", ".join(f"floor(CAST(embedding[{3 * p + k + 1}] AS DOUBLE) * {scale}) AS p{p}{n}" for p in range(count) for k, n in enumerate("xyz")) + " FROM embeddings)"
 
 
-U, V, N = V3.of("p0"), V3.of("p1"), V3.of("p2")
+def _three() -> tuple[V3, V3, V3]:
+    return V3.of("p0"), V3.of("p1"), V3.of("p2")
 
 
 @query(f"""WITH {_sql_points()}
@@ -48,6 +49,7 @@ SELECT vec_id, p0x + p1x AS add_x, p0y + p1y AS add_y, p0z + p1z AS add_z, p0x -
   round(p0x / sqrt(p0x * p0x + p0y * p0y + p0z * p0z), 9) AS unit_x
 FROM p""")
 def vec3_algebra(spark, sf_dir):
+    U, V, N = _three()  # noqa: N806
     return _points(spark, sf_dir).select(
         "vec_id", *(U + V).columns("add_"), *(U - V).columns("sub_"), *(U * 3).columns("mul_"), *(U / 4).columns("div_"), *(-U).columns("neg_"), U.equals(V).alias("same"), U.before(V).alias("before"),
         U.len_squared().alias("len2"), U.length().alias("len"), U.dot(V).alias("dot"), *U.cross(V).columns("cross_"), F.round(U.normalized().x, 9).alias("unit_x"),
@@ -62,6 +64,7 @@ SELECT vec_id, abs(p0x) AS abs_x, abs(p0y) AS abs_y, abs(p0z) AS abs_z, greatest
   CASE label % 3 WHEN 0 THEN p0y WHEN 1 THEN p0z ELSE p0x END AS flat_x, CASE label % 3 WHEN 0 THEN p0z WHEN 1 THEN p0x ELSE p0y END AS flat_y
 FROM p""")
 def vec3_minmax_dims(spark, sf_dir):
+    U, V, N = _three()  # noqa: N806
     flat = U.project(F.col("label") % 3)
     return _points(spark, sf_dir).select("vec_id", *U.abs().columns("abs_"), U.max_component().alias("max_c"), U.min_component().alias("min_c"), U.max_dim().alias("max_dim"), U.min_dim().alias("min_dim"), *U.least(V).columns("min2_"), *U.greatest(V, N).columns("max3_"), *flat.columns("flat_"))
 
@@ -71,6 +74,7 @@ _DET = "p0x * (p1y * p2z - p1z * p2y) + p0y * (p1z * p2x - p1x * p2z) + p0z * (p
 
 @query(f"WITH {_sql_points()} SELECT vec_id, {_DET} AS det FROM p")
 def det3(spark, sf_dir):
+    U, V, N = _three()  # noqa: N806
     return _points(spark, sf_dir).select("vec_id", U.det(V, N).alias("det"))
 
 
@@ -165,6 +169,7 @@ def bbox_measures(spark, sf_dir):
 @query(f"""WITH {_sql_points()}, d AS (SELECT vec_id, 2 * p0x + 1 AS x, 2 * p0y + 1 AS y, 2 * p0z + 1 AS z FROM p)
 SELECT vec_id, 1.0::DOUBLE / x AS inv_x, 1.0::DOUBLE / y AS inv_y, 1.0::DOUBLE / z AS inv_z, CAST(x < 0 AS INTEGER) AS sign_x, CAST(y < 0 AS INTEGER) AS sign_y, CAST(z < 0 AS INTEGER) AS sign_z FROM d""")
 def ray_setup(spark, sf_dir):
+    U, V, N = _three()  # noqa: N806
     d = U * 2.0 + V3.lit(1, 1, 1)
     return _points(spark, sf_dir).select("vec_id", *P.inverse_direction(d).columns("inv_"), *[s.alias(f"sign_{n}") for s, n in zip(P.ray_signs(d), "xyz", strict=True)])
 
@@ -194,6 +199,7 @@ def perturb(spark, sf_dir):
 SELECT vec_id, round((p0x - p2x) * (p1x / l) + (p0y - p2y) * (p1y / l) + (p0z - p2z) * (p1z / l), 6) AS distance,
   round(p0x - (p1x / l) * ((p0x - p2x) * (p1x / l) + (p0y - p2y) * (p1y / l) + (p0z - p2z) * (p1z / l)), 6) AS on_x FROM n WHERE l > 0""")
 def plane_distance(spark, sf_dir):
+    U, V, N = _three()  # noqa: N806
     unit = V3(*(fdiv(c, V.length()) for c in V.parts()))
     far = (U - N).dot(unit)
     on = U - unit * far
@@ -236,11 +242,13 @@ def _named(parts: list[str], prefix: str, names: tuple[str, ...]) -> str:
 
 @query(f"WITH {_sql_points()} SELECT vec_id, {_named(_s11(_k1(0), _k1(1)), 'e', _J2)} FROM p")
 def ext_join11(spark, sf_dir):
+    U, V, N = _three()  # noqa: N806
     return _points(spark, sf_dir).select("vec_id", *K1.point(U).join(K1.point(V)).columns("e"))
 
 
 @query(f"WITH {_sql_points()}, e AS (SELECT *, {_named(_s11(_k1(0), _k1(1)), 'e', _J2)} FROM p) SELECT vec_id, {_named(_s21('e', _k1(2)), 't', _J3)} FROM e")
 def ext_join21(spark, sf_dir):
+    U, V, N = _three()  # noqa: N806
     return _points(spark, sf_dir).select("vec_id", *K1.point(U).join(K1.point(V)).join(K1.point(N)).columns("t"))
 
 
@@ -297,6 +305,7 @@ _SABS = [f"e{i}{j} * ({_ABS[2][k]}) + e{i}{k} * ({_ABS[2][j]}) + e{j}{k} * ({_AB
 
 @query(f"WITH {_sql_points()}, e AS (SELECT *, {_named(_s11(_ABS[0], _ABS[1], '+'), 'e', _J2)} FROM p) SELECT vec_id, {', '.join('e' + n for n in _J2)}, {_named(_SABS, 't', _J3)} FROM e")
 def ext_abs_bounds(spark, sf_dir):
+    U, V, N = _three()  # noqa: N806
     k = [K1.point(p).absolute() for p in (U, V, N)]
     e = k[0].join(k[1])
     return _points(spark, sf_dir).select("vec_id", *e.columns("e"), *e.join(k[2]).columns("t"))
