@@ -1,19 +1,22 @@
-"""Shared helpers of the training-data operators: scratch tables, word hashing, connected components."""
+"""Shared helpers of the training-data operators: bounded batches, word hashing, shingles."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import hashlib
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetflow.operators.graph import components
+from facetflow.operators.tables import drop_table, scratch, write_table
+
+__all__ = ["components", "drop_table", "scratch", "write_table"]
+
 #: ASCII white space that separates words: space and 0x09 to 0x0D.
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _IS_WHITE = np.zeros(256, dtype=bool)
@@ -24,35 +27,6 @@ _S = np.uint64(33)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where the session names none."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="scratch-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def write_table(df: DataFrame, **options: str) -> tuple[DataFrame, str]:
-    """Cuts lineage: writes ``df`` as Parquet into the scratch folder; returns it as read again, and its path.
-
-    The files survive lost executors, unlike blocks that executors keep.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table that nothing reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts; one column, one aggregate."""
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -175,36 +149,3 @@ def batches_by_bytes(column: pa.Array, most: int):
         high = max(low + 1, int(np.searchsorted(size, size[low] + most, side="right")) - 1)
         yield low, high
         low = high
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)``: (node, component), the smallest node reachable; nodes without edges are absent.
-
-    Alternating large-star and small-star steps (Kiveris et al. 2014): each edge keeps to one row, a node's neighbours are
-    only ever reduced to their minimum, and both sides of each join come straight from an exchange so that skewed nodes can
-    be split. Each step's edges are written to the scratch folder; nothing but two numbers comes to the driver.
-    Empty edges give an empty result. Loops and repeated edges are ignored.
-    """
-    spark = edges.sparkSession
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now, path = write_table(now)
-    state = None
-    for _ in range(rounds):
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if not seen[0] or seen == state:
-            break
-        state = seen
-        both = now.union(now.select("b", "a"))
-        low = both.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")).select("b", F.least("b", "m").alias("m"))
-        large = now.join(low, "b").select("a", F.col("m").alias("b")).distinct()
-        large, path_large = write_table(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct()
-        new, path_new = write_table(small)
-        drop_table(spark, path)
-        drop_table(spark, path_large)
-        now, path = new, path_new
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    root = now.select(F.col("b").alias("a")).distinct().select("a", F.col("a").alias("b"))
-    return now.union(root).toDF("node", "component")
