@@ -12,7 +12,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: (node, component), the smallest node reachable; nodes without edges are absent.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each edge keeps to one row, and a node's neighbours are
-    only ever reduced to their minimum. It is over when the edges are stars: no node points to two others or is pointed
+    only ever reduced to their minimum. Minima are written before they are joined: both sides of a join then come straight
+    from an exchange, so that Spark can split a node with very many edges. It is over when the edges are stars: no node points to two others or is pointed
     to and points on. Each step's edges are written to the scratch folder; one number a round comes to the driver.
     Empty edges give an empty result. Loops and repeated edges are ignored.
     """
@@ -24,13 +25,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = now.union(now.select("b", "a"))
         low = both.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")).select("b", F.least("b", "m").alias("m"))
-        large = now.join(low, "b").select("a", F.col("m").alias("b")).distinct()
-        large, path_large = write_table(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct()
+        low, path_low = write_table(low)
+        large, path_large = write_table(now.join(low, "b").select("a", F.col("m").alias("b")).distinct())
+        least, path_least = write_table(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
         new, path_new = write_table(small)
-        drop_table(spark, path)
-        drop_table(spark, path_large)
+        for old in (path, path_low, path_large, path_least):
+            drop_table(spark, old)
         now, path = new, path_new
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
