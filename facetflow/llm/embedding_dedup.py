@@ -130,47 +130,50 @@ def _classes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _links(similarity: float):
-    """Blocks of a cell in, (node, links, other) out: links counted with classes' sizes, and edges of a spanning forest.
+    """Pairs of blocks in, (node, links, other) out: links counted with classes' sizes, and edges of a spanning forest.
 
-    Rows are sorted: first those that are kept in the block, then those that look into it, which stream through.
+    The left block's rows come first and are kept; those of the right one stream through. Components are merged as links
+    show up, so each row gives at most an edge a batch.
     """
 
     def found(batches):
-        now, ids, sizes, unit_rows, labels = None, [], [], None, None
+        now, ids, sizes, unit_rows, labels = None, None, None, None, None
         held: list[tuple] = []
         out: dict[str, list] = {"node": [], "links": [], "other": []}
 
         def add(node, links, other):
             out["node"].append(node), out["links"].append(links), out["other"].append(other)
 
+        def count(node, links):
+            add(node[links > 0], links[links > 0], np.full((links > 0).sum(), -1))
+
+        def relabel(new):
+            """Kept classes take smaller labels; each that does gives an edge."""
+            nonlocal labels
+            moved = new != labels
+            add(ids[moved], np.zeros(moved.sum(), np.int64), new[moved])
+            labels = new
+
         def close():
-            """All kept rows of a block are here: links among them, and their components."""
+            """All kept rows are here; in a block's task with itself, links among them."""
             nonlocal ids, sizes, unit_rows, labels
-            ids = np.concatenate([h[0] for h in held])
-            sizes = np.concatenate([h[1] for h in held])
+            ids, sizes = (np.concatenate([h[k] for h in held]) for k in (0, 1))
             unit_rows = unit(np.concatenate([h[2] for h in held]))
             held.clear()
-            near = unit_rows @ unit_rows.T >= similarity
-            np.fill_diagonal(near, False)
             labels = ids.copy()
-            if near.any():
-                add(ids, near @ sizes, np.full(len(ids), -1))
-                highest = np.iinfo(np.int64).max
-                while True:
-                    lower = np.minimum(labels, np.where(near, labels, highest).min(1))
-                    if (lower == labels).all():
-                        break
-                    labels = lower
-                moved = labels != ids
-                add(ids[moved], np.zeros(moved.sum(), np.int64), labels[moved])
+            if now[2] == now[3]:
+                near = unit_rows @ unit_rows.T >= similarity
+                np.fill_diagonal(near, False)
+                count(ids, near @ sizes)
+                relabel(_settle(near, near, labels, labels)[1])
 
         for batch in batches:
-            block = [batch.column(c).to_numpy() for c in ("label", "cell", "block", "role")]
-            cuts = np.flatnonzero(np.any([np.diff(x) != 0 for x in block], axis=0)) + 1
+            key_columns = [batch.column(c).to_numpy() for c in ("label", "cell", "left", "right", "role")]
+            cuts = np.flatnonzero(np.any([np.diff(x) != 0 for x in key_columns], axis=0)) + 1
             for low, high in zip([0, *cuts], [*cuts, len(batch)], strict=True):
                 if low == high:
                     continue
-                key, role = tuple(int(x[low]) for x in block[:3]), int(block[3][low])
+                *key, role = (int(x[low]) for x in key_columns)
                 part = batch.slice(low, high - low)
                 rep, n, rows = part.column("rep").to_numpy(), part.column("n").to_numpy(), from_binary(part.column("vector"), np.float32)
                 if key != now:
@@ -185,15 +188,13 @@ def _links(similarity: float):
                 if unit_rows is None:
                     continue  # nothing is kept in this cell
                 near = unit(rows) @ unit_rows.T >= similarity
-                if near.any():
-                    add(rep, near @ sizes, np.full(len(rep), -1))
-                    add(ids, near.T @ n, np.full(len(ids), -1))
-                    groups, group = np.unique(labels, return_inverse=True)
-                    touch = np.zeros((len(rep), len(groups)), bool)
-                    a, b = np.nonzero(near)
-                    touch[a, group[b]] = True
-                    a, b = np.nonzero(touch)
-                    add(rep[a], np.zeros(len(a), np.int64), groups[b])
+                count(rep, near @ sizes)
+                count(ids, near.T @ n)
+                some = near.any(1)
+                if some.any():
+                    theirs, new = _settle(near[some], near[some].T, rep[some], labels)
+                    add(rep[some], np.zeros(some.sum(), np.int64), theirs)
+                    relabel(new)
             if sum(map(len, out["node"])) > 10_000:
                 yield flush(out)
         if held:
@@ -204,13 +205,24 @@ def _links(similarity: float):
         columns = [np.concatenate(out[c]) if out[c] else np.empty(0, np.int64) for c in ("node", "links", "other")]
         for c in out.values():
             c.clear()
-        keep = (columns[1] > 0) | (columns[2] >= 0)
-        other = pa.array(columns[2][keep], pa.int64(), mask=columns[1][keep] > 0)
-        return pa.RecordBatch.from_arrays([pa.array(columns[0][keep], pa.int64()), pa.array(columns[1][keep], pa.int64()), other], names=["node", "links", "other"])
+        other = pa.array(columns[2], pa.int64(), mask=columns[1] > 0)
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), other], names=["node", "links", "other"])
 
     return found
 
 
+def _settle(near: np.ndarray, back: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest labels reachable over links between two sides: of the rows' side, whose own are ``rows``, and of the kept side."""
+    highest = np.iinfo(np.int64).max
+    theirs = rows
+    while True:
+        low = np.minimum(theirs, np.where(near, labels, highest).min(1))
+        new = np.minimum(labels, np.where(back, low, highest).min(1))
+        if (low == theirs).all() and (new == labels).all():
+            return theirs, labels
+        theirs, labels = low, new
+
+
 def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, codes: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of ``embeddings(vec_id, embedding, label)``."""
     rows, classes = _classes(embeddings)
@@ -247,13 +259,16 @@ def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, recal
     kind = "label long, cell long, role int, rep long, n long, vector binary"
     visits = classes.select("label", "rep", "n", "vector").transform(map_arrow, celled, kind)
     visits, _ = write_table(visits)
-    hot, _ = write_table(visits.where("role = 0").groupBy("label", "cell").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"))
-    visits = visits.join(hot, ["label", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    to = F.sequence(F.lit(0).cast("long"), F.when(F.col("role") == 0, mine).otherwise(F.col("blocks") - 1))
-    visits = visits.withColumn("mine", mine).withColumn("block", F.explode(to))
-    visits = visits.withColumn("role", F.when((F.col("role") == 0) & (F.col("block") == F.col("mine")), 0).otherwise(1))
-    visits = visits.select("label", "cell", "block", "role", "rep", "n", "vector").repartition("label", "cell", "block").sortWithinPartitions("label", "cell", "block", "role")
+    counts = visits.groupBy("label", "cell").agg(*[F.greatest(F.ceil(F.count_if(F.col("role") == k) / block), F.lit(1).cast("long")).alias(n) for k, n in enumerate(("kept", "looking"))])
+    hot, _ = write_table(counts.where("kept > 1 OR looking > 1"))
+    one = F.lit(1).cast("long")
+    visits = visits.join(hot, ["label", "cell"], "left").withColumns({"kept": F.coalesce("kept", one), "looking": F.coalesce("looking", one)})
+    # blocks of a cell's own classes are 0, 1, ..., those of classes that look into it follow; two blocks meet in a task of their own
+    mine = F.when(F.col("role") == 0, F.pmod(F.xxhash64("rep"), F.col("kept"))).otherwise(F.col("kept") + F.pmod(F.xxhash64("rep"), F.col("looking")))
+    to = F.sequence(F.lit(0).cast("long"), F.when(F.col("role") == 0, F.col("kept") + F.col("looking") - 1).otherwise(F.col("kept") - 1))
+    visits = visits.withColumn("mine", mine).withColumn("other", F.explode(to))
+    visits = visits.select("label", "cell", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), (F.col("mine") > F.col("other")).cast("int").alias("role"), "rep", "n", "vector")
+    visits = visits.repartition("label", "cell", "left", "right").sortWithinPartitions("label", "cell", "left", "right", "role")
     found, _ = write_table(visits.transform(map_arrow, _links(similarity), "node long, links long, other long"))
     links = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
     groups = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")

@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op1_stupid_backoff": lm_scoring.SQL,
+    "op3_pruned_graph_search": ann.SQL,
     "op4_multi_index_dedup": embedding_dedup.SQL,
     "op5_chat_format": chat.SQL,
     "op7_minhash_jaccard_join": jaccard_join.SQL,
