@@ -254,4 +254,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op6_toxicity_chain(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     chain = train(docs, judged(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return score(docs, chain)
+    return score(docs, chain).drop("low_quality")
