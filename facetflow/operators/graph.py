@@ -98,15 +98,26 @@ def ring(triangles: DataFrame, seeds: DataFrame, layers: int = 1) -> DataFrame:
     return reached
 
 
-def region_grow(triangles: DataFrame, seeds: DataFrame, barrier: DataFrame, limit: int, most_rounds: int = 200) -> DataFrame:
+def region_grow(triangles: DataFrame, seeds: DataFrame, barrier: DataFrame, limit: int, most_rounds: int = 10_000) -> DataFrame:
     """(mesh_id, tid): what is reached from the seeds over shared edges that are not in ``barrier(mesh_id, v0, v1)``.
 
-    Stops before a step that would pass ``limit`` triangles in a mesh, a documented size cap of the operator.
+    That is the components of the seeds, found in a logarithmic number of rounds. Only if they have more than ``limit``
+    triangles, a size cap of the operator, the region is grown layer by layer from the seeds and stops before a layer
+    that would pass the limit.
     """
     from facetflow.operators.topology import edges as edge_rows
 
     open_edges, _ = write_table(edge_rows(triangles).select("mesh_id", "tid", "v0", "v1").join(barrier, ["mesh_id", "v0", "v1"], "left_anti"))
-    reached, path = write_table(seeds.select("mesh_id", "tid").distinct())
+    first = open_edges.groupBy("mesh_id", "v0", "v1").agg(F.min("tid").alias("low"))
+    links = open_edges.join(first, ["mesh_id", "v0", "v1"]).select(F.col("tid").alias("a"), F.col("low").alias("b"))
+    found = labelled_components(triangles.select(F.col("tid").alias("node")), links)
+    start = seeds.select("mesh_id", "tid").distinct()
+    wanted = found.join(start.select(F.col("tid").alias("node")), "node", "left_semi").select("component").distinct()
+    whole = triangles.select("mesh_id", "tid").join(found.join(wanted, "component", "left_semi").select(F.col("node").alias("tid")), "tid", "left_semi").select("mesh_id", "tid")
+    whole, _ = write_table(whole)
+    if whole.count() <= limit:
+        return whole
+    reached, _ = write_table(start)
     front, size = reached, reached.count()
     for _ in range(most_rounds):
         touched = open_edges.join(front, ["mesh_id", "tid"], "left_semi").select("mesh_id", "v0", "v1").distinct()

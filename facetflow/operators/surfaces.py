@@ -44,9 +44,9 @@ def quantized_edges(mesh: MeshFrame, quantizer: Quantizer) -> DataFrame:
     return rows.select("mesh_id", "v0", "v1", d.len_squared().alias("length2"))
 
 
-def boundary_lengths(mesh: MeshFrame) -> DataFrame:
-    """(mesh_id, loop_id, n, length, outside): the longest loop of a mesh is its outside boundary; ties go to the first."""
-    points = loops.with_coordinates(loops.boundary_loops(mesh.triangles).where("status = 'ok'"), mesh.vertices)
+def boundary_lengths(mesh: MeshFrame, found: DataFrame) -> DataFrame:
+    """Of the loops ``found`` by ``boundary_loops``: (mesh_id, loop_id, n, length, outside): the longest loop of a mesh is its outside boundary; ties go to the first."""
+    points = loops.with_coordinates(found.where("status = 'ok'"), mesh.vertices)
     points = points.withColumn("key", F.concat_ws("/", "mesh_id", "loop_id"))
     length = planes.polyline_length(points, "key", "pos").join(points.select("key", "mesh_id", "loop_id").distinct(), "key")
     longest = length.groupBy("mesh_id").agg(F.max_by("key", F.struct("length", "n")).alias("longest"))

@@ -9,6 +9,7 @@ from facetflow.functions.vec import V3, Triangle
 from facetflow.operators import graph as G
 from facetflow.operators import loops, planes, repair, spatial, surfaces
 from facetflow.operators import topology as T
+from facetflow.operators.tables import write_table
 from facetflow.plans.relational import _POLY, _SQL_TWO, _polygons, _two
 from facetflow.plans.scalar import SQL_VERDICT, _points, query, quoted, sql_signs
 from facetflow.sources import off
@@ -48,8 +49,8 @@ def outside_boundary(spark, sf_dir):
     """A surface with four triangles taken out: its longest boundary, the triangle at its first edge, and how many holes there are."""
     mesh = height_field(spark, sf_dir)
     mesh = MeshFrame(mesh.vertices, mesh.triangles.where("tid NOT IN (88, 176, 264, 352)"))
-    found = loops.boundary_loops(mesh.triangles)
-    length = surfaces.boundary_lengths(mesh)
+    found, _ = write_table(loops.boundary_loops(mesh.triangles))
+    length = surfaces.boundary_lengths(mesh, found)
     owner = surfaces.loop_owners(mesh, found).select("loop_id", "tid")
     holes = length.agg((F.count("*") - 1).alias("holes"))
     return length.where("outside").join(owner, "loop_id").select("loop_id", "tid", "outside", "n").join(F.broadcast(holes))

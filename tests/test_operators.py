@@ -234,6 +234,19 @@ def test_components_equal_union_find(spark, edges):
     assert {r.node: r.component for r in got} == {x: root(x) for x in parent}
 
 
+def test_region_growing(spark):
+    n = 6
+    faces = [t for y in range(n - 1) for x in range(n - 1) for i in [y * n + x] for t in ((i, i + 1, i + n), (i + 1, i + n + 1, i + n))]
+    m = mesh(spark, [("m", [(x, y, 0) for y in range(n) for x in range(n)], faces)])
+    t = m.triangles
+    barrier = topology.edges(t).where("v0 BETWEEN 12 AND 17 AND v1 BETWEEN 12 AND 17").select("mesh_id", "v0", "v1").distinct()
+    seed = t.where("tid = 0")
+    assert graph.region_grow(t, seed, barrier, 1000).count() == 20
+    small = graph.region_grow(t, seed, barrier, 6).count()
+    assert 1 <= small <= 6
+    assert graph.region_grow(t, seed, barrier.where("1 = 0"), 1000).count() == len(faces)
+
+
 def test_renumbering(spark):
     m = mesh(spark, [("a", *box((0, 0, 0), (1, 1, 1))), ("b", *box((0, 0, 0), (2, 2, 2)))])
     small, remap = topology.remove(m, m.triangles.where("tid IN (0, 1, 12)").select("mesh_id", "tid"))
