@@ -62,23 +62,23 @@ class Grams:
         words = word_hashes(buf, start, end)
         self.count = np.diff(self.first)
         self.place = np.arange(len(words)) - np.repeat(self.first[:-1], self.count)
-        self.at: list[np.ndarray] = []
-        found = [np.zeros(1, np.uint64)]  # the empty n-gram
-        gram = mix(words + _HEAD)
+        distinct, times, spots = [np.zeros(1, np.uint64)], [np.array([len(words)])], []  # the empty n-gram first
+        gram, base = mix(words + _HEAD), 1
         for n in range(order):
             if n:
                 gram = np.concatenate([gram[:1], next_gram(gram[:-1], words[1:])])  # ends where it stands
-            found.append(mix(gram + np.uint64(n)) >> np.uint64(64 - bits))
-            if n:
-                found[-1] = found[-1][self.place >= n]
-        self.grams, inverse, self.times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-        self.times[inverse[0]] = len(words)
-        self.none, low = inverse[0], 1
-        for n, f in enumerate(found[1:]):
-            spot = np.full(len(words), self.none)
-            spot[self.place >= n] = inverse[low : low + len(f)]
-            low += len(f)
-            self.at.append(spot)
+            whole = self.place >= n
+            some, inverse, count = np.unique(mix(gram[whole] + np.uint64(n)) >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+            spot = np.zeros(len(words), np.int32)
+            spot[whole] = inverse + base
+            distinct.append(some), times.append(count), spots.append(spot)
+            base += len(some)
+        grams = np.concatenate(distinct)
+        by = np.argsort(grams, kind="stable")
+        rank = np.empty(len(by), np.int32)
+        rank[by] = np.arange(len(by), dtype=np.int32)
+        self.grams, self.times = grams[by], np.concatenate(times)[by]
+        self.none, self.at = rank[0], [rank[spot] for spot in spots]
 
     def cuts(self, parts: int, bits: int) -> np.ndarray:
         """Where the count table's parts begin among the distinct hashes."""
