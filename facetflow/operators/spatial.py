@@ -18,33 +18,30 @@ BOX = ("min_x", "min_y", "min_z", "max_x", "max_y", "max_z")
 def box_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of rows with equal ``keys`` whose boxes meet: ``left`` has columns l_min_x ... l_max_z, ``right`` r_min_x ... r_max_z.
 
-    An equi-join on grid cells, not a nested loop. A box lies on the level whose cells are as large as itself, so in 8 cells
-    at most; it is also entered on the coarser levels that occur, and a pair is met on the coarser one of its two. Of the
-    cells that both share only the one with the larger of the low corners gives the pair, so nothing is deduplicated.
+    An equi-join on grid cells, not a nested loop. Cells have the boxes' mean extent on each axis, doubled from level to
+    level; a box lies on the level whose cells are as large as itself, so in 8 cells at most. It is also entered on the
+    coarser levels that occur, and a pair is met on the coarser one of its two. Of the cells that both share only the one
+    with the larger of the low corners gives the pair, so nothing is deduplicated.
     """
-    sizes = []
-    for rows, p in ((left, "l_"), (right, "r_")):
-        extent = F.greatest(*[F.col(f"{p}max_{n}") - F.col(f"{p}min_{n}") for n in "xyz"])
-        sizes.append(rows.select(extent.alias("extent")))
-    mean = sizes[0].union(sizes[1]).agg(F.avg("extent")).first()[0]
-    cell = float(mean) if mean else 1.0
-    level = lambda c: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(c / cell, F.lit(1.0))))).cast("int")
-    present = sorted(r[0] for r in sizes[0].union(sizes[1]).select(level(F.col("extent"))).distinct().collect())  # a few dozen numbers
+    extents = [rows.select(*[(F.col(f"{p}max_{n}") - F.col(f"{p}min_{n}")).alias(n) for n in "xyz"]) for rows, p in ((left, "l_"), (right, "r_"))]
+    both = extents[0].union(extents[1])
+    mean = both.agg(*[F.avg(n) for n in "xyz"]).first()
+    cell = {n: float(m) if m else 1.0 for n, m in zip("xyz", mean, strict=True)}
+    level = lambda of: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(*[c / cell[n] for n, c in of.items()], F.lit(1.0))))).cast("int")
+    present = sorted(r[0] for r in both.select(level({n: F.col(n) for n in "xyz"})).distinct().collect())  # a few dozen numbers
+    size = {n: F.lit(cell[n]) * F.pow(F.lit(2.0), F.col("level")) for n in "xyz"}
     sides = []
     for rows, p in ((left, "l_"), (right, "r_")):
-        extent = F.greatest(*[F.col(f"{p}max_{n}") - F.col(f"{p}min_{n}") for n in "xyz"])
-        rows = rows.withColumn(f"{p}level", level(extent))
+        rows = rows.withColumn(f"{p}level", level({n: F.col(f"{p}max_{n}") - F.col(f"{p}min_{n}") for n in "xyz"}))
         rows = rows.withColumn("level", F.explode(_from_level(present, F.col(f"{p}level"))))
-        size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
         for n in "xyz":
-            rows = rows.withColumn(f"cell_{n}", F.explode(F.sequence(F.floor(F.col(f"{p}min_{n}") / size), F.floor(F.col(f"{p}max_{n}") / size))))
+            rows = rows.withColumn(f"cell_{n}", F.explode(F.sequence(F.floor(F.col(f"{p}min_{n}") / size[n]), F.floor(F.col(f"{p}max_{n}") / size[n]))))
         sides.append(rows)
     same = [*keys, "level", "cell_x", "cell_y", "cell_z"]
     pairs = sides[0].join(sides[1], same)
-    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
     here = F.col("level") == F.greatest("l_level", "r_level")
     for n in "xyz":
-        here = here & (F.col(f"cell_{n}") == F.floor(F.greatest(f"l_min_{n}", f"r_min_{n}") / size))
+        here = here & (F.col(f"cell_{n}") == F.floor(F.greatest(f"l_min_{n}", f"r_min_{n}") / size[n]))
     return pairs.where(here & Box.of("l_").meets(Box.of("r_"))).drop("level", "l_level", "r_level", "cell_x", "cell_y", "cell_z")
 
 
