@@ -237,6 +237,16 @@ def graph_components(spark, sf_dir):
     return G.components(i.select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")))
 
 
+@query("""WITH e AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), n AS (SELECT a AS n FROM e UNION SELECT b FROM e),
+r AS (WITH RECURSIVE reach(n, m) USING KEY (n) AS (SELECT n, n AS m FROM n UNION (
+  SELECT x.n, min(x.m) FROM (SELECT e.b AS n, reach.m FROM reach JOIN e ON e.a = reach.n UNION ALL SELECT e.a, reach.m FROM reach JOIN e ON e.b = reach.n) AS x
+  JOIN recurring.reach AS old ON old.n = x.n WHERE x.m < old.m GROUP BY x.n)) SELECT * FROM reach)
+SELECT n AS node, m AS component FROM r""")
+def graph_components_whole(spark, sf_dir):
+    """Components of the graph of parts and suppliers, over all rows."""
+    return G.components(table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")))
+
+
 @query(f"{_WB} SELECT tid, (tid // 12) * 8 AS body FROM bt")
 def body_count(spark, sf_dir):
     return G.bodies(boxes(spark, sf_dir).triangles).select("tid", "body")

@@ -35,3 +35,20 @@ def test_entry_points(spark):
 def test_range_joins_are_equi_joins(spark, name):
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_components_of_all_rows(spark, duck):
+    """Every part and supplier is there, in the component that union-find gives."""
+    edges = duck.execute("SELECT DISTINCT l_partkey * 2, l_suppkey * 2 + 1 FROM lineitem").fetchall()
+    parent = {n: n for e in edges for n in e}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    got = registry.QUERIES["graph_components_whole"](spark, DATA).collect()
+    assert {r.node: r.component for r in got} == {n: root(n) for n in parent}
