@@ -89,6 +89,23 @@ def triangulate(spark, sf_dir):
     return e.select("label", "vec_id", "embedding").groupBy("label").applyInPandas(found, "label int, points long, triangles_and_hull long")
 
 
+@query("""SELECT label, count(*) AS points, count(DISTINCT (embedding[1], embedding[2])) AS places, CASE WHEN count(DISTINCT (embedding[1], embedding[2])) < 3 THEN 0::BIGINT
+  ELSE CAST(2 * count(DISTINCT (embedding[1], embedding[2])) - 2 AS BIGINT) END AS triangles_and_hull FROM embeddings WHERE embedding[1] IS NOT NULL AND embedding[2] IS NOT NULL GROUP BY label""")
+def triangulate_whole(spark, sf_dir):
+    """Delaunay triangulations of all of each label's points, however many; points at one place are one corner."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate("xy")])
+
+    def found(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["x", "y"])
+        places = list(part[["x", "y"]].drop_duplicates().itertuples(index=False, name=None))
+        tris = triangulate_points(places, [], carve=False, most=None)
+        sides = pd.Series([frozenset(s) for t in tris for s in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))], dtype=object)
+        hull = int((sides.value_counts() == 1).sum())
+        return pd.DataFrame({"label": [part["label"].iloc[0]], "points": [len(part)], "places": [len(places)], "triangles_and_hull": [len(tris) + hull]})
+
+    return e.where("x IS NOT NULL AND y IS NOT NULL").groupBy("label").applyInPandas(found, "label int, points long, places long, triangles_and_hull long")
+
+
 @query("SELECT 0::BIGINT AS num_non_manifold, 0::BIGINT AS removed_again, true AS had_some")
 def repair_non_manifold(spark, sf_dir):
     """A surface with a fin: the edge with three triangles is cut out and closed."""

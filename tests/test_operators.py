@@ -109,6 +109,15 @@ def test_triangulation():
         assert error.value.code == code
 
 
+def test_triangulation_of_more_points_than_usual():
+    rng = random.Random(3)
+    points = sorted({(rng.random(), rng.random()) for _ in range(MOST + 200)})
+    found = triangulate(points, [], carve=False, most=None)
+    sides = [frozenset(e) for a, b, c in found for e in ((a, b), (b, c), (c, a))]
+    assert len({x for t in found for x in t}) == len(points)
+    assert len(found) + 2 * len(set(sides)) - len(sides) == 2 * len(points) - 2
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.sets(st.tuples(st.integers(-8, 8), st.integers(-8, 8)), min_size=3, max_size=14), st.randoms(use_true_random=False))
 def test_triangulations_of_star_polygons(cells, rng):

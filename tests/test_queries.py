@@ -52,3 +52,8 @@ def test_components_of_all_rows(spark, duck):
         parent[high] = low
     got = registry.QUERIES["graph_components_whole"](spark, DATA).collect()
     assert {r.node: r.component for r in got} == {n: root(n) for n in parent}
+
+
+def test_all_points_are_triangulated(spark, duck):
+    rows = registry.QUERIES["triangulate_whole"](spark, DATA).toPandas()
+    assert rows.points.sum() == duck.execute("SELECT count(*) FROM embeddings").fetchone()[0]
