@@ -11,7 +11,7 @@ from facetflow.operators.tables import write_table
 from facetflow.operators.triangulate import triangulate as triangulate_points
 from facetflow.plans.scalar import query
 from facetflow.sources import off
-from facetflow.sources.derived import SQL_BOXES, SQL_HEIGHT, MeshFrame, boxes, height_field
+from facetflow.sources.derived import SQL_BOXES, SQL_HEIGHT, MeshFrame, boxes, height_field, table
 
 
 def _operands(spark, sf_dir: str, pairs: int) -> tuple[MeshFrame, MeshFrame]:
@@ -36,7 +36,10 @@ v AS (SELECT k, 8 * ha * ha * ha AS va, 8 * hb * hb * hb AS vb, w * w * w AS vi
 SELECT CAST(k AS VARCHAR) AS mesh_id, round(va + vb - vi, 3) AS union_volume, round(va - vi, 3) AS difference_volume, round(vi, 3) AS intersection_volume, round(va + vb - 2 * vi, 3) AS symmetric_volume FROM v""")
 def bool_volumes(spark, sf_dir):
     """Forty pairs of overlapping boxes at once; their volumes are known."""
-    left, right = _operands(spark, sf_dir, 40)
+    return _volumes(*_operands(spark, sf_dir, 40))
+
+
+def _volumes(left: MeshFrame, right: MeshFrame):
     cut = boolean.resolve(left, right)
     rows = left.vertices.select("mesh_id").distinct()
     for operation, name in (("union", "union"), ("difference", "difference"), ("intersection", "intersection"), ("symmetric_difference", "symmetric")):
@@ -48,11 +51,35 @@ def bool_volumes(spark, sf_dir):
 @query(None)
 def bool_union_geometry(spark, sf_dir):
     """Statistics of the unions: closed, one body each."""
-    mesh = boolean.boolean(*_operands(spark, sf_dir, 40), "union")
+    return _union_statistics(*_operands(spark, sf_dir, 40))
+
+
+def _union_statistics(left: MeshFrame, right: MeshFrame):
+    mesh = boolean.boolean(left, right, "union")
     triangles, _ = write_table(mesh.triangles)
     return stats.geometric_statistics(MeshFrame(mesh.vertices, triangles)).join(stats.topological_statistics(triangles, bodies=True), "mesh_id")
 
 
+def _half(spark, sf_dir: str) -> int:
+    """Half of the vectors, rounded down: vector k is paired with vector k + half, a last odd one with none."""
+    return ((table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1) // 2
+
+
+@query("""WITH h AS (SELECT vec_id, 1.0::DOUBLE + label % 3 AS half FROM embeddings), m AS (SELECT (max(vec_id) + 1) // 2 AS pairs FROM embeddings),
+p AS (SELECT a.vec_id AS k, a.half AS ha, b.half AS hb FROM m, h AS a JOIN h AS b ON b.vec_id = a.vec_id + m.pairs WHERE a.vec_id < m.pairs),
+o AS (SELECT *, greatest(least(ha, 1.25 + hb) - greatest(-ha, 1.25 - hb), 0) AS w FROM p),
+v AS (SELECT k, 8 * ha * ha * ha AS va, 8 * hb * hb * hb AS vb, w * w * w AS vi FROM o)
+SELECT CAST(k AS VARCHAR) AS mesh_id, round(va + vb - vi, 3) AS union_volume, round(va - vi, 3) AS difference_volume, round(vi, 3) AS intersection_volume, round(va + vb - 2 * vi, 3) AS symmetric_volume FROM v""")
+def bool_volumes_whole(spark, sf_dir):
+    """All vectors' boxes, in pairs, at once."""
+    return _volumes(*_operands(spark, sf_dir, _half(spark, sf_dir)))
+
+
+@query(None)
+def bool_union_geometry_whole(spark, sf_dir):
+    return _union_statistics(*_operands(spark, sf_dir, _half(spark, sf_dir)))
+
+
 @query(f"""WITH {SQL_HEIGHT}, n AS (SELECT max(vid) // 20 AS top FROM hv), b AS (SELECT vid, CASE WHEN vid < 20 THEN vid WHEN vid % 20 = 19 THEN 20 + vid // 20 - 1 WHEN vid // 20 = top THEN 19 + top + 19 - vid % 20
   ELSE 19 + top + 19 + top - vid // 20 END AS pos FROM hv, n WHERE vid < 20 OR vid % 20 IN (0, 19) OR vid // 20 = top)
 SELECT '0' AS loop_id, CAST(pos AS INTEGER) AS pos, vid, 'ok' AS status FROM b""")

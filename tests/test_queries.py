@@ -57,3 +57,10 @@ def test_components_of_all_rows(spark, duck):
 def test_all_points_are_triangulated(spark, duck):
     rows = registry.QUERIES["triangulate_whole"](spark, DATA).toPandas()
     assert rows.points.sum() == duck.execute("SELECT count(*) FROM embeddings").fetchone()[0]
+
+
+def test_unions_of_all_pairs_are_closed(spark, duck):
+    rows = registry.QUERIES["bool_union_geometry_whole"](spark, DATA).toPandas()
+    assert len(rows) == duck.execute("SELECT (max(vec_id) + 1) // 2 FROM embeddings").fetchone()[0]
+    assert (rows.num_hole_edges == 0).all() and rows.two_manifold.all()
+    assert (rows.euler == 2).all() and (rows.num_bodies == 1).all()
