@@ -91,9 +91,13 @@ def boundary_loops(spark, sf_dir):
 def close_holes(spark, sf_dir):
     """Boxes that lost the two triangles of a face each, closed again."""
     mesh = boxes(spark, sf_dir)
+    return _reclosed(MeshFrame(mesh.vertices.where("vid < 480"), mesh.triangles.where("tid < 720")))
+
+
+def _reclosed(mesh: MeshFrame):
     body = lambda c, n: F.expr(f"{c} div {n}").cast("string").alias("mesh_id")
-    v = mesh.vertices.where("vid < 480").select(body("vid", 8), "vid", "x", "y", "z")
-    t = mesh.triangles.where("tid < 720").select(body("tid", 12), "tid", "a", "b", "c")
+    v = mesh.vertices.select(body("vid", 8), "vid", "x", "y", "z")
+    t = mesh.triangles.select(body("tid", 12), "tid", "a", "b", "c")
     face = F.expr("tid div 12") % 6 * 2
     opened = MeshFrame(v, t.where((F.col("tid") % 12 != face) & (F.col("tid") % 12 != face + 1)))
     closed, _ = repair.close_holes(opened)
@@ -101,6 +105,12 @@ def close_holes(spark, sf_dir):
     return found.select((F.col("mesh_id").cast("long") * 12).alias("first_tid"), "num_triangles", "num_edges", "num_hole_edges", F.round("volume", 6).alias("volume"))
 
 
+@query(f"""WITH {SQL_BOXES} SELECT vec_id * 12 AS first_tid, 12::BIGINT AS num_triangles, 18::BIGINT AS num_edges, 0::BIGINT AS num_hole_edges, round(8 * half * half * half, 6) AS volume FROM be""")
+def close_holes_whole(spark, sf_dir):
+    """All boxes that lost the two triangles of a face each, closed again."""
+    return _reclosed(boxes(spark, sf_dir))
+
+
 @query("SELECT label, count(*) AS points, CAST(2 * count(*) - 2 AS BIGINT) AS triangles_and_hull FROM embeddings WHERE vec_id < 200 GROUP BY label")
 def triangulate(spark, sf_dir):
     """Delaunay triangulations of each label's points; by Euler's formula triangles and hull edges are 2 n - 2."""

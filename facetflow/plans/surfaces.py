@@ -80,12 +80,22 @@ def divide_boundary(spark, sf_dir):
 def loop_planes(spark, sf_dir):
     """Centroids and best-fit planes of the boundaries of boxes without a top."""
     mesh = boxes(spark, sf_dir)
-    t = mesh.triangles.where("tid < 720 AND tid % 12 NOT IN (2, 3)")
+    return _top_planes(MeshFrame(mesh.vertices, mesh.triangles.where("tid < 720")))
+
+
+def _top_planes(mesh: MeshFrame):
+    t = mesh.triangles.where("tid % 12 NOT IN (2, 3)")
     points = loops.with_coordinates(loops.boundary_loops(t), mesh.vertices).withColumn("body", F.expr("vid div 8"))
     fit = planes.best_fit_planes(points, "body")
     return fit.select("body", "n", *[F.round(f"{p}{n}", 6).alias(f"{p}{n}") for p in "cn" for n in "xyz"])
 
 
+@query(f"""WITH {SQL_BOXES} SELECT vec_id AS body, 4::BIGINT AS n, round(c0, 6) AS cx, round(c1, 6) AS cy, round(c2 + half, 6) AS cz, 0.0::DOUBLE AS nx, 0.0::DOUBLE AS ny, 1.0::DOUBLE AS nz FROM be""")
+def loop_planes_whole(spark, sf_dir):
+    """Centroids and best-fit planes of the boundaries of all boxes, without their tops."""
+    return _top_planes(boxes(spark, sf_dir))
+
+
 @query(f"""WITH {SQL_BOXES}, v AS (SELECT vid, mesh_id, CAST(x * 16 AS HUGEINT) AS x, CAST(y * 16 AS HUGEINT) AS y, CAST(z * 16 AS HUGEINT) + vid % 16 AS z FROM bv),
 e AS (SELECT mesh_id, least(p, q) AS v0, greatest(p, q) AS v1, min(tid) AS edge_tid FROM (SELECT mesh_id, tid, a AS p, b AS q FROM bt UNION ALL SELECT mesh_id, tid, b, c FROM bt UNION ALL SELECT mesh_id, tid, c, a FROM bt) GROUP BY 1, 2, 3),
 g AS (SELECT e.mesh_id, edge_tid, v0, v1, p.x AS px, p.y AS py, p.z AS pz, q.x AS qx, q.y AS qy, q.z AS qz FROM e JOIN v AS p ON p.vid = v0 JOIN v AS q ON q.vid = v1),
