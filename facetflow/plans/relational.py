@@ -357,16 +357,35 @@ def membership(spark, sf_dir):
     return mesh.triangles.where("tid BETWEEN 100 AND 199").join(high, ["mesh_id", "c"], "left_semi").select("tid", "a", "b", "c")
 
 
+@query(f"{_W} SELECT tid, a, b, c FROM ht WHERE c IN (SELECT vid FROM hv WHERE z > 0)")
+def membership_whole(spark, sf_dir):
+    """All triangles that pass the semi-join."""
+    mesh = height_field(spark, sf_dir)
+    high = mesh.vertices.where("z > 0").select("mesh_id", F.col("vid").alias("c"))
+    return mesh.triangles.join(high, ["mesh_id", "c"], "left_semi").select("tid", "a", "b", "c")
+
+
 @query(f"""{_WS}, g AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM st UNION ALL SELECT b, a FROM st) WHERE a < b AND a < 60 AND b < 60),
 SELECT x.a AS t0, x.b AS t1, y.b AS t2 FROM g AS x JOIN g AS y ON y.a = x.b JOIN g AS z ON z.a = x.a AND z.b = y.b""".replace("b < 60),", "b < 60)"))
 def tri_triples(spark, sf_dir):
     """Triples that meet pairwise: a triangle-counting join, each once."""
     t = soup(spark, sf_dir)
-    g = t.select("a", "b").union(t.select("b", "a")).where("a < b AND a < 60 AND b < 60").distinct()
+    return _triples(t.select("a", "b").union(t.select("b", "a")).where("a < b AND a < 60 AND b < 60").distinct())
+
+
+def _triples(g):
     xy = g.select(F.col("a").alias("t0"), F.col("b").alias("t1")).join(g.select(F.col("a").alias("t1"), F.col("b").alias("t2")), "t1")
     return xy.join(g.select(F.col("a").alias("t0"), F.col("b").alias("t2")), ["t0", "t2"]).select("t0", "t1", "t2")
 
 
+@query(f"""{_WS}, g AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM st UNION ALL SELECT b, a FROM st) WHERE a < b)
+SELECT x.a AS t0, x.b AS t1, y.b AS t2 FROM g AS x JOIN g AS y ON y.a = x.b JOIN g AS z ON z.a = x.a AND z.b = y.b""")
+def tri_triples_whole(spark, sf_dir):
+    """Triples over all vertices."""
+    t = soup(spark, sf_dir)
+    return _triples(t.select("a", "b").union(t.select("b", "a")).where("a < b").distinct())
+
+
 @query("SELECT o_orderpriority AS operation, count(*) AS runs, CAST(count(*) FILTER (o_orderstatus <> 'P') AS BIGINT) AS successes, CAST(count(*) FILTER (o_orderstatus = 'P') AS BIGINT) AS failures, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderpriority)")
 def run_rollup(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").rollup(F.col("o_orderpriority").alias("operation"))
