@@ -2,9 +2,8 @@
 
 Unit vectors are split in two halves, each with a codebook of its own; a pair of codes is a cell of the product grid. Every
 vector is kept in its cell and looks for partners in the cells that a multi-sequence traversal meets, nearest first: in
-order of the squared distances to the two half cells' bounding planes, summed. The traversal stops where the target
-recall is reached: at the quantile of that sum over pairs at exactly the similarity wanted, made from a bounded sample of
-vectors in random directions, and over the links among the sample itself. Pairs found are verified in double precision.
+order of the squared distances to the two half cells' bounding planes, summed. That sum is at most the squared distance
+of a pair, so the traversal stops at 2 - 2 * similarity, which no link exceeds. Pairs found are verified in double precision.
 
 Equal vectors of a label are one class first. Of two cells the one with the smaller number looks into the other, so that a
 pair is met once. A cell's vectors are compared in blocks; links are counted where they are found and only a spanning forest
@@ -28,7 +27,6 @@ from facetflow.llm.common import components, map_arrow, write_table
 from facetflow.llm.vectors import binary_rows, from_binary, matrix, unit
 
 SIMILARITY = 0.98
-RECALL = 0.9999
 #: Rows that the codebooks are trained on, at most about twice as many.
 SAMPLE = 8192
 #: Classes of a cell that are held as one block.
@@ -62,28 +60,10 @@ def plane_distances(rows: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np
 class MultiIndex:
     """Two codebooks and the squared bound at which the traversal stops."""
 
-    def __init__(self, rows: np.ndarray, size: int, similarity: float, recall: float, seed: int = 5):
+    def __init__(self, rows: np.ndarray, size: int, similarity: float, seed: int = 5):
         self.half = rows.shape[1] // 2
         self.books = [train_codebook(x, size, seed + k) for k, x in enumerate((rows[:, : self.half], rows[:, self.half :]))]
-        rng = np.random.default_rng(seed)
-        side = rng.standard_normal(rows.shape)
-        side -= (side * rows).sum(1, keepdims=True) * rows
-        norm = np.linalg.norm(side, axis=1, keepdims=True)
-        other = similarity * rows + np.sqrt(1 - similarity**2) * side / np.where(norm > 0, norm, 1)
-        stops = [self._between(rows, other)]
-        for low in range(0, len(rows), 1024):
-            a, b = np.nonzero(rows[low : low + 1024] @ rows.T >= similarity)
-            keep = a + low != b
-            if keep.any():
-                stops.append(self._between(rows[a[keep] + low][:100_000], rows[b[keep]][:100_000]))
-        self.stop = max(float(np.quantile(x, recall, method="higher")) for x in stops)
-
-    def _between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The squared bound at which the traversal from each row of a meets the cell of that of b."""
-        total = np.zeros(len(a))
-        for x, y, codes in zip(self._halves(a), self._halves(b), self.books, strict=True):
-            total += plane_distances(x, codes)[1][np.arange(len(a)), plane_distances(y, codes)[0]] ** 2
-        return total
+        self.stop = 2 - 2 * similarity + 1e-9  # for rounding
 
     def _halves(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return rows[:, : self.half], rows[:, self.half :]
@@ -223,7 +203,7 @@ def _settle(near: np.ndarray, back: np.ndarray, rows: np.ndarray, labels: np.nda
         theirs, labels = low, new
 
 
-def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, codes: int | None = None) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, codes: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of ``embeddings(vec_id, embedding, label)``."""
     rows, classes = _classes(embeddings)
     count = classes.count()
@@ -237,7 +217,7 @@ def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, recal
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     widths = np.bincount([len(r[0]) for r in sample])
     vectors = unit(np.stack([np.frombuffer(r[0], np.float32) for r in sample if len(r[0]) == widths.argmax()]))
-    index = MultiIndex(vectors, codes or int(np.clip(np.sqrt(count / 64), 1, 256)), similarity, recall)
+    index = MultiIndex(vectors, codes or int(np.clip(np.sqrt(count / 64), 1, 256)), similarity)
 
     def celled(batches):
         for batch in batches:

@@ -156,6 +156,25 @@ def test_embedding_dedup(vectors):
     assert near_duplicates(vectors.where("1 = 0")).count() == 0
 
 
+def test_multi_index_meets_every_link():
+    """Near copies along the gap of two centroids, none of them in the sample: of each pair one sees the other's cell."""
+    from facetflow.llm.embedding_dedup import MultiIndex
+    from facetflow.llm.vectors import unit
+
+    rng = np.random.default_rng(1)
+    index = MultiIndex(unit(rng.standard_normal((2000, 32))), 8, 0.98)
+    a = unit(rng.standard_normal((4000, 32)))
+    gap = index.books[0][rng.integers(0, 8, 4000)] - index.books[0][rng.integers(0, 8, 4000)]
+    b = unit(a + np.pad(0.19 * gap / np.maximum(np.linalg.norm(gap, axis=1, keepdims=True), 1e-9), ((0, 0), (0, 16))))
+    linked = (a * b).sum(1) >= 0.98
+    own_b = index.cells(b)[0]
+    own_a, row, cell = index.cells(a)
+    seen = set(zip(row.tolist(), cell.tolist(), strict=True))
+    apart = np.flatnonzero(linked & (own_a != own_b))
+    assert len(apart) > 100
+    assert all((k, own_b[k]) in seen for k in apart.tolist())
+
+
 def test_graph_search(vectors):
     from facetflow.llm.ann import build_index, search, usable
 
