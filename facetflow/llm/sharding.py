@@ -9,12 +9,15 @@ doc_id is a key of its own. The record travels whole in a struct, so that its co
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from facetflow.llm.common import map_arrow, text_bytes
+from facetflow.llm.common import map_arrow, scratch, text_bytes
 
 SHARDS = 24
 SEED = 20_240_611
@@ -78,13 +81,22 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
     """Writes each shard into a folder of its own, slots in order within each file."""
-    shuffled.select("record.*", F.col("shard").alias("__shard"), F.col("slot").alias("__slot")).write.partitionBy("__shard").parquet(path)
+    rows = shuffled.select("record.*", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    rows.sortWithinPartitions("__shard", "__slot").write.partitionBy("__shard").parquet(path)
+
+
+def read_shards(docs: DataFrame, path: str) -> DataFrame:
+    """What ``write_shards`` wrote: the columns of ``docs``, ``__slot`` and ``__shard``."""
+    kind = StructType([*docs.schema.fields, StructField("__slot", LongType()), StructField("__shard", IntegerType())])
+    return docs.sparkSession.read.schema(kind).parquet(path)
 
 
 def op9_external_shuffle(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    text = F.col("record.text")
-    return shuffle_into_shards(docs).select(
-        F.col("record.doc_id").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "utf-8")).alias("text_crc32"),
-        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}.shards"
+    write_shards(shuffle_into_shards(docs), path)
+    text = F.col("text")
+    return read_shards(docs, path).select(
+        "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "utf-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

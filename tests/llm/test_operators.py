@@ -372,3 +372,23 @@ def test_tokens_of_columns():
 def test_crc_of_ids(spark):
     row = spark.sql("SELECT crc32(X'01000000') AS c").first()
     assert row.c == zlib.crc32(np.array([1], "<u4").tobytes())
+
+
+def test_shards_are_written(spark, docs, no_docs, tmp_path):
+    """op9's rows come from the files of the shards; they hold every record, slots in order."""
+    import pyarrow.parquet as pq
+
+    from facetflow.llm.sharding import op9_external_shuffle, read_shards, shuffle_into_shards, write_shards
+
+    path = str(tmp_path / "shards")
+    write_shards(shuffle_into_shards(docs, shards=4, bucket_bytes=2000), path)
+    want = sorted(map(repr, shuffle_into_shards(docs, shards=4, bucket_bytes=2000).select("record.*", "slot", "shard").collect()))
+    got = read_shards(docs, path).withColumnsRenamed({"__slot": "slot", "__shard": "shard"}).collect()
+    assert sorted(map(repr, got)) == want
+    for file in tmp_path.glob("shards/__shard=*/*.parquet"):
+        slots = pq.ParquetFile(file).read(columns=["__slot"]).column(0).to_pylist()
+        assert slots == sorted(slots)
+    write_shards(shuffle_into_shards(no_docs), str(tmp_path / "none"))
+    assert read_shards(no_docs, str(tmp_path / "none")).count() == 0
+    rows = op9_external_shuffle(spark, "/root/testdata/sf0.001")
+    assert all("__shard=" in f for f in rows.inputFiles()) and rows.inputFiles()
