@@ -1,14 +1,18 @@
 """Self-join of documents on the Jaccard similarity of their n-gram sets, by MinHash banding.
 
 Words are runs of bytes other than ASCII white space; a document's set is that of its five-word shingles, as 64-bit hashes; one
-of fewer words has a single shingle. Documents with equal words are one class. Rows of a band and bands are chosen for
-the target recall at the similarity: a class is shuffled by its band hashes, ids only, and classes that share one are
-candidates. Candidates that hang together are brought to one place in blocks, where every pair is verified on whole
-sets; links are counted where they are found and only a spanning forest of a block's links leaves it.
+of fewer words has a single shingle. Documents with equal words are one class, a node with a number of its own. Rows of a
+band and bands are chosen for the target recall at the similarity: a class is shuffled by its band hashes, ids only. A
+class lives in one block, with others that share its bands' smallest class, and visits each block that holds a class with
+one of its bands: only blocks that share a band meet, each two of them in a task of their own, with the classes that
+visit the other. There every pair is verified on whole sets; links are counted where they are found and only a spanning
+forest of them leaves the task.
 
 Defined cases: a null text or one without words links with nothing, neither do rows with a null doc_id; each is a class of
-its own; repeated rows are documents of their own; an empty table gives no rows. Other columns are ignored, whatever
-their names.
+its own; repeated rows are documents of their own, rows with one doc_id and other texts belong to the classes of their
+texts; a class is named by the smallest doc_id that links reach, so that unrelated classes can have one name, but are
+never merged; very long texts are hashed whole, one is in memory at a time beside its block; an empty table gives no rows.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from facetflow.llm.common import batches_by_bytes, column_bytes, components, dro
 
 WORDS = 5
 SIMILARITY = 0.8
-RECALL = 0.999
+RECALL = 0.9999
 #: The most hash functions that choosing bands may spend.
 HASHES = 192
 #: Classes, and words, of a block that is held in memory.
@@ -100,11 +104,11 @@ def _verified(words: int, similarity: float):
     """Pairs of blocks in, (node, links, other) out, like those of the embedding join; the left block's rows come first.
 
     The left block is kept and indexed; rows of the right one are compared as they come. Components among the kept classes
-    are merged as links show up, so that a task's edges are fewer than its rows.
+    are merged as links show up, so that a task's edges are fewer than its rows. A class comes once.
     """
 
     def found(batches):
-        now, held, index, labels, links, seen = None, {}, None, None, None, set()
+        now, held, index, labels, links = None, {}, None, None, None
         ids, sizes = [], np.empty(0, np.int64)
         out: list[tuple[int, int, int | None]] = []
 
@@ -133,8 +137,7 @@ def _verified(words: int, similarity: float):
             by = np.argsort(grams, kind="stable")
             index = grams[by], owner[by], np.array([len(s) for s in sets])
             sizes, labels, links = np.array([n for n, _ in held.values()]), np.arange(len(ids)), np.zeros(len(ids), np.int64)
-            seen.clear()
-            if now[1] == now[2]:
+            if now[0] == now[1]:
                 for k, s in enumerate(sets):
                     other = near(s)
                     links[k] = sizes[other].sum() - sizes[k]
@@ -144,37 +147,31 @@ def _verified(words: int, similarity: float):
             """Both blocks were here: each kept class gives its links as one row."""
             if index is None:
                 close()
-            out.extend((rep, int(links[k]), None) for k, rep in enumerate(ids) if links[k])
+            out.extend((node, int(links[k]), None) for k, node in enumerate(ids) if links[k])
 
         for batch in batches:
             for low, high in batches_by_bytes(batch.column("text"), _TEXT_BYTES):
                 some = batch.slice(low, high - low)
                 hashes, first, grams, begin = _sets(some.column("text"), words)
-                keys = _keys(hashes, first)
-                columns = [some.column(c).to_pylist() for c in ("component", "left", "right", "role", "rep", "n", "key")]
-                for k, (component, left, right, role, rep, n, key) in enumerate(zip(*columns, strict=True)):
-                    if keys[k] != key:
-                        continue  # another row with the id of the class's first
+                columns = [some.column(c).to_pylist() for c in ("left", "right", "role", "node", "n")]
+                for k, (left, right, role, node, n) in enumerate(zip(*columns, strict=True)):
                     grams_k = np.unique(grams[begin[k] : begin[k + 1]])
-                    if (component, left, right) != now:
+                    if (left, right) != now:
                         if held:
                             end()
-                        now, held, index = (component, left, right), {}, None
+                        now, held, index = (left, right), {}, None
                     if role == 0:
-                        held.setdefault(rep, (n, grams_k))
+                        held[node] = (n, grams_k)
                         continue
                     if not held:
                         continue
                     if index is None:
                         close()
-                    if rep in seen:
-                        continue
-                    seen.add(rep)
                     other = near(grams_k)
                     if len(other):
                         links[other] += n
-                        out.append((rep, int(sizes[other].sum()), None))
-                        out.append((rep, 0, ids[join(other)]))
+                        out.append((node, int(sizes[other].sum()), None))
+                        out.append((node, 0, ids[join(other)]))
                 if len(out) > 20_000:
                     yield flush(out)
         if held:
@@ -189,57 +186,86 @@ def _verified(words: int, similarity: float):
     return found
 
 
-def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """(doc_id, text_hash, class_id, n_links): the smallest doc_id that links reach, and how many other documents are linked directly.
+def _meetings(spark, classes: DataFrame, block: int) -> tuple[DataFrame, list[str]]:
+    """(node, left, right, role): where each class that shares a band with another is compared; and tables to drop.
 
-    What is shuffled: signatures once by key, 16 bytes a band and class twice by band, and the texts of candidate classes.
+    Classes that share a band's smallest class are dealt into blocks; a class meets its own block, and those other blocks
+    that hold one of its bands. A pair of classes meets in one place, that of their two blocks.
     """
+    shared = classes.select("node", F.explode("bands").alias("band"))
+    low = shared.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
+    sharing, path_sharing = write_table(shared.join(low, "band"))
+    member = sharing.groupBy("node").agg(F.min("low").alias("leader")).join(classes.select("node", "words"), "node")
+    member, path_member = write_table(member)
+    blocks = member.groupBy("leader").agg(F.ceil(F.count("*") / block + F.sum("words") / BLOCK_WORDS).alias("blocks"))
+    placed, path_placed = write_table(member.join(blocks, "leader").select("node", F.xxhash64("leader", F.pmod(F.xxhash64("node"), "blocks")).alias("block")))
+    banded, path_banded = write_table(sharing.select("node", "band").join(placed, "node"))
+    houses = banded.select("band", F.col("block").alias("other")).distinct()
+    apart = houses.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
+    houses, path_houses = write_table(houses.join(apart, "band"))
+    visits = banded.join(houses, "band").where("block <> other").select("node", "block", "other").distinct()
+    visits = visits.union(placed.select("node", "block", F.col("block").alias("other")))
+    meetings, path = write_table(visits.select("node", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), (F.col("block") > F.col("other")).cast("int").alias("role")))
+    for old in (path_sharing, path_member, path_placed, path_banded, path_houses):
+        drop_table(spark, old)
+    return meetings, [path]
+
+
+def _classified(docs: DataFrame, words: int, similarity: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, key) of all rows, key null where the row takes no part; and (key, n, links, component, doc_id, text_hash, class_id) of classes."""
     spark = docs.sparkSession
     bands, rows = choose_bands(similarity, recall)
     signed, _ = write_table(signatures(docs, words, bands, rows))
     takes_part = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
-    classes = signed.where(takes_part).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("words").alias("words"), F.any_value("bands").alias("bands"))
-    classes, _ = write_table(classes)
-    shared = classes.select("rep", F.explode("bands").alias("band"))
-    low, path_low = write_table(shared.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    edges, path_edges = write_table(shared.join(low, "band").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct())
-    drop_table(spark, path_low)
-    groups, path_groups = write_table(components(edges).withColumnRenamed("node", "rep"))
-    drop_table(spark, path_edges)
-    member = groups.join(classes.select("rep", "n", "key", "words"), "rep")
-    blocks = member.groupBy("component").agg(F.ceil(F.count("*") / block + F.sum("words") / BLOCK_WORDS).alias("blocks"))
-    blocks = member.join(blocks, "component").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    candidates, path_candidates = write_table(blocks.select("rep", "n", "key", "component", "mine", "blocks"))
+    classes = signed.where(takes_part).groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n"), F.max("words").alias("words"), F.any_value("bands").alias("bands"))
+    # numbers are unique, and fixed as soon as the table is written
+    classes, path_classes = write_table(classes.select(F.monotonically_increasing_id().alias("node"), "key", "first.*", "n", "words", "bands"))
+    meetings, paths = _meetings(spark, classes, block)
+    candidates, path_candidates = write_table(meetings.select("node").distinct().join(classes.select("node", "doc_id", "text_hash", "n"), "node"))
     many = candidates.count()
-    drop_table(spark, path_groups)
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    texts = texts.join(F.broadcast(candidates) if many <= BROADCAST_ROWS else candidates, "rep")
-    # every two blocks of a component meet in a task of their own, and each block with itself: no task has more than two
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    texts = texts.select("component", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), (F.col("mine") > F.col("other")).cast("int").alias("role"), "rep", "n", "key", "text")
-    texts = texts.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "role")
-    found, path_found = write_table(texts.transform(map_arrow, _verified(words, similarity), "node long, links long, other long"))
-    links = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
-    links, _ = write_table(links)
-    linked = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
-    linked, _ = write_table(linked)
-    drop_table(spark, path_found)
-    drop_table(spark, path_candidates)
-    verdict = classes.select("key", "rep", "n").join(links, "rep", "left").join(linked, "rep", "left")
-    verdict = verdict.select("key", F.coalesce("component", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    verdict, _ = write_table(verdict)
-    own = signed.select("doc_id", "text_hash", F.when(takes_part, F.col("key")).alias("key"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = texts.join(F.broadcast(candidates) if many <= BROADCAST_ROWS else candidates, ["doc_id", "text_hash"])
+    texts = texts.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("text").alias("text"))  # rows that repeat whole give their text once
+    met = texts.join(meetings, "node").repartition("left", "right").sortWithinPartitions("left", "right", "role")
+    found, path_found = write_table(met.transform(map_arrow, _verified(words, similarity), "node long, links long, other long"))
+    links, path_links = write_table(found.groupBy("node").agg(F.sum("links").alias("links")))
+    linked, path_linked = write_table(components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))))
+    verdict = classes.drop("bands", "words").join(links, "node", "left").join(linked, "node", "left")
+    verdict = verdict.withColumn("component", F.coalesce("component", "node"))
+    names = linked.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    verdict = verdict.join(names, "component", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    verdict, _ = write_table(verdict.drop("node"))
+    for old in (path_found, path_candidates, path_links, path_linked, path_classes, *paths):
+        drop_table(spark, old)
+    return signed.select("doc_id", "text_hash", F.when(takes_part, F.col("key")).alias("key")), verdict
+
+
+def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """(doc_id, text_hash, class_id, n_links): the smallest doc_id that links reach, and how many other documents are linked directly.
+
+    What is shuffled: signatures once by key, 16 bytes a band and class twice by band, and the texts of candidate classes.
+    """
+    own, verdict = _classified(docs, words, similarity, recall, block)
+    verdict = verdict.select("key", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     result = own.join(verdict, "key", "left")
     return result.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def without_similar(docs: DataFrame, **parameters) -> DataFrame:
-    """One row of each group of similar documents: that with the smallest doc_id, of rows that repeat it one."""
-    found = similar_documents(docs, **parameters)
-    first = found.where("doc_id = class_id").groupBy("class_id").agg(F.min("text_hash").alias("__hash")).withColumnRenamed("class_id", "__doc")
-    rows = docs.withColumn("__of", F.xxhash64("text"))
-    kept = rows.join(first, (F.col("doc_id") == F.col("__doc")) & (F.col("__of") == F.col("__hash"))).dropDuplicates(["__doc", "__hash"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+def without_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """One row of each group of similar documents: of its rows one with the smallest (doc_id, hash of the text).
+
+    Rows that link with nothing (null doc_id, null text, no words) all stay. Only where the row to keep is repeated whole,
+    its repetitions are reduced to one by a shuffle.
+    """
+    own, verdict = _classified(docs, words, similarity, recall, block)
+    first = verdict.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("component", "first.*")
+    repeated = own.groupBy("doc_id", "text_hash").agg(F.count("*").alias("again")).where("again > 1")
+    first = first.join(repeated, ["doc_id", "text_hash"], "left").withColumn("again", F.coalesce("again", F.lit(1)) > 1)
+    wordless = F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.select(F.struct("*").alias("record"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), wordless.alias("wordless"))
+    kept = rows.where("not wordless").join(first, ["doc_id", "text_hash"])
+    once, again = kept.where("not again"), kept.where("again").dropDuplicates(["component"])
+    return once.select("record").union(again.select("record")).union(rows.where("wordless").select("record")).select("record.*")
 
 
 def op7_minhash_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -392,3 +392,46 @@ def test_shards_are_written(spark, docs, no_docs, tmp_path):
     assert read_shards(no_docs, str(tmp_path / "none")).count() == 0
     rows = op9_external_shuffle(spark, "/root/testdata/sf0.001")
     assert all("__shard=" in f for f in rows.inputFiles()) and rows.inputFiles()
+
+
+def brute_classes(rows):
+    """Of rows (doc_id, text): each one's smallest doc_id reachable, and its links."""
+    sets = [shingles(t) if t and d is not None else set() for d, t in rows]
+    n = len(rows)
+    near = [[j for j in range(n) if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8] for i in range(n)]
+    out = []
+    for i, (d, _) in enumerate(rows):
+        reach, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in reach:
+                    reach.add(j), todo.append(j)
+        out.append((d, min(rows[j][0] for j in reach) if d is not None else None, len(near[i]), frozenset(reach)))
+    return out
+
+
+def test_jaccard_join_of_repeated_ids(spark):
+    """One doc_id under several texts: classes stay apart, and no unrelated text goes."""
+    from facetflow.llm.jaccard_join import similar_documents, without_similar
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, b.replace("b20 ", "x ")), (4, a.replace("a20 ", "x ")), (4, c), (4, c), (5, None), (5, c.replace("c9 ", "x ")), (5, " "), (None, a), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_classes(rows)
+    got = similar_documents(docs).toPandas()
+    plain = lambda x: None if pd.isna(x) else int(x)
+    assert sorted(map(str, ((plain(r.doc_id), plain(r.class_id), r.n_links) for r in got.itertuples()))) == sorted(str(w[:3]) for w in want)
+    kept = [tuple(r) for r in without_similar(docs).collect()]
+    groups = {w[3] for w in want}
+    for group in groups:
+        assert sum(kept.count(r) for r in {rows[k] for k in group}) == 1 or len(group) == 1
+    assert len(kept) == len(groups)
+
+
+def test_jaccard_join_by_shuffle(spark, docs, monkeypatch):
+    """The shuffle side of the broadcast switch gives the same rows."""
+    from facetflow.llm import jaccard_join
+
+    want = sorted(map(str, jaccard_join.similar_documents(docs).drop("text_hash").collect()))
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, jaccard_join.similar_documents(docs).drop("text_hash").collect())) == want
