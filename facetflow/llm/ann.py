@@ -6,9 +6,12 @@ from the medoid proposes neighbours, and robust pruning keeps one only if no nea
 vectors of a shard are one node. Queries go to every shard in blocks, where a beam search finds candidates; a shard's best
 are scored in double precision on the original vectors and the shards' lists are merged.
 
+Searches run on single-precision copies, scaled by a shard's largest component; scores on the components as they are.
+
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do rows with a
-null vec_id; of rows that repeat a vec_id all but the query's own id are candidates; fewer candidates than k give fewer rows;
-an empty table gives none. Other columns are ignored, whatever their names.
+null vec_id; vectors of each length have shards of their own, and a query finds those of its length only; of rows that repeat
+a vec_id each is a query and a candidate, but no query finds its own id; fewer candidates than k give fewer rows; an empty
+table gives none. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetflow.llm.common import map_arrow, write_table
-from facetflow.llm.vectors import binary_rows, from_binary, matrix
+from facetflow.llm.vectors import binary_rows, from_binary, kind_of, matrices
 
 SHARD = 8192
 DEGREE = 40
@@ -150,87 +153,131 @@ def build_graph(rows: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM,
 _INDEX = "shard int, ids binary, begin binary, rows binary, edges binary, width int, entry int"
 
 
-def _built(degree: int, beam: int):
-    def build(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        ids, rows = table.column("vec_id").to_numpy(), from_binary(table.column("vector").combine_chunks(), np.float32)
+def _scaled(rows: np.ndarray, scale: float) -> np.ndarray:
+    return np.ascontiguousarray(np.clip(rows.astype(np.float64) / scale, -1e9, 1e9).astype(np.float32))
+
+
+def _built(degree: int, beam: int, kind: type):
+    """A task's vectors in, a graph per shard out; a shard is in memory at a time."""
+
+    def graph_of(shard: int, tables: list) -> pa.RecordBatch:
+        table = pa.Table.from_batches(tables)
+        ids, rows = table.column("vec_id").to_numpy(), from_binary(table.column("vector").combine_chunks(), kind)
         order = np.lexsort(ids[None])
         ids, rows = ids[order], rows[order]
-        _, first, node = np.unique(rows.view(f"V{rows.shape[1] * 4}").ravel(), return_index=True, return_inverse=True)
+        _, first, node = np.unique(rows.view(f"V{rows.shape[1] * rows.itemsize}").ravel(), return_index=True, return_inverse=True)
         by = np.argsort(node, kind="stable")
         begin = np.concatenate([[0], np.cumsum(np.bincount(node))])
-        graph = build_graph(np.ascontiguousarray(rows[first]), degree, beam)
-        values = [shard, ids[by].tobytes(), begin.astype(np.int64).tobytes(), graph.rows.tobytes(), graph.edges.astype(np.int32).tobytes(), rows.shape[1], graph.entry]
+        rows = np.ascontiguousarray(rows[first])
+        graph = build_graph(_scaled(rows, float(np.abs(rows).max())), degree, beam)
+        values = [shard, ids[by].tobytes(), begin.astype(np.int64).tobytes(), rows.tobytes(), graph.edges.astype(np.int32).tobytes(), rows.shape[1], graph.entry]
         kinds = [pa.int32(), *[pa.binary()] * 4, pa.int32(), pa.int32()]
-        return pa.table([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in _INDEX.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in _INDEX.split(", ")])
+
+    def build(batches):
+        now, held = None, []
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if high == low:
+                    continue
+                if held and shards[low] != now:
+                    yield graph_of(now, held)
+                    held = []
+                now = int(shards[low])
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield graph_of(now, held)
 
     return build
 
 
-def _usable(batches):
-    for batch in batches:
-        rows, at = matrix(batch.column("embedding"))
-        ids = batch.column("vec_id").take(pa.array(at))
-        known = ids.is_valid()
-        yield pa.RecordBatch.from_arrays([ids.filter(known), binary_rows(rows + np.float32(0)).filter(known)], names=["vec_id", "vector"])
+def _usable(kind: type):
+    def rows_of(batches):
+        for batch in batches:
+            for rows, at in matrices(batch.column("embedding"), kind):
+                ids = batch.column("vec_id").take(pa.array(at))
+                known = ids.is_valid()
+                width = pa.array(np.full(len(at), rows.shape[1]), pa.int32())
+                yield pa.RecordBatch.from_arrays([ids.filter(known), width.filter(known), binary_rows(rows).filter(known)], names=["vec_id", "width", "vector"])
+
+    return rows_of
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    return embeddings.select(F.col("vec_id").cast("long"), "embedding").transform(map_arrow, _usable, "vec_id long, vector binary")
+    """(vec_id, width, vector): components as they are in the column, floats or else doubles."""
+    column = embeddings.schema["embedding"].dataType
+    rows = embeddings.select(F.col("vec_id").cast("long"), "embedding").transform(map_arrow, _usable(kind_of(column)), "vec_id long, width int, vector binary")
+    return rows.withMetadata("vector", {"kind": np.dtype(kind_of(column)).name})
 
 
-def build_index(vectors: DataFrame, shard: int = SHARD, degree: int = DEGREE, beam: int = BUILD_BEAM) -> DataFrame:
-    """One row a shard of ``vectors(vec_id, vector)``, written to the scratch folder; vectors of the commonest length only."""
-    widths = vectors.groupBy(F.octet_length("vector").alias("width")).count().orderBy(F.desc("count"), "width").collect()  # one row a length
-    shards = max(1, math.ceil(widths[0]["count"] / shard)) if widths else 1
-    dealt = vectors.where(F.octet_length("vector") == (widths[0]["width"] if widths else 0)).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return write_table(dealt.groupBy("shard").applyInArrow(_built(degree, beam), _INDEX), compression="uncompressed")[0]
+def _kind(vectors: DataFrame) -> type:
+    return np.dtype(vectors.schema["vector"].metadata["kind"]).type
 
 
-def _blocked(batches):
-    """Queries packed ``BLOCK`` to a row."""
-    for batch in batches:
-        ids, rows = batch.column("vec_id").to_numpy(), from_binary(batch.column("vector"), np.float32)
-        for low in range(0, len(ids), BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[low : low + BLOCK].tobytes()], pa.binary()), pa.array([rows[low : low + BLOCK].tobytes()], pa.binary())], names=["ids", "rows"])
+def build_index(vectors: DataFrame, shard: int = SHARD, degree: int = DEGREE, beam: int = BUILD_BEAM) -> DataFrame:
+    """One row a shard of ``vectors(vec_id, width, vector)``, written to the scratch folder: a shard is a task of its own."""
+    widths, shards = [], 0
+    for row in vectors.groupBy("width").count().orderBy("width").collect():  # one row a length
+        here = math.ceil(row["count"] / shard)
+        widths.append((row["width"], shards, here))
+        shards += here
+    spread = vectors.sparkSession.createDataFrame(widths, "width int, first int, shards int")
+    dealt = vectors.join(F.broadcast(spread), "width").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("shards"))).cast("int"))
+    dealt = dealt.select("shard", "vec_id", "vector").repartitionById(max(1, shards), "shard").sortWithinPartitions("shard")
+    return write_table(dealt.transform(map_arrow, _built(degree, beam, _kind(vectors)), _INDEX), compression="uncompressed")[0]
+
+
+def _blocked(kind: type):
+    """Queries of a length packed ``BLOCK`` to a row."""
+
+    def packed(batches):
+        for batch in batches:
+            widths = batch.column("width").to_numpy()
+            for width in np.unique(widths).tolist():
+                some = batch.take(pa.array(np.flatnonzero(widths == width)))
+                ids, rows = some.column("vec_id").to_numpy(), from_binary(some.column("vector"), kind)
+                for low in range(0, len(ids), BLOCK):
+                    columns = [pa.array([width], pa.int32()), *(pa.array([x[low : low + BLOCK].tobytes()], pa.binary()) for x in (ids, rows))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["width", "ids", "rows"])
+
+    return packed
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = QUERY_BEAM) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each of ``queries(vec_id, vector)``, itself left out.
+    """(query_id, rank, vec_id, score): the k nearest found of each of ``queries(vec_id, width, vector)``, its own id left out.
 
-    A task holds one shard's graph and one block of queries. All queries meet all shards, in blocks.
+    A task holds one shard's graph and one block of queries. All queries meet all shards of their length, in blocks.
     """
-    blocks = queries.transform(map_arrow, _blocked, "ids binary, rows binary").withColumn("hash", F.xxhash64("ids"))
+    kind = _kind(queries)
+    blocks = queries.transform(map_arrow, _blocked(kind), "width int, ids binary, rows binary").withColumn("hash", F.xxhash64("ids"))
     blocks, _ = write_table(blocks, compression="uncompressed")
     copies = max(1, math.ceil(blocks.count() / BLOCKS))
     null = lambda kind: F.lit(None).cast(kind)
     every = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("kind"), "ids", "begin", "rows", "edges", "width", "entry")
-    shards = F.sequence(F.lit(0), F.lit(index.agg(F.max("shard")).first()[0] or 0))
-    asked = blocks.withColumn("shard", F.explode(shards)).select("shard", F.pmod("hash", F.lit(copies)).cast("int").alias("copy"), F.lit(1).alias("kind"), "ids", null("binary").alias("begin"), "rows", null("binary").alias("edges"), null("int").alias("width"), null("int").alias("entry"))
+    asked = blocks.join(index.select("shard", "width"), "width").select("shard", F.pmod("hash", F.lit(copies)).cast("int").alias("copy"), F.lit(1).alias("kind"), "ids", null("binary").alias("begin"), "rows", null("binary").alias("edges"), "width", null("int").alias("entry"))
     tasks = every.unionByName(asked).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
 
     def searched(batches):
-        graph = ids = begin = of = width = None
+        graph = ids = begin = whole = None
+        scale = 1.0
         for batch in batches:
             for r in batch.to_pylist():
+                width = r["width"]
                 if r["kind"] == 0:
-                    of = r["shard"]
-                    width = r["width"]
-                    rows = np.frombuffer(r["rows"], np.float32).reshape(-1, width)
-                    graph = Graph(rows, np.frombuffer(r["edges"], np.int32).reshape(len(rows), -1), r["entry"])
+                    whole = np.frombuffer(r["rows"], kind).reshape(-1, width).astype(np.float64)
+                    scale = float(np.abs(whole).max())
+                    graph = Graph(_scaled(whole, scale), np.frombuffer(r["edges"], np.int32).reshape(len(whole), -1), r["entry"])
                     ids, begin = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["begin"], np.int64)
                     continue
-                if r["shard"] != of:
-                    continue  # a shard without vectors
                 asked = np.frombuffer(r["ids"], np.int64)
-                points = np.frombuffer(r["rows"], np.float32).reshape(len(asked), -1)
-                if points.shape[1] != width:
-                    continue
-                near, _ = graph.beam(points, beam, 8)
+                points = np.frombuffer(r["rows"], kind).reshape(len(asked), width).astype(np.float64)
+                near, _ = graph.beam(_scaled(points, scale), beam, 8)
                 near = near[:, : max(4 * k, 64)]
                 total = np.zeros(near.shape)
                 for d in range(width):  # in order of the components, so that equal vectors have equal scores anywhere
-                    diff = graph.rows[:, d].astype(np.float64)[near] - points[:, d].astype(np.float64)[:, None]
+                    diff = whole[:, d][near] - points[:, d][:, None]
                     total += diff * diff
                 score = np.where(near >= 0, np.sqrt(total), np.inf)
                 query, spot = np.nonzero(np.isfinite(score))

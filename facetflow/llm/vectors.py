@@ -5,22 +5,30 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql.types import DataType, FloatType
 
 
-def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The usable vectors as float32 rows, and their row numbers in the column.
+def kind_of(column_type: DataType) -> type:
+    """float32 for arrays of floats; float64 for any other numbers, which keep all their digits."""
+    return np.float32 if isinstance(column_type.elementType, FloatType) else np.float64
 
-    Unusable: null, empty, all zero, with null or non-finite components, or of another length than most.
+
+def matrices(column: pa.Array, kind: type) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The usable vectors, one matrix a length: (rows, row numbers in the column), -0 as 0.
+
+    Unusable: null, empty, all zero, with null or non-finite components.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = np.nan_to_num(np.array(pc.list_value_length(column).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
-    width = int(np.bincount(lengths[lengths > 0]).argmax()) if (lengths > 0).any() else 0
-    good = np.flatnonzero(lengths == width) if width else np.empty(0, np.int64)
-    flat = column.take(pa.array(good)).flatten() if len(good) else pa.array([], pa.float32())
-    values = np.array(flat.to_numpy(zero_copy_only=False), dtype=np.float32).reshape(len(good), width)
-    usable = np.isfinite(values).all(1) & (values != 0).any(1)
-    return values[usable], good[usable]
+    out = []
+    for width in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == width)
+        flat = column.take(pa.array(at)).flatten()
+        rows = np.array(flat.to_numpy(zero_copy_only=False), dtype=kind).reshape(len(at), width)
+        usable = np.isfinite(rows).all(1) & (rows != 0).any(1)
+        out.append((rows[usable] + kind(0), at[usable]))
+    return out
 
 
 def unit(rows: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -435,3 +436,87 @@ def test_jaccard_join_by_shuffle(spark, docs, monkeypatch):
     want = sorted(map(str, jaccard_join.similar_documents(docs).drop("text_hash").collect()))
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
     assert sorted(map(str, jaccard_join.similar_documents(docs).drop("text_hash").collect())) == want
+
+
+def brute_vectors(rows):
+    """Of (vec_id, vector, label): links and components, by plain loops over nodes."""
+    unit = [np.array(v, float) / np.linalg.norm(np.array(v, float) / max(abs(x) for x in v)) / max(abs(x) for x in v) for _, v, _ in rows]
+    n = len(rows)
+    near = [[j for j in range(n) if j != i and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.98] for i in range(n)]
+    out = []
+    for i in range(n):
+        reach, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in reach:
+                    reach.add(j), todo.append(j)
+        out.append((rows[i][0], len(near[i]), min(rows[j][0] for j in reach)))
+    return out
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_embeddings_of_mixed_lengths_and_repeated_ids(spark, batch):
+    from facetflow.llm.embedding_dedup import near_duplicates
+
+    rng = np.random.default_rng(4)
+    big = [float(x) for x in 1e300 * rng.standard_normal(3)]
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (1, [0.0, 1.0], 1), (3, [0.01, 1.0], 1), (4, big, 0), (5, [2 * x for x in big], 0), (6, [7.0], 0), (7, [9.0], 0), (8, [-1.0], 0)]
+    rows += [(10 + k, [float(x) for x in rng.standard_normal(3)], 0) for k in range(20)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1)).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(zip(got.vec_id, got.n_links, got.component_id, strict=True)) == sorted(brute_vectors(rows))
+
+
+def test_search_of_mixed_lengths_and_doubles(spark):
+    from facetflow.llm.ann import build_index, search, usable
+
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) * 10.0 ** (300 * (k % 2)) for x in rng.standard_normal(3 if k < 40 else 5)]) for k in range(80)] + [(5, [1.0, 2.0, 3.0]), (6, [4.0])]
+    v = usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = search(build_index(v, shard=15), v.where("vec_id % 10 = 0 and width > 1"), k=3, beam=50).toPandas()
+    assert len(got) == 8 * 3
+    for query, part in got.groupby("query_id"):
+        point = np.array(rows[query][1])
+        # a distance beyond the range of doubles is infinite and no candidate's
+        dist = sorted((float(np.sqrt(((np.array(v) - point) ** 2).sum())), i) for i, v in rows if i != query and len(v) == len(point))
+        assert part.sort_values("rank").vec_id.tolist() == [i for _, i in dist[:3]]
+
+
+def test_embedding_dedup_recall_beyond_the_sample(spark):
+    """Near copies that differ along a few directions, several times as many as are sampled: links against brute force."""
+    from facetflow.llm.embedding_dedup import near_duplicates
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4000, 16)) * np.array([3.0] * 2 + [1.0] * 14)
+    y = x[:2000] + np.pad(rng.standard_normal((2000, 2)) * 0.4, ((0, 0), (0, 14)))  # along the directions of most variance
+    z = x[2000:] + 0.12 * rng.standard_normal((2000, 16))
+    x = np.concatenate([x, y, z])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    docs = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x), "label": np.zeros(len(x), int)})).repartition(4)
+    got = near_duplicates(docs, codes=17, sample=1000, queries=600).toPandas().set_index("vec_id").n_links
+    assert (got.sort_index().to_numpy() <= near.sum(1)).all()
+    assert got.sum() >= 0.98 * near.sum() > 2000
+
+
+def test_graph_recall_on_full_shards(spark):
+    from facetflow.llm.ann import SHARD, build_index, search, usable
+
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((2 * SHARD + 3000, 24)).astype(np.float32)
+    x[5000:9000] = x[:4000] + 0.05 * rng.standard_normal((4000, 24)).astype(np.float32)
+    v = usable(spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)})).repartition(4))
+    index = build_index(v)
+    assert index.count() == 3
+    got = search(index, v.where("vec_id % 100 = 0")).toPandas()
+    hits = 0
+    for query, part in got.groupby("query_id"):
+        dist = ((x.astype(float) - x[query].astype(float)) ** 2).sum(1)
+        dist[query] = np.inf
+        hits += len({*np.argpartition(dist, 10)[:10].tolist()} & {*part.vec_id})
+    assert hits >= 0.9 * len(got) and len(got) == 10 * len(range(0, len(x), 100))
