@@ -4,14 +4,18 @@ The n-grams of all documents, of every order up to ``ORDER``, are counted and ea
 counts: f(w1..wn) / f(w1..wn-1) if the n-gram was seen ``LEAST`` times at least (else it was seen in its own document only),
 otherwise 0.4 times the score of the shorter n-gram; a single word by f(w) / N. Scores are summed as logarithms per document.
 
-The relations are packed: a row holds many n-grams. Documents are dealt into blocks of bounded size; a block's distinct
-n-grams with their counts, exploded and reduced there, go to the partitions of the count table by ranges of their hash; a
-partition adds up its part of the table, joins it to what each block sent and answers with one number per n-gram
-in the order asked; a block joins the answers to its n-grams by position. A frequent n-gram so is one entry a block. The
-number of words is the count of the empty n-gram.
+The relations are packed: a row holds many n-grams. Documents are packed, in the order they are read, into blocks of bounded
+size, one compressed row each; a block's distinct n-grams with their counts, exploded and reduced there, go to the partitions of
+the count table by ranges of their hash; a partition adds up its part of the table, joins it to what each block sent and
+answers with one number per n-gram in the order asked; a block joins the answers to its n-grams by position. A frequent
+n-gram so is one entry a block, a row that repeats without end lies in as many blocks as it fills. The number of words is
+the count of the empty n-gram.
 
-N-grams are told apart by hashes of 26 bits more than it takes to number all of them, up to 64: two n-grams of a corpus
-agree with a probability of 2^-26 at most below 10^11 words.
+A block sends a row to each part of the table that it has n-grams of: rows are at most blocks times parts, which grows with the
+square of the input, and never more than the n-grams. With the defaults a row holds thousands of n-grams at 1 GB of text,
+some ten at 1 TB; where it holds few they are stored plainly, so a row then costs what a plain row of a count table would.
+
+N-grams are told apart by 64-bit hashes.
 
 Words are runs of bytes other than ASCII white space. Defined cases: a null text or one without words has 0 words, the score
 0 and no mean; repeated rows are documents of their own, and their words count again; an empty table gives no rows. Other
@@ -20,14 +24,13 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import column_bytes, mix, next_gram, text_bytes, word_hashes, word_spans
+from facetflow.llm.common import batches_by_bytes, column_bytes, map_arrow, mix, next_gram, text_bytes, word_hashes, word_spans
 
 ORDER = 3
 ALPHA = 0.4
@@ -38,10 +41,12 @@ _HEAD = np.uint64(0x51ED270B7F4A7C15)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """Bytes of equal rank together: small numbers and small steps leave runs of zeros."""
+    """Bytes of equal rank together: small numbers and small steps leave runs of zeros. Few numbers as they are, after an x."""
     import zstandard
 
     wide = numbers.dtype.itemsize
+    if len(numbers) < 32:
+        return b"x" + numbers.tobytes()
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, wide).T).tobytes())
 
 
@@ -49,6 +54,8 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     import zstandard
 
     wide = np.dtype(kind).itemsize
+    if data[:1] == b"x":  # a frame begins with another byte
+        return np.frombuffer(data, kind, offset=1)
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(wide, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
@@ -56,7 +63,7 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
 class Grams:
     """All n-grams of a block: one array of hashes per order, each word's place in its document, and the distinct hashes."""
 
-    def __init__(self, text: pa.ChunkedArray, order: int, bits: int):
+    def __init__(self, text: pa.ChunkedArray, order: int):
         buf, at = column_bytes(text)
         start, end, self.first = word_spans(buf, at)
         words = word_hashes(buf, start, end)
@@ -68,7 +75,7 @@ class Grams:
             if n:
                 gram = np.concatenate([gram[:1], next_gram(gram[:-1], words[1:])])  # ends where it stands
             whole = self.place >= n
-            some, inverse, count = np.unique(mix(gram[whole] + np.uint64(n)) >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+            some, inverse, count = np.unique(mix(gram[whole] + np.uint64(n)), return_inverse=True, return_counts=True)
             spot = np.zeros(len(words), np.int32)
             spot[whole] = inverse + base
             distinct.append(some), times.append(count), spots.append(spot)
@@ -80,9 +87,9 @@ class Grams:
         self.grams, self.times = grams[by], np.concatenate(times)[by]
         self.none, self.at = rank[0], [rank[spot] for spot in spots]
 
-    def cuts(self, parts: int, bits: int) -> np.ndarray:
+    def cuts(self, parts: int) -> np.ndarray:
         """Where the count table's parts begin among the distinct hashes."""
-        part = ((self.grams >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
+        part = ((self.grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
 
     def scores(self, total: np.ndarray, alpha: float, least: int) -> np.ndarray:
@@ -100,25 +107,52 @@ class Grams:
         return out
 
 
+def _frame(parts: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(pa.Table.from_batches(parts).combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, frame): documents in the order read, about ``block_bytes`` of text to a row, a longer text alone."""
+
+    def packed(batches):
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            for low, high in batches_by_bytes(batch.column("text"), max(1, block_bytes // 4)):
+                part = batch.slice(low, high - low)
+                more = part.nbytes
+                if held and size + more > block_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_frame(held)], pa.binary())], names=["block", "frame"])
+                    block, held, size = block + 1, [], 0
+                held.append(part)
+                size += more
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_frame(held)], pa.binary())], names=["block", "frame"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, packed, "block long, frame binary")
+
+
 def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, block_bytes: int = BLOCK_BYTES, part_grams: int = PART_GRAMS) -> DataFrame:
     """(doc_id, n_words, score): the sum of the words' natural log scores, with counts over all documents.
 
-    Texts are shuffled once, into blocks (both passes read the same exchange); n-grams cost some 5 bytes each, answers less
-    than one. A task holds a block, or a part of the count table.
+    Texts are shuffled once, as compressed blocks (both passes read the same exchange); n-grams cost some 6 bytes each, answers
+    less than one. A task holds a block, or a part of the count table.
     """
-    size = text_bytes(docs)
-    blocks = max(1, -(-size // block_bytes))
-    grams = max(1, size // 5 * order)
+    grams = max(1, text_bytes(docs) // 5 * order)
     parts = max(1, -(-grams // part_grams))
-    bits = min(64, max(40, math.ceil(math.log2(grams)) + 26))
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    dealt = blocks_of(docs, block_bytes)
+
+    def texts(table: pa.Table) -> pa.Table:
+        return pa.ipc.open_stream(table.column("frame")[0].as_buffer()).read_all()
 
     def asked(table: pa.Table) -> pa.Table:
-        block, g = table.column("block")[0], Grams(table.column("text"), order, bits)
-        cuts = g.cuts(parts, bits)
+        block, g = table.column("block")[0], Grams(texts(table).column("text"), order)
+        cuts = g.cuts(parts)
         some = np.flatnonzero(np.diff(cuts))
         rows = [(_pack(np.diff(g.grams[a:b], prepend=np.uint64(0))), _pack(g.times[a:b].astype(np.uint32))) for a, b in zip(cuts[some].tolist(), cuts[some + 1].tolist(), strict=True)]
-        columns = [pa.array(some, pa.int32()), pa.array([block.as_py()] * len(some), pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))]
+        columns = [pa.array(some, pa.int32()), pa.array([block.as_py()] * len(some), pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))]
         return pa.table(columns, names=["part", "block", "grams", "times"])
 
     def counted(table: pa.Table) -> pa.Table:
@@ -131,14 +165,15 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
         return pa.table([table.column("part"), table.column("block"), pa.array(answers, pa.binary())], names=["part", "block", "total"])
 
     def scored(table: pa.Table, answers: pa.Table) -> pa.Table:
-        g = Grams(table.column("text"), order, bits)
+        docs = texts(table)
+        g = Grams(docs.column("text"), order)
         by = np.argsort(answers.column("part").to_numpy())
         packed = answers.column("total").to_pylist()
         total = np.concatenate([_unpack(packed[k], np.int64) for k in by])
-        return pa.table([table.column("doc_id"), pa.array(g.count), pa.array(g.scores(total, alpha, least))], names=["doc_id", "n_words", "score"])
+        return pa.table([docs.column("doc_id"), pa.array(g.count), pa.array(g.scores(total, alpha, least))], names=["doc_id", "n_words", "score"])
 
-    requests = dealt.groupBy("block").applyInArrow(asked, "part int, block int, grams binary, times binary")
-    answers = requests.groupBy("part").applyInArrow(counted, "part int, block int, total binary")
+    requests = dealt.groupBy("block").applyInArrow(asked, "part int, block long, grams binary, times binary")
+    answers = requests.groupBy("part").applyInArrow(counted, "part int, block long, total binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, "doc_id long, n_words long, score double")
 
 
