@@ -5,8 +5,9 @@ A turn is ``<s>``, its role's opening mark, its text, the closing mark and ``</s
 texts and names every such control string gets a backslash after its first character, one more if it has some already,
 which is undone by taking one away.
 
-Formatted conversations come in parts: bounded runs of turns, cut also where a task begins, so that a conversation of any
-length is formatted by many tasks; one of usual length is one part. Parts in order of ``part`` make the conversation.
+Formatted conversations come in parts: bounded runs of turns, cut also where a task or a batch begins, so that a conversation of
+any length is formatted by many tasks. Parts in order of ``part`` make the conversation. All parts of a batch are one Arrow
+buffer, filled once; loss spans come from the cumulative lengths.
 
 Defined cases: a null text is empty; a null role is the empty name; a null conv_id is a conversation of its own; turns are
 ordered by turn (null first), ties by role and a hash of the text; repeated rows are turns of their own; an empty table has
@@ -81,50 +82,42 @@ def _marks(roles: list[str]) -> tuple[pa.Array, pa.Array]:
     return pa.array([x for x, _ in both], pa.string()), pa.array([x for _, x in both], pa.string())
 
 
-def _formatted(batches):
-    """Sorted turns in, parts out. Headers, texts and footers of a batch are copied into one Arrow buffer."""
-    serial = TaskContext.get().partitionId() << 32
-    parts: list[tuple] = []
-    now: list | None = None  # conversation, formatted pieces, loss starts, loss ends, bytes, characters
-
-    def close():
-        nonlocal now, serial
-        if now is not None:
-            parts.append((now[0], serial, b"".join(now[1]).decode(), now[2], now[3]))
-            serial, now = serial + 1, None
+def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(values, pa.int64()))
 
-    def batch():
-        nonlocal parts
-        columns = zip(*parts, strict=True) if parts else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        parts = []
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _PARTS.split(", ")])
 
+def _formatted(batches):
+    """Sorted turns in, parts out: headers, texts and footers of a slice are copied into one buffer, over which the column of parts lies."""
+    serial = TaskContext.get().partitionId() << 32
     for source in batches:
         for low, high in batches_by_bytes(source.column("text"), 4 << 20):
             some = source.slice(low, high - low)
-            roles = some.column("role").to_pylist()
-            head, foot = _marks(roles)
+            roles = some.column("role")
+            head, foot = _marks(roles.to_pylist())
             columns = [head, escape(some.column("text")), foot]
             data = [_bytes(c) for c in columns]
             out, ends = _assemble([s for _, s in data], [b for b, _ in data])
-            chars = [pc.utf8_length(c).to_numpy(zero_copy_only=False) for c in columns]
-            conv, begin = some.column("conv_id").to_pylist(), 0
-            for k, end in enumerate(ends.tolist()):
-                if now is None or now[0] != conv[k] or now[4] >= PART_BYTES:
-                    close()
-                    now = [conv[k], [], [], [], 0, 0]
-                now[1].append(out[begin:end].tobytes())
-                if roles[k] == "assistant":
-                    now[2].append(now[5] + int(chars[0][k]))
-                    now[3].append(now[5] + int(chars[0][k] + chars[1][k]))
-                now[4] += end - begin
-                now[5] += int(chars[0][k] + chars[1][k] + chars[2][k])
-                begin = end
-            if len(parts) >= 512:
-                yield batch()
-    close()
-    yield batch()
+            begins = np.concatenate([[0], ends[:-1]])
+            conv = some.column("conv_id")
+            number, known = conv.fill_null(0).to_numpy(zero_copy_only=False), conv.is_valid().to_numpy(zero_copy_only=False)
+            new = np.ones(len(some), bool)
+            new[1:] = (number[1:] != number[:-1]) | (known[1:] != known[:-1])
+            run = begins[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+            piece = (begins - run) // PART_BYTES
+            new[1:] |= piece[1:] != piece[:-1]
+            first = np.flatnonzero(new)
+            offsets = np.concatenate([begins[first], ends[-1:]]).astype(np.int32)
+            formatted = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(out))
+            chars = [pc.utf8_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
+            total = np.cumsum(chars[0] + chars[1] + chars[2])
+            part = np.cumsum(new) - 1
+            before = total - (chars[0] + chars[1] + chars[2])
+            start = before - before[first][part] + chars[0]
+            loss = np.flatnonzero(pc.equal(roles, "assistant").to_numpy(zero_copy_only=False))
+            spans = np.searchsorted(part[loss], np.arange(len(first) + 1))
+            numbers = pa.array(serial + np.arange(len(first)), pa.int64())
+            serial += len(first)
+            yield pa.RecordBatch.from_arrays([conv.take(pa.array(first)), numbers, formatted, _lists(start[loss], spans), _lists((start + chars[1])[loss], spans)], names=[x.split()[0] for x in _PARTS.split(", ")])
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
