@@ -3,10 +3,14 @@
 A document's tail, what is left after whole windows of the largest tier, is routed to the smallest tier that holds it. Tiers
 are packed from the longest down: the longest piece left opens a window of its tier, and the gap takes the longest pieces
 that fit, from its own and all shorter tiers; when none fits, the shortest one is cut to the gap. So every window is full.
-What a task has left at its end, less than one window, goes into windows of smaller powers of two. Windows in order of
-size fill step groups of equal token counts.
+What a task has left at its end, less than one window, goes into windows of smaller powers of two.
 
-A task packs what it reads: ids are never shuffled, and a task holds about ``FLUSH`` tokens and one document's ids.
+Windows fill step groups of exactly ``STEP`` tokens: where less than a window is left of a step, smaller powers of two close
+it. A task's last group is a rest; ``balanced`` puts the windows of all rests, longest first, into groups of a step
+again, so that of all groups one at most is smaller.
+
+A task packs what it reads: ids are never shuffled, and a task holds about ``FLUSH`` tokens and one document's ids. Of
+``balanced`` one task orders the windows of the rests, some twenty a packing task.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are documents of their own, pieces of a null doc_id
 have a null doc_id; an empty table gives no pieces; other columns are ignored, whatever their names.
@@ -20,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import batches_by_bytes, map_arrow
+from facetflow.llm.common import batches_by_bytes, map_arrow, write_table
 from facetflow.llm.tokens import END, WordTokenizer, default_path
 
 TIERS = (4096, 2048, 1024, 512, 256)
@@ -45,18 +50,21 @@ class _Packer:
         self.out: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        largest, serial = self.tiers[0], self.serial
+        serial, start = self.serial, 0
         self.serial += 1
-        whole = len(ids) // largest * largest
-        tail = len(ids) - whole
-        self.docs[serial] = [doc_id, ids, bool(tail)]
-        for start in range(0, whole, largest):
-            self._close(largest, [(largest, serial, start)])
-        if tail:
-            insort(self.waiting, (tail, serial, whole))
+        self.docs[serial] = [doc_id, ids]
+        while len(ids) - start >= self.tiers[0]:
+            window = self._window(self.tiers[0])
+            self._close(window, [(window, serial, start)])
+            start += window
+        if tail := len(ids) - start:
+            insort(self.waiting, (tail, serial, start))
             self.tokens += tail
-        else:
-            del self.docs[serial]
+
+    def _window(self, tier: int) -> int:
+        """The tier, or the largest power of two that is left of the step."""
+        left = self.step - self.filled % self.step
+        return min(tier, 1 << (left.bit_length() - 1))
 
     def _take(self, most: int) -> tuple[int, int, int]:
         """The longest piece of at most ``most`` tokens, else the shortest one cut."""
@@ -71,7 +79,7 @@ class _Packer:
         """Closes full windows as long as the waiting pieces fill one of the longest piece's tier."""
         while self.waiting:
             length = self.waiting[-1][0]
-            window = next(t for t in reversed(self.tiers) if t >= length)
+            window = self._window(next(t for t in reversed(self.tiers) if t >= length))
             if self.tokens < window:
                 break
             self._fill(window)
@@ -79,7 +87,7 @@ class _Packer:
     def finish(self) -> None:
         self.flush()
         while self.tokens:
-            self._fill(1 << (self.tokens.bit_length() - 1))
+            self._fill(self._window(1 << (self.tokens.bit_length() - 1)))
 
     def _fill(self, window: int) -> None:
         pieces, gap = [], window
@@ -94,7 +102,7 @@ class _Packer:
         self.windows += 1
         self.filled += window
         for length, serial, start in pieces:
-            doc_id, ids, _ = self.docs[serial]
+            doc_id, ids = self.docs[serial]
             self.out.append((doc_id, start, length, ids[start : start + length].tobytes(), len(ids), sequence, offset, window, group))
             offset += length
 
@@ -139,5 +147,22 @@ def digests(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
 
 
+def balanced(pieces: DataFrame, step: int = STEP) -> DataFrame:
+    """Written ``pieces`` or their digests, the windows of the tasks' last groups put together into groups of ``step`` tokens.
+
+    Powers of two in order of size never lie across a multiple of a step, so all groups but the last are full.
+    """
+    rests = pieces.groupBy("step_group").agg(F.sum("length").alias("tokens")).where(F.col("tokens") < step).select("step_group")
+    windows = pieces.join(rests, "step_group", "left_semi").select("sequence_id", "window").distinct()
+    upto = F.sum("window").over(W.orderBy(F.desc("window"), "sequence_id").rowsBetween(W.unboundedPreceding, -1))
+    windows = windows.select("sequence_id", (F.lit(1 << 62) + F.floor(F.coalesce(upto, F.lit(0)) / step)).alias("joint_group"))
+    return pieces.join(windows, "sequence_id", "left").withColumn("step_group", F.coalesce("joint_group", "step_group")).select(*pieces.columns)
+
+
+def packed_digests(docs: DataFrame, **parameters) -> DataFrame:
+    """``digests`` of the pieces of ``docs``, step groups balanced over all tasks."""
+    return balanced(write_table(digests(pack(docs, **parameters)))[0], parameters.get("step", STEP))
+
+
 def op8_hierarchical_packing(spark, sf_dir: str) -> DataFrame:
-    return digests(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return packed_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
