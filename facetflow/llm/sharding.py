@@ -1,10 +1,12 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters records over memory-sized buckets by a seeded hash; pass two shuffles each bucket by Fisher-Yates. The
-buckets one after another are one random order of all records, of which each shard is an equal slice (law ``rows``).
+Pass one scatters records over memory-sized buckets by a seeded hash of the id and the text; pass two shuffles each bucket by
+Fisher-Yates and writes it. The buckets one after another are one random order of all records, of which each shard is
+an equal slice (law ``rows``).
 
-Defined cases: an empty table gives no rows; a null text has no bytes; records that repeat are dealt like others, a null
-doc_id is a key of its own. The record travels whole in a struct, so that its column names clash with nothing.
+Defined cases: an empty table gives no rows; a null text has no bytes; rows with one doc_id are dealt by their texts, a null
+doc_id is an id like others; rows that repeat whole are dealt to one bucket, which is shuffled in pieces; a very long text
+is in memory alone. The record travels whole in a struct, so that its column names clash with nothing.
 """
 
 from __future__ import annotations
@@ -14,39 +16,54 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from facetflow.llm.common import map_arrow, scratch, text_bytes
+from facetflow.llm.common import map_arrow, scratch, text_bytes, write_table
 
 SHARDS = 24
 SEED = 20_240_611
 BUCKET_BYTES = 16 << 20
+#: At most so many tasks, each with a run of buckets; and buckets whose counts are added up to one number for the driver.
+TASKS, RUN = 65_536, 4096
+
+
+def _first_places(counts: DataFrame) -> tuple[DataFrame, int]:
+    """(bucket, first): how many records the buckets before hold; and the number of all.
+
+    The driver gets a number per ``RUN`` buckets, 64 GB of text; a task adds up one run.
+    """
+    runs = counts.groupBy(F.floor(F.col("bucket") / RUN).alias("run")).agg(F.sum("count").alias("count")).orderBy("run").collect()
+    ends = np.cumsum([r["count"] for r in runs]).tolist()
+    before = counts.sparkSession.createDataFrame([(r["run"], end - r["count"]) for r, end in zip(runs, ends, strict=True)], "run long, before long")
+    inner = F.sum("count").over(W.partitionBy("run").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    placed = counts.withColumn("run", F.floor(F.col("bucket") / RUN)).withColumn("inner", F.coalesce(inner, F.lit(0)))
+    return placed.join(F.broadcast(before), "run").select("bucket", (F.col("before") + F.col("inner")).alias("first")), ends[-1] if ends else 0
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(record struct, shard int, slot long): a uniform order, cut into ``shards`` slices whose counts are at most one apart.
 
-    The driver gets one count per bucket, 8 bytes per ``bucket_bytes`` of text. A task holds at most ``bucket_bytes``
-    (or one record) at a time: a larger bucket, as of one key that repeats without end, is shuffled in pieces, which its
-    seeded sort has dealt already.
+    A bucket's first place comes to its task as a row before its records. A task holds at most ``bucket_bytes`` (or one
+    record) at a time: a larger bucket, as of one row that repeats without end, is shuffled in pieces, which its seeded
+    sort has dealt already.
     """
     buckets = max(1, -(-text_bytes(docs) // bucket_bytes))
-    bucket = lambda key: F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)).cast("int")
-    counts = np.zeros(buckets, np.int64)
-    for row in docs.groupBy(bucket(F.col("doc_id")).alias("bucket")).count().collect():
-        counts[row[0]] = row[1]
-    first, total = np.cumsum(counts) - counts, int(counts.sum())
+    tasks = min(buckets, TASKS)
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(buckets)).cast("long")
+    counts, _ = write_table(docs.groupBy(bucket.alias("bucket")).count())
+    places, total = _first_places(counts)
 
     def shuffled(batches):
-        held, nbytes, at, done = [], 0, None, 0
+        held, nbytes, at, done, first = [], 0, None, 0, 0
 
         def flush():
             nonlocal held, nbytes, done
             table = pa.Table.from_batches(held).combine_chunks()
             order = np.random.Generator(np.random.PCG64([seed, at, done])).permutation(len(table))  # Fisher-Yates
             # the record placed at i is order[i]
-            position = first[at] + done + np.arange(len(table), dtype=np.int64)
+            position = first + done + np.arange(len(table), dtype=np.int64)
             # products beyond 64 bits are not met below 2**63 / shards records
             shard = position * shards // total
             slot = position - -(-shard * total // shards)
@@ -66,17 +83,20 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
                 if held and (of[low] != at or nbytes >= bucket_bytes):
                     yield from flush()
                 if of[low] != at:
-                    at, done = int(of[low]), 0
-                held.append(batch.slice(low, high - low))
-                nbytes += held[-1].get_total_buffer_size() if high - low == len(of) else held[-1].nbytes
+                    at, done, first = int(of[low]), 0, batch.column("first")[low].as_py()
+                    low += 1  # the row that says so
+                if high > low:
+                    held.append(batch.slice(low, high - low))
+                    nbytes += held[-1].get_total_buffer_size() if high - low == len(of) else held[-1].nbytes
         if held:
             yield from flush()
 
-    record = F.struct("*")
-    scattered = docs.select(record.alias("record"), bucket(F.col("doc_id")).alias("bucket")).repartitionById(buckets, "bucket")
-    scattered = scattered.sortWithinPartitions("bucket", F.xxhash64(F.lit(seed + 1), "record.doc_id"), F.xxhash64("record"))
-    kind = docs.select(record.alias("record")).schema[0].dataType.simpleString()
-    return scattered.transform(map_arrow, shuffled, f"record {kind}, shard int, slot long")
+    rows = docs.select(F.struct("*").alias("record"), bucket.alias("bucket"), F.lit(None).cast("long").alias("first"), F.xxhash64(F.lit(seed + 1), "doc_id").alias("by"))
+    kind = rows.schema["record"].dataType
+    heads = places.select(F.lit(None).cast(kind).alias("record"), "bucket", "first", F.lit(None).cast("long").alias("by"))
+    scattered = heads.union(rows).withColumn("task", F.floor(F.col("bucket") * tasks / buckets).cast("int")).repartitionById(tasks, "task")
+    scattered = scattered.sortWithinPartitions("bucket", F.col("first").isNull(), "by", F.xxhash64("record")).select("record", "bucket", "first")
+    return scattered.transform(map_arrow, shuffled, f"record {kind.simpleString()}, shard int, slot long")
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:

@@ -520,3 +520,73 @@ def test_graph_recall_on_full_shards(spark):
         dist[query] = np.inf
         hits += len({*np.argpartition(dist, 10)[:10].tolist()} & {*part.vec_id})
     assert hits >= 0.9 * len(got) and len(got) == 10 * len(range(0, len(x), 100))
+
+
+def test_step_groups(spark):
+    """Every group has a step's tokens, but for one rest a task; balanced, but for one of all."""
+    from facetflow.llm.packing import balanced, digests, pack, packed_digests
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 99, int(rng.lognormal(3, 1.5))))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = digests(pack(docs, tiers=(64, 32, 16), step=256, flush=300)).toPandas()
+    tokens = got.groupby("step_group").length.sum()
+    assert (tokens > 256).sum() == 0 and (tokens < 256).sum() <= 4 and (got.groupby("sequence_id").length.sum() == got.groupby("sequence_id").window.first()).all()
+    joined = packed_digests(docs, tiers=(64, 32, 16), step=256, flush=300).toPandas()
+    tokens = joined.groupby("step_group").length.sum()
+    assert (tokens > 256).sum() == 0 and (tokens < 256).sum() <= 1
+    assert sorted(joined.drop(columns="step_group").itertuples(index=False)) == sorted(got.drop(columns="step_group").itertuples(index=False))
+    assert balanced(digests(pack(docs.where("1 = 0")))).count() == 0
+
+
+def test_sharding_equals_a_plain_shuffle(spark):
+    """Against a loop over sorted rows; ids that repeat without end go to many buckets."""
+    from pyspark.sql import functions as F
+
+    from facetflow.llm.sharding import SEED, shuffle_into_shards
+
+    rows = [(7 if i % 3 else None if i % 2 else i, f"{i} " * 200) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    buckets = -(-total // 50_000)
+    keys = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(buckets)).alias("b"), F.xxhash64(F.lit(SEED + 1), "doc_id").alias("h"), F.xxhash64(F.struct("doc_id", "text")).alias("g"))
+    want, order = [], []
+    found = sorted((r.b, r.h, r.g, r.doc_id, r.text) for r in keys.collect())
+    for b in range(buckets):
+        here = [r for r in found if r[0] == b]
+        order += [here[k] for k in np.random.Generator(np.random.PCG64([SEED, b, 0])).permutation(len(here))]
+    assert len({r[0] for r in found if r[3] == 7}) == buckets
+    for place, r in enumerate(order):
+        shard = place * 4 // 300
+        want.append((shard, place - -(-shard * 300 // 4), r[3], r[4]))
+    got = shuffle_into_shards(docs, shards=4, bucket_bytes=50_000).collect()
+    assert sorted(((r.shard, r.slot, r.record.doc_id, r.record.text) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_parts_lie_over_one_buffer():
+    """The column of formatted parts is the assembled buffer itself; spans and offsets fit the template."""
+    from facetflow.llm import chat
+
+    seen = {}
+    real = chat._assemble
+    rows = pa.record_batch({"conv_id": pa.array([1, 1, None, None, 2]), "turn": pa.array([0, 1, 0, 1, 0]), "role": ["user", "assistant", "", "tool<s>", "assistant"], "text": ["a", "b</s>é", "", "x", "zz"]})
+
+    def watched(*args):
+        seen["out"], ends = real(*args)
+        return seen["out"], ends
+
+    class Context:
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+
+    old = chat._assemble, chat.TaskContext
+    chat._assemble, chat.TaskContext = watched, type("T", (), {"get": staticmethod(Context)})
+    try:
+        (batch,) = chat._formatted([rows])
+    finally:
+        chat._assemble, chat.TaskContext = old
+    column = batch.column("formatted")
+    assert column.buffers()[2].address == seen["out"].ctypes.data
+    assert column.to_pylist() == ["<s>[INST]a[/INST]</s><s>b<\\/s>é</s>", "<s>[ROLE][/ROLE]</s><s>[ROLE]tool<\\s>[/ROLE]x</s>", "<s>zz</s>"]
+    spans = [[t[a:b] for a, b in zip(x, y, strict=True)] for t, x, y in zip(column.to_pylist(), batch.column("loss_start").to_pylist(), batch.column("loss_end").to_pylist(), strict=True)]
+    assert spans == [["b<\\/s>é"], [], ["zz"]]
+    assert batch.column("conv_id").to_pylist() == [1, None, 2] and batch.column("part").to_pylist() == [(3 << 32) + k for k in range(3)]
