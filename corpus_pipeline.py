@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from facetflow.llm.common import write_table
 from facetflow.llm.jaccard_join import without_similar
 from facetflow.llm.mixing import mixed_documents
-from facetflow.llm.packing import digests, pack
+from facetflow.llm.packing import packed_digests
 from facetflow.llm.toxicity import without_toxic
 
 
@@ -28,7 +28,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in full windows."""
-    return digests(pack(docs))
+    return packed_digests(docs)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
