@@ -3,10 +3,9 @@
 Words are runs of bytes other than ASCII white space; a document's set is that of its five-word shingles, as 64-bit hashes; one
 of fewer words has a single shingle. Documents with equal words are one class, a node with a number of its own. Rows of a
 band and bands are chosen for the target recall at the similarity: a class is shuffled by its band hashes, ids only. A
-class lives in one block, with others that share its bands' smallest class, and visits each block that holds a class with
-one of its bands: only blocks that share a band meet, each two of them in a task of their own, with the classes that
-visit the other. There every pair is verified on whole sets; links are counted where they are found and only a spanning
-forest of them leaves the task.
+class lives in one block, with others that share its bands' smallest class; only blocks that share a band meet, each two
+of them in one place. There every pair is verified on whole sets; links are counted where they are found and only a
+spanning forest of them leaves the task.
 
 Defined cases: a null text or one without words links with nothing, neither do rows with a null doc_id; each is a class of
 its own; repeated rows are documents of their own, rows with one doc_id and other texts belong to the classes of their
@@ -189,8 +188,8 @@ def _verified(words: int, similarity: float):
 def _meetings(spark, classes: DataFrame, block: int) -> tuple[DataFrame, list[str]]:
     """(node, left, right, role): where each class that shares a band with another is compared; and tables to drop.
 
-    Classes that share a band's smallest class are dealt into blocks; a class meets its own block, and those other blocks
-    that hold one of its bands. A pair of classes meets in one place, that of their two blocks.
+    Classes that share a band's smallest class are dealt into blocks; a block meets itself, and those others with which it
+    shares a band. A pair of classes meets in one place, that of their two blocks.
     """
     shared = classes.select("node", F.explode("bands").alias("band"))
     low = shared.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -199,14 +198,15 @@ def _meetings(spark, classes: DataFrame, block: int) -> tuple[DataFrame, list[st
     member, path_member = write_table(member)
     blocks = member.groupBy("leader").agg(F.ceil(F.count("*") / block + F.sum("words") / BLOCK_WORDS).alias("blocks"))
     placed, path_placed = write_table(member.join(blocks, "leader").select("node", F.xxhash64("leader", F.pmod(F.xxhash64("node"), "blocks")).alias("block")))
-    banded, path_banded = write_table(sharing.select("node", "band").join(placed, "node"))
-    houses = banded.select("band", F.col("block").alias("other")).distinct()
+    houses = sharing.select("node", "band").join(placed, "node").select("band", "block").distinct()
     apart = houses.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     houses, path_houses = write_table(houses.join(apart, "band"))
-    visits = banded.join(houses, "band").where("block <> other").select("node", "block", "other").distinct()
-    visits = visits.union(placed.select("node", "block", F.col("block").alias("other")))
-    meetings, path = write_table(visits.select("node", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), (F.col("block") > F.col("other")).cast("int").alias("role")))
-    for old in (path_sharing, path_member, path_placed, path_banded, path_houses):
+    pairs = houses.withColumnRenamed("block", "left").join(houses.withColumnRenamed("block", "right"), "band").where("left < right").select("left", "right").distinct()
+    pairs, path_pairs = write_table(pairs)
+    ends = pairs.select(F.col("left").alias("block"), "left", "right").union(pairs.select("right", "left", "right"))
+    met = placed.join(ends, "block").select("node", "left", "right", (F.col("block") == F.col("right")).cast("int").alias("role"))
+    meetings, path = write_table(met.union(placed.select("node", "block", "block", F.lit(0))))
+    for old in (path_sharing, path_member, path_placed, path_houses, path_pairs):
         drop_table(spark, old)
     return meetings, [path]
 
