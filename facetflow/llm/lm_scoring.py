@@ -36,7 +36,7 @@ ORDER = 3
 ALPHA = 0.4
 LEAST = 2
 #: Bytes of text of a block, and n-grams of a part of the count table.
-BLOCK_BYTES, PART_GRAMS = 6 << 20, 3_000_000
+BLOCK_BYTES, PART_GRAMS = 8 << 20, 3_000_000
 _HEAD = np.uint64(0x51ED270B7F4A7C15)
 
 
@@ -109,7 +109,7 @@ class Grams:
 
 def _frame(parts: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as stream:
         stream.write_table(pa.Table.from_batches(parts).combine_chunks())
     return sink.getvalue().to_pybytes()
 
