@@ -23,20 +23,37 @@ class QuantizationError(ValueError):
         self.code = code
 
 
+def _power(exponent: int | Column) -> float | Column:
+    return F.pow(F.lit(2.0), exponent) if isinstance(exponent, Column) else 2.0**exponent
+
+
+def binary_exponent(x: Column) -> Column:
+    """The smallest e with abs(x) < 2^e, exactly: the logarithm's rounding is put right."""
+    guess = F.floor(F.log2(x)) + 1
+    return (guess + (F.pow(F.lit(2.0), guess) <= x).cast("int") - (F.pow(F.lit(2.0), guess - 1) > x).cast("int")).cast("int")
+
+
+def grid_exponents(largest: Column, shortest: Column) -> tuple[Column, Column]:
+    """The exponent of a mesh's grid by its largest coordinate and its shortest edge, and ``OK`` or why there is no grid."""
+    exponent = F.when(largest > 0, binary_exponent(largest)).otherwise(0) + 1
+    enough = (shortest > 0) & (binary_exponent(shortest) - (exponent - BITS) >= LEAST_EDGE_BITS)
+    return exponent, F.when(enough, "OK").otherwise("EXCESSIVE_DYNAMIC_RANGE_FOR_QUANTIZATION")
+
+
 @dataclass
 class Quantizer:
     """``magnify`` takes coordinates to the grid, truncating towards zero; ``edge_bits``: bits of the shortest edge, if it is known."""
 
-    exponent: int
+    exponent: int | Column
     edge_bits: int | None = None
 
     @property
-    def magnify(self) -> float:
-        return 2.0 ** (BITS - self.exponent)
+    def magnify(self) -> float | Column:
+        return _power(BITS - self.exponent)
 
     @property
-    def quantum(self) -> float:
-        return 2.0 ** (self.exponent - BITS)
+    def quantum(self) -> float | Column:
+        return _power(self.exponent - BITS)
 
     @classmethod
     def of(cls, max_magnitude: float, min_edge: float | None = None) -> Quantizer:
@@ -57,6 +74,11 @@ class Quantizer:
             biggest = max(biggest, got or 0.0)
         return cls.of(biggest)
 
+    @classmethod
+    def per_mesh(cls) -> Quantizer:
+        """For rows that carry their mesh's ``exponent``, as ``grid_exponents`` finds it."""
+        return cls(F.col("exponent"))
+
     def to_grid(self, p: V3) -> V3:
         return V3(*((c * self.magnify).cast("bigint") for c in p.parts()))
 

@@ -6,19 +6,21 @@ share two cut points are cut along the segment between them. Cut triangles are t
 Surfaces between cuts are patches; one ray per patch decides whether it lies inside the other operand. What stays, goes or is
 turned is a CASE over (operand, inside).
 
-Every table is keyed by ``mesh_id``: operands of any number of pairs, those with equal ids, are combined at once. Triangle and
-vertex ids have to be unique over all meshes of an operand.
+Every table is keyed by ``mesh_id``: operands of any number of pairs, those with equal ids, are combined at once, and none
+depends on its company: each pair has a grid, attempts and a status of its own. A pair whose status isn't OK has no result.
+Triangle and vertex ids have to be unique over all meshes of an operand.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.functions.quantize import Quantizer
+from facetflow.functions.quantize import Quantizer, grid_exponents
 from facetflow.functions.vec import V3, Triangle
 from facetflow.operators import topology as T
 from facetflow.operators.graph import labelled_components
@@ -39,25 +41,18 @@ RULES = {
 }
 
 
-class BooleanError(ValueError):
-    """``code``: DEGENERATE, SUBDIVISION_FAILED, SELF_INTERSECTING_OPERAND."""
-
-    def __init__(self, code: str):
-        super().__init__(code)
-        self.code = code
-
-
 @dataclass
 class Resolved:
     """Both operands cut along each other, in grid coordinates, with label (operand), patch and inside of each triangle.
 
-    ``original`` has the operands' vertices where they were: only predicates see moved ones.
+    ``original`` has the operands' vertices where they were: only predicates see moved ones. ``status``: (mesh_id, exponent,
+    status, attempts) of every pair; status OK, DEGENERATE, SUBDIVISION_FAILED, SELF_INTERSECTING_OPERAND or
+    EXCESSIVE_DYNAMIC_RANGE_FOR_QUANTIZATION.
     """
 
     mesh: MeshFrame
     original: DataFrame
-    quantizer: Quantizer
-    cuts: int
+    status: DataFrame
 
 
 def _cut(part: pd.DataFrame) -> pd.DataFrame:
@@ -99,24 +94,45 @@ def _cut(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def resolve(left: MeshFrame, right: MeshFrame, seed: int = 1, quanta: tuple[int, ...] = QUANTA) -> Resolved:
-    """Cuts both operands along each other and labels the pieces."""
+    """Cuts both operands along each other and labels the pieces.
+
+    An attempt takes the pairs that are still open; one number of an attempt, how many of them, comes to the driver.
+    """
     both = MeshFrame(*(_with_mesh_ids(left, right, part) for part in ("vertices", "triangles")))
-    quantizer = Quantizer.calibrate(left, right)
-    failure = BooleanError("DEGENERATE")
+    t = Triangle.of()
+    sizes = T.materialize(both).groupBy("mesh_id").agg(F.max(F.greatest(*[x for v in (t.a, t.b, t.c) for x in v.abs().parts()])).alias("largest"), F.sqrt(F.min(F.least(*t.edge_squares()))).alias("shortest"))
+    exponent, status = grid_exponents(F.col("largest"), F.col("shortest"))
+    grids, _ = write_table(sizes.select("mesh_id", exponent.alias("exponent"), status.alias("status")))
+    todo = grids.where("status = 'OK'").select("mesh_id", "exponent")
+    verdicts, done = [grids.where("status <> 'OK'").select("mesh_id", "status", F.lit(0).alias("attempts"))], []
     for attempt, steps in enumerate(quanta):
-        grid = on_grid(both, quantizer, seed + attempt, steps)
+        mesh = MeshFrame(both.vertices.join(todo, "mesh_id"), both.triangles.join(todo.select("mesh_id"), "mesh_id", "left_semi"))
+        grid = on_grid(mesh, Quantizer.per_mesh(), seed + attempt, steps)
         vertices, _ = write_table(grid.vertices)
         grid = MeshFrame(vertices, grid.triangles)
-        pairs, _ = write_table(edge_triangle_pairs(grid, other=True).where("meets OR degenerate"))
-        if pairs.where("degenerate").limit(1).count():
-            continue
-        try:
-            cut = _subdivide(grid, pairs)
-        except BooleanError as error:
-            failure = error
-            continue
-        return _label(*cut, both.vertices, grid, quantizer, pairs)
-    raise failure
+        pairs, _ = write_table(edge_triangle_pairs(grid, other=None).where("meets OR degenerate AND l_label <> r_label"))
+        own = F.col("l_label") == F.col("r_label")
+        bad = pairs.groupBy("mesh_id").agg(F.max(own & F.col("meets")).alias("own"), F.max(~own & F.col("degenerate")).alias("degenerate")).where("own OR degenerate")
+        bad, _ = write_table(bad.select("mesh_id", F.when(F.col("own"), "SELF_INTERSECTING_OPERAND").otherwise("DEGENERATE").alias("status")))
+        cut, failed = _subdivide(grid, pairs.where(~own), bad, attempt)
+        failed, _ = write_table(bad.union(failed))
+        done.append((*cut, grid, failed))
+        final = F.lit(attempt == len(quanta) - 1) | (F.col("status") == "SELF_INTERSECTING_OPERAND")
+        tries = F.lit(attempt + 1).alias("attempts")
+        verdicts.append(todo.join(failed, "mesh_id", "left_anti").select("mesh_id", F.lit("OK").alias("status"), tries))
+        verdicts.append(failed.where(final).select("mesh_id", "status", tries))
+        still = failed.where(~final)
+        if not still.count():
+            break
+        todo = todo.join(still, "mesh_id", "left_semi")
+    verdict, _ = write_table(grids.drop("status").join(reduce(DataFrame.union, verdicts), "mesh_id"))
+    many = len(done) > 1
+    keep = lambda rows, failed: rows.join(failed, "mesh_id", "left_anti") if many else rows
+    vertices, triangles, cuts = (reduce(DataFrame.union, [keep(d[k], d[4]) for d in done]) for k in range(3))
+    grid = MeshFrame(*(reduce(DataFrame.union, [keep(getattr(d[3], part), d[4]) for d in done]) for part in ("vertices", "triangles")))
+    good = verdict.where("status = 'OK'").select("mesh_id")
+    triangles = triangles.join(good, "mesh_id", "left_semi")
+    return _label(vertices, triangles, cuts, both.vertices.join(good, "mesh_id", "left_semi"), grid, verdict)
 
 
 def _with_mesh_ids(left: MeshFrame, right: MeshFrame, part: str) -> DataFrame:
@@ -135,11 +151,13 @@ def _doubles(mesh: MeshFrame) -> MeshFrame:
     return MeshFrame(mesh.vertices.select("mesh_id", "vid", *V3.of().double().columns("")), mesh.triangles)
 
 
-def _subdivide(grid: MeshFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vertices, triangles, cut edges) with cut points in."""
+def _subdivide(grid: MeshFrame, pairs: DataFrame, bad: DataFrame, attempt: int) -> tuple[tuple[DataFrame, DataFrame, DataFrame], DataFrame]:
+    """(vertices, triangles, cut edges) with cut points in, without ``bad`` meshes; and (mesh_id, status) of those that fail."""
+    pairs = pairs.join(bad, "mesh_id", "left_anti")
+    base = F.lit(attempt << 58)  # ids of attempts are told apart
     spot = intersection_point(V3.of("p"), V3.of("q"), Triangle.of())
     points = pairs.select("mesh_id", "v0", "v1", F.col("tid").alias("hit"), *spot.columns(""))
-    points, _ = write_table(points.withColumn("point", -1 - F.monotonically_increasing_id()))
+    points, _ = write_table(points.withColumn("point", -1 - base - F.monotonically_increasing_id()))
     e = T.edges(grid.triangles, keep=["label"]).select("mesh_id", "tid", "slot", "v0", "v1")
     # a cut point lies on the pierced triangle and on every triangle of the piercing edge; each such pair of triangles shares it
     shared = points.join(e, ["mesh_id", "v0", "v1"]).select("mesh_id", "point", "x", "y", "z", F.col("tid").alias("owner"), "slot", "hit")
@@ -152,17 +170,16 @@ def _subdivide(grid: MeshFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame,
     work = on.join(lines, ["mesh_id", "tid", "point"], "left").join(T.materialize(_doubles(grid), ["label"]), ["mesh_id", "tid"])
     pieces = work.groupBy("mesh_id", "tid").applyInPandas(_cut, "mesh_id string, tid long, piece int, a long, b long, c long, label int, status string")
     pieces, _ = write_table(pieces)
-    if pieces.where("status <> 'ok'").limit(1).count():
-        raise BooleanError("SUBDIVISION_FAILED")
+    failed = pieces.where("status <> 'ok'").select("mesh_id", F.lit("SUBDIVISION_FAILED").alias("status")).distinct()
     whole = grid.triangles.join(pieces.select("mesh_id", "tid").distinct(), ["mesh_id", "tid"], "left_anti")
     triangles = whole.select("mesh_id", "a", "b", "c", "label").union(pieces.select("mesh_id", "a", "b", "c", "label"))
-    triangles, _ = write_table(triangles.withColumn("tid", F.monotonically_increasing_id()))
+    triangles, _ = write_table(triangles.withColumn("tid", base + F.monotonically_increasing_id()))
     vertices = _doubles(grid).vertices.union(points.select("mesh_id", F.col("point").alias("vid"), "x", "y", "z"))
     cut = segments.select("mesh_id", F.col("p0").alias("v0"), F.col("p1").alias("v1")).distinct()
-    return vertices, triangles, cut
+    return (vertices, triangles, cut), failed
 
 
-def _label(vertices: DataFrame, triangles: DataFrame, cut: DataFrame, original: DataFrame, grid: MeshFrame, quantizer: Quantizer, pairs: DataFrame) -> Resolved:
+def _label(vertices: DataFrame, triangles: DataFrame, cut: DataFrame, original: DataFrame, grid: MeshFrame, status: DataFrame) -> Resolved:
     mesh = MeshFrame(vertices, triangles)
     # patches: triangles of an operand that share an edge which is no cut
     e = T.edges(triangles, keep=["label"]).join(cut, ["mesh_id", "v0", "v1"], "left_anti")
@@ -174,7 +191,7 @@ def _label(vertices: DataFrame, triangles: DataFrame, cut: DataFrame, original:
     rays = geometry.groupBy("mesh_id", "label", "patch").agg(F.max_by(F.struct(*t.centroid().columns("")), F.struct(t.double_area(), -F.col("tid"))).alias("o"))
     inside = patch.join(_inside(rays.select("mesh_id", "label", "patch", "o.x", "o.y", "o.z"), grid), "patch", "left").select("tid", "patch", F.coalesce("inside", F.lit(0)).alias("inside"))
     labelled, _ = write_table(triangles.join(inside, "tid"))
-    return Resolved(MeshFrame(vertices, labelled), original, quantizer, pairs.count())
+    return Resolved(MeshFrame(vertices, labelled), original, status)
 
 
 def _inside(rays: DataFrame, grid: MeshFrame) -> DataFrame:
@@ -199,6 +216,24 @@ def _inside(rays: DataFrame, grid: MeshFrame) -> DataFrame:
     return wound.select("patch", (F.col("winding") > 0).cast("int").alias("inside"))
 
 
+def _put_back(resolved: Resolved) -> DataFrame:
+    """All vertices in the operands' coordinates."""
+    cut = resolved.mesh.vertices.where("vid < 0").join(resolved.status.where("status = 'OK'").select("mesh_id", "exponent"), "mesh_id")
+    return resolved.original.union(cut.select("mesh_id", "vid", *Quantizer.per_mesh().back(V3.of()).columns("")))
+
+
+def volumes(resolved: Resolved) -> DataFrame:
+    """(mesh_id, union, difference, intersection, symmetric_difference): volumes of all four results in one pass over the pieces."""
+    t, code = Triangle.of(), F.col("label") * 2 + F.col("inside")
+    part = t.signed_volume6() / 6
+
+    def total(operation: str):
+        stay, turned = ([a * 2 + b for a, b in rule] for rule in RULES[operation])
+        return F.sum(F.when(code.isin(stay), part).when(code.isin(turned) if turned else F.lit(False), -part).otherwise(0.0)).alias(operation)
+
+    return T.materialize(MeshFrame(_put_back(resolved), resolved.mesh.triangles), ["label", "inside"]).groupBy("mesh_id").agg(*map(total, RULES))
+
+
 def select(resolved: Resolved, operation: str) -> MeshFrame:
     """The result of one operation, in the operands' coordinates; resolving once serves all four."""
     stay, turned = RULES[operation]
@@ -206,10 +241,9 @@ def select(resolved: Resolved, operation: str) -> MeshFrame:
     numbers = lambda rule: [a * 2 + b for a, b in rule]
     rows = resolved.mesh.triangles.where(code.isin(numbers(stay) + numbers(turned)))
     rows = T.flip(rows, code.isin(numbers(turned)) if turned else F.lit(False))
-    back = resolved.quantizer.back(V3.of())
-    vertices = resolved.original.union(resolved.mesh.vertices.where("vid < 0").select("mesh_id", "vid", *back.columns("")))
-    return MeshFrame(vertices, rows.select("mesh_id", "tid", "a", "b", "c"))
+    return MeshFrame(_put_back(resolved), rows.select("mesh_id", "tid", "a", "b", "c"))
 
 
 def boolean(left: MeshFrame, right: MeshFrame, operation: str) -> MeshFrame:
+    """The result of one operation; pairs that fail have no rows, ``resolve(...).status`` says why."""
     return select(resolve(left, right), operation)

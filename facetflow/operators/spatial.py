@@ -70,15 +70,16 @@ def triangle_boxes(mesh: MeshFrame, keep: list[str]) -> DataFrame:
     return materialize(mesh, keep).select("*", *Triangle.of().box().columns("r_"))
 
 
-def edge_triangle_pairs(mesh: MeshFrame, other: bool) -> DataFrame:
-    """Edges and triangles of a labelled mesh on the grid that may meet: of another label, or of the same one.
+def edge_triangle_pairs(mesh: MeshFrame, other: bool | None) -> DataFrame:
+    """Edges and triangles of a labelled mesh on the grid that may meet: of another label, of the same one, or (None) of any.
 
     Pairs that share a vertex are left out; with the exact verdict as columns ``meets`` and ``degenerate``.
     """
     left = edge_boxes(mesh, ["label"]).withColumnRenamed("label", "l_label")
     right = triangle_boxes(mesh, ["label"]).withColumnRenamed("label", "r_label")
     pairs = box_join(left, right, ["mesh_id"])
-    pairs = pairs.where(F.col("l_label") != F.col("r_label")) if other else pairs.where(F.col("l_label") == F.col("r_label"))
+    if other is not None:
+        pairs = pairs.where(F.col("l_label") != F.col("r_label")) if other else pairs.where(F.col("l_label") == F.col("r_label"))
     apart = ~(F.col("v0").isin(F.col("a"), F.col("b"), F.col("c")) | F.col("v1").isin(F.col("a"), F.col("b"), F.col("c")))
     t = Triangle(*(P.exact(V3.of(n)) for n in "abc"))
     meets, degenerate = P.pierces()
@@ -101,3 +102,20 @@ def self_intersections(mesh: MeshFrame, quantizer: Quantizer | None = None) -> D
     labelled = MeshFrame(mesh.vertices, mesh.triangles if "label" in mesh.triangles.columns else mesh.triangles.withColumn("label", F.lit(0)))
     grid = on_grid(labelled, quantizer or Quantizer.calibrate(mesh))
     return edge_triangle_pairs(grid, other=False).where("meets").select("mesh_id", "v0", "v1", "edge_tid", "tid")
+
+
+def meeting_triples(pairs: DataFrame) -> DataFrame:
+    """(mesh_id, t0, t1, t2): of ``pairs(mesh_id, a, b)`` with a < b that are there once, the triples whose three pairs are there.
+
+    Two equi-joins: pairs that follow each other, then the pair of their ends.
+    """
+    ab = pairs.select("mesh_id", F.col("a").alias("t0"), F.col("b").alias("t1"))
+    bc = pairs.select("mesh_id", F.col("a").alias("t1"), F.col("b").alias("t2"))
+    ac = pairs.select("mesh_id", F.col("a").alias("t0"), F.col("b").alias("t2"))
+    return ab.join(bc, ["mesh_id", "t1"]).join(ac, ["mesh_id", "t0", "t2"]).select("mesh_id", "t0", "t1", "t2")
+
+
+def without_shared_vertices(pairs: DataFrame, triangles: DataFrame) -> DataFrame:
+    """Those of ``pairs(mesh_id, a, b)`` of triangle ids whose triangles have no vertex in common."""
+    corners = lambda of: triangles.select("mesh_id", F.col("tid").alias(of), F.array("a", "b", "c").alias(f"of_{of}"))
+    return pairs.join(corners("a"), ["mesh_id", "a"]).join(corners("b"), ["mesh_id", "b"]).where(~F.arrays_overlap("of_a", "of_b")).select(*pairs.columns)

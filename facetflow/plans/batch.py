@@ -35,7 +35,7 @@ def model_pairs(meshes: MeshFrame) -> tuple[MeshFrame, MeshFrame]:
 
 
 def run(spark: SparkSession, path: str, operations: tuple[str, ...] = OPERATIONS, repair: bool = False) -> tuple[dict[str, MeshFrame], DataFrame]:
-    """Results by operation, and a row of statistics per pair and operation; all pairs go through each step together."""
+    """Results by operation, and a row per pair and operation: status, attempts, statistics; all pairs go through each step together."""
     meshes = read_off(spark, path)
     if repair:
         meshes = T.unique_ids(meshes)
@@ -46,13 +46,15 @@ def run(spark: SparkSession, path: str, operations: tuple[str, ...] = OPERATIONS
     rows = None
     for name, mesh in results.items():
         found = stats.geometric_statistics(mesh).join(stats.topological_statistics(mesh.triangles), "mesh_id").withColumn("operation", F.lit(name))
+        found = cut.status.select("mesh_id", "status", "attempts").withColumn("operation", F.lit(name)).join(found, ["mesh_id", "operation"], "left")
         rows = found if rows is None else rows.unionByName(found)
     return results, rows.withColumn("resolve_seconds", F.lit(round(time.time() - began, 3)))
 
 
 def rollup(rows: DataFrame) -> DataFrame:
-    """Per operation and in all: results, two-manifold ones, triangles."""
-    return rows.rollup("operation").agg(F.count("*").alias("results"), F.count_if("two_manifold").alias("two_manifold"), F.sum("num_triangles").alias("triangles"))
+    """Per operation and in all: runs, successes and failures by ``status``, two-manifold results, triangles."""
+    good = F.col("status") == "OK"
+    return rows.rollup("operation").agg(F.count("*").alias("runs"), F.count_if(good).alias("successes"), F.count_if(~good).alias("failures"), F.count_if("two_manifold").alias("two_manifold"), F.sum("num_triangles").alias("triangles"))
 
 
 def main() -> None:

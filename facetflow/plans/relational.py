@@ -89,11 +89,15 @@ def exact_edge_triangle_join(spark, sf_dir):
 @query(f"""{_WB}, bx AS (SELECT vec_id, mesh_id, c0 - half AS x0, c0 + half AS x1, c1 - half AS y0, c1 + half AS y1, c2 - half AS z0, c2 + half AS z1 FROM be)
 SELECT p.vec_id AS a, q.vec_id AS b FROM bx AS p JOIN bx AS q ON p.mesh_id = q.mesh_id AND p.vec_id < q.vec_id AND p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1 AND p.z0 <= q.z1 AND q.z0 <= p.z1""")
 def box_self_join(spark, sf_dir):
+    return _meeting_boxes(spark, sf_dir).select("a", "b")
+
+
+def _meeting_boxes(spark, sf_dir):
     v = boxes(spark, sf_dir).vertices.withColumn("body", F.expr("vid div 8"))
     b = v.groupBy("mesh_id", "body").agg(*[f(n).alias(f"{side}_{n}") for side, f in (("min", F.min), ("max", F.max)) for n in "xyz"])
     left = b.select("mesh_id", F.col("body").alias("a"), *[F.col(c).alias(f"l_{c}") for c in spatial.BOX])
     right = b.select("mesh_id", F.col("body").alias("b"), *[F.col(c).alias(f"r_{c}") for c in spatial.BOX])
-    return spatial.box_join(left, right, ["mesh_id"]).where("a < b").select("a", "b")
+    return spatial.box_join(left, right, ["mesh_id"]).where("a < b").select("mesh_id", "a", "b")
 
 
 @query(f"""{_WB}, bx AS (SELECT vec_id, mesh_id, c0 - half AS x0, c0 + half AS x1, c1 - half AS y0, c1 + half AS y1, c2 - half AS z0, c2 + half AS z1 FROM be),
@@ -119,11 +123,14 @@ def ray_winding(spark, sf_dir):
     return met.groupBy("vec_id").agg(F.coalesce(F.sum(F.when(hit & above, F.signum(ab + bc + ca))), F.lit(0)).cast("long").alias("winding"))
 
 
-@query("SELECT a.n_name AS model, b.n_name AS other FROM nation AS a, nation AS b WHERE a.n_name <> b.n_name AND a.n_regionkey = b.n_regionkey")
+@query(f"""{_WB}, m AS (SELECT mesh_id, count(*) AS n FROM bt GROUP BY mesh_id) SELECT a.mesh_id || '~' || b.mesh_id AS pair, a.n AS left_triangles, b.n AS right_triangles FROM m AS a, m AS b WHERE a.mesh_id <> b.mesh_id""")
 def model_pairs(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    other = n.select(F.col("n_name").alias("other"), "n_regionkey")
-    return n.join(other, "n_regionkey").where("n_name <> other").select(F.col("n_name").alias("model"), "other")
+    """Every ordered pair of the four meshes of boxes, as operands of the batch driver."""
+    from facetflow.plans import batch
+
+    sides = batch.model_pairs(boxes(spark, sf_dir))
+    counts = [m.triangles.groupBy(F.col("mesh_id").alias("pair")).agg(F.count("*").alias(f"{side}_triangles")) for side, m in zip(("left", "right"), sides, strict=True)]
+    return counts[0].join(counts[1], "pair")
 
 
 _POLY = """q AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n,
@@ -226,24 +233,13 @@ def edge_intersects_flag(spark, sf_dir):
     return T.label_mix(t).drop("mesh_id")
 
 
-@query("""WITH e AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem WHERE l_orderkey % 97 = 5), n AS (SELECT a AS n FROM e UNION SELECT b FROM e),
+@query("""WITH e AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), n AS (SELECT a AS n FROM e UNION SELECT b FROM e),
 r AS (WITH RECURSIVE reach(n, m) USING KEY (n) AS (SELECT n, n AS m FROM n UNION (
   SELECT x.n, min(x.m) FROM (SELECT e.b AS n, reach.m FROM reach JOIN e ON e.a = reach.n UNION ALL SELECT e.a, reach.m FROM reach JOIN e ON e.b = reach.n) AS x
   JOIN recurring.reach AS old ON old.n = x.n WHERE x.m < old.m GROUP BY x.n)) SELECT * FROM reach)
 SELECT n AS node, m AS component FROM r""")
 def graph_components(spark, sf_dir):
     """Components of the graph of parts and suppliers."""
-    i = table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = 5")
-    return G.components(i.select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")))
-
-
-@query("""WITH e AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), n AS (SELECT a AS n FROM e UNION SELECT b FROM e),
-r AS (WITH RECURSIVE reach(n, m) USING KEY (n) AS (SELECT n, n AS m FROM n UNION (
-  SELECT x.n, min(x.m) FROM (SELECT e.b AS n, reach.m FROM reach JOIN e ON e.a = reach.n UNION ALL SELECT e.a, reach.m FROM reach JOIN e ON e.b = reach.n) AS x
-  JOIN recurring.reach AS old ON old.n = x.n WHERE x.m < old.m GROUP BY x.n)) SELECT * FROM reach)
-SELECT n AS node, m AS component FROM r""")
-def graph_components_whole(spark, sf_dir):
-    """Components of the graph of parts and suppliers, over all rows."""
     return G.components(table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")))
 
 
@@ -349,44 +345,41 @@ def valid_mesh(spark, sf_dir):
     return T.invalid_rows(MeshFrame(broken, mesh.triangles)).select("kind", "id")
 
 
-@query(f"{_W} SELECT tid, a, b, c FROM ht WHERE tid BETWEEN 100 AND 199 AND c IN (SELECT vid FROM hv WHERE z > 0)")
-def membership(spark, sf_dir):
-    """Gathers rows by sets of ids: semi-joins."""
-    mesh = height_field(spark, sf_dir)
-    high = mesh.vertices.where("z > 0").select("mesh_id", F.col("vid").alias("c"))
-    return mesh.triangles.where("tid BETWEEN 100 AND 199").join(high, ["mesh_id", "c"], "left_semi").select("tid", "a", "b", "c")
-
-
 @query(f"{_W} SELECT tid, a, b, c FROM ht WHERE c IN (SELECT vid FROM hv WHERE z > 0)")
-def membership_whole(spark, sf_dir):
-    """All triangles that pass the semi-join."""
+def membership(spark, sf_dir):
+    """Gathers rows by sets of ids: a semi-join."""
     mesh = height_field(spark, sf_dir)
     high = mesh.vertices.where("z > 0").select("mesh_id", F.col("vid").alias("c"))
     return mesh.triangles.join(high, ["mesh_id", "c"], "left_semi").select("tid", "a", "b", "c")
 
 
-@query(f"""{_WS}, g AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM st UNION ALL SELECT b, a FROM st) WHERE a < b AND a < 60 AND b < 60),
-SELECT x.a AS t0, x.b AS t1, y.b AS t2 FROM g AS x JOIN g AS y ON y.a = x.b JOIN g AS z ON z.a = x.a AND z.b = y.b""".replace("b < 60),", "b < 60)"))
+@query(f"""{_WB}, bx AS (SELECT vec_id, mesh_id, c0 - half AS x0, c0 + half AS x1, c1 - half AS y0, c1 + half AS y1, c2 - half AS z0, c2 + half AS z1 FROM be),
+g AS (SELECT p.mesh_id, p.vec_id AS a, q.vec_id AS b FROM bx AS p JOIN bx AS q ON p.mesh_id = q.mesh_id AND p.vec_id < q.vec_id AND p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1 AND p.z0 <= q.z1 AND q.z0 <= p.z1)
+SELECT x.a AS t0, x.b AS t1, y.b AS t2 FROM g AS x JOIN g AS y ON y.mesh_id = x.mesh_id AND y.a = x.b JOIN g AS z ON z.mesh_id = x.mesh_id AND z.a = x.a AND z.b = y.b""")
 def tri_triples(spark, sf_dir):
-    """Triples that meet pairwise: a triangle-counting join, each once."""
-    t = soup(spark, sf_dir)
-    return _triples(t.select("a", "b").union(t.select("b", "a")).where("a < b AND a < 60 AND b < 60").distinct())
-
+    """Boxes that meet pairwise, each triple once."""
+    return spatial.meeting_triples(_meeting_boxes(spark, sf_dir)).select("t0", "t1", "t2")
 
-def _triples(g):
-    xy = g.select(F.col("a").alias("t0"), F.col("b").alias("t1")).join(g.select(F.col("a").alias("t1"), F.col("b").alias("t2")), "t1")
-    return xy.join(g.select(F.col("a").alias("t0"), F.col("b").alias("t2")), ["t0", "t2"]).select("t0", "t1", "t2")
 
+@query(f"""{_WB}, s AS (SELECT mesh_id, vec_id AS body, bt.* EXCLUDE (mesh_id) FROM bt JOIN be USING (mesh_id) WHERE tid // 12 = vec_id), c AS (SELECT tid, unnest([a, b, c]) AS v FROM s),
+g AS (SELECT DISTINCT p.tid AS a, q.tid AS b FROM s AS p JOIN s AS q ON p.body = q.body AND p.tid < q.tid), h AS (SELECT DISTINCT p.tid AS a, q.tid AS b FROM c AS p JOIN c AS q USING (v) WHERE p.tid < q.tid),
+n AS (SELECT * FROM g EXCEPT SELECT * FROM h)
+SELECT x.a AS t0, x.b AS t1, y.b AS t2 FROM n AS x JOIN n AS y ON y.a = x.b JOIN n AS z ON z.a = x.a AND z.b = y.b""")
+def triples_without_shared_vertices(spark, sf_dir):
+    """Triples of a box's triangles none of which shares a vertex with another."""
+    t = boxes(spark, sf_dir).triangles
+    body = t.select("mesh_id", "tid", F.expr("tid div 12").alias("body"))
+    pairs = body.withColumnRenamed("tid", "a").join(body.withColumnRenamed("tid", "b"), ["mesh_id", "body"]).where("a < b").drop("body")
+    return spatial.meeting_triples(spatial.without_shared_vertices(pairs, t)).select("t0", "t1", "t2")
 
-@query(f"""{_WS}, g AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM st UNION ALL SELECT b, a FROM st) WHERE a < b)
-SELECT x.a AS t0, x.b AS t1, y.b AS t2 FROM g AS x JOIN g AS y ON y.a = x.b JOIN g AS z ON z.a = x.a AND z.b = y.b""")
-def tri_triples_whole(spark, sf_dir):
-    """Triples over all vertices."""
-    t = soup(spark, sf_dir)
-    return _triples(t.select("a", "b").union(t.select("b", "a")).where("a < b").distinct())
 
-
-@query("SELECT o_orderpriority AS operation, count(*) AS runs, CAST(count(*) FILTER (o_orderstatus <> 'P') AS BIGINT) AS successes, CAST(count(*) FILTER (o_orderstatus = 'P') AS BIGINT) AS failures, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderpriority)")
+@query("""WITH r AS (SELECT o_orderpriority AS operation, o_orderstatus <> 'P' AS two_manifold, CASE WHEN o_orderstatus = 'F' THEN 'DEGENERATE' ELSE 'OK' END AS status, o_custkey AS num_triangles FROM orders)
+SELECT operation, count(*) AS runs, CAST(count(*) FILTER (status = 'OK') AS BIGINT) AS successes, CAST(count(*) FILTER (status <> 'OK') AS BIGINT) AS failures,
+  CAST(count(*) FILTER (two_manifold) AS BIGINT) AS two_manifold, CAST(sum(num_triangles) AS BIGINT) AS triangles FROM r GROUP BY ROLLUP (operation)""")
 def run_rollup(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").rollup(F.col("o_orderpriority").alias("operation"))
-    return rows.agg(F.count("*").alias("runs"), F.count_if(F.col("o_orderstatus") != "P").alias("successes"), F.count_if(F.col("o_orderstatus") == "P").alias("failures"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    """The batch driver's totals, over rows of its form."""
+    from facetflow.plans import batch
+
+    o = F.col("o_orderstatus")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("operation"), (o != "P").alias("two_manifold"), F.when(o == "F", "DEGENERATE").otherwise("OK").alias("status"), F.col("o_custkey").alias("num_triangles"))
+    return batch.rollup(rows)

@@ -30,28 +30,9 @@ def _operands(spark, sf_dir: str, pairs: int) -> tuple[MeshFrame, MeshFrame]:
     return side(0, 0.0), side(pairs, 1.25)
 
 
-@query("""WITH h AS (SELECT vec_id, 1.0::DOUBLE + label % 3 AS half FROM embeddings), p AS (SELECT a.vec_id AS k, a.half AS ha, b.half AS hb FROM h AS a JOIN h AS b ON b.vec_id = a.vec_id + 40 WHERE a.vec_id < 40),
-o AS (SELECT *, greatest(least(ha, 1.25 + hb) - greatest(-ha, 1.25 - hb), 0) AS w FROM p),
-v AS (SELECT k, 8 * ha * ha * ha AS va, 8 * hb * hb * hb AS vb, w * w * w AS vi FROM o)
-SELECT CAST(k AS VARCHAR) AS mesh_id, round(va + vb - vi, 3) AS union_volume, round(va - vi, 3) AS difference_volume, round(vi, 3) AS intersection_volume, round(va + vb - 2 * vi, 3) AS symmetric_volume FROM v""")
-def bool_volumes(spark, sf_dir):
-    """Forty pairs of overlapping boxes at once; their volumes are known."""
-    return _volumes(*_operands(spark, sf_dir, 40))
-
-
 def _volumes(left: MeshFrame, right: MeshFrame):
-    cut = boolean.resolve(left, right)
-    rows = left.vertices.select("mesh_id").distinct()
-    for operation, name in (("union", "union"), ("difference", "difference"), ("intersection", "intersection"), ("symmetric_difference", "symmetric")):
-        found = stats.geometric_statistics(boolean.select(cut, operation), ("volume",)).select("mesh_id", F.round("volume", 3).alias(f"{name}_volume"))
-        rows = rows.join(found, "mesh_id", "left").fillna(0.0)  # an empty result has no row
-    return rows
-
-
-@query(None)
-def bool_union_geometry(spark, sf_dir):
-    """Statistics of the unions: closed, one body each."""
-    return _union_statistics(*_operands(spark, sf_dir, 40))
+    found = boolean.volumes(boolean.resolve(left, right))
+    return found.select("mesh_id", *[F.round(operation, 3).alias(f"{name}_volume") for operation, name in (("union", "union"), ("difference", "difference"), ("intersection", "intersection"), ("symmetric_difference", "symmetric"))])
 
 
 def _union_statistics(left: MeshFrame, right: MeshFrame):
@@ -70,13 +51,14 @@ p AS (SELECT a.vec_id AS k, a.half AS ha, b.half AS hb FROM m, h AS a JOIN h AS
 o AS (SELECT *, greatest(least(ha, 1.25 + hb) - greatest(-ha, 1.25 - hb), 0) AS w FROM p),
 v AS (SELECT k, 8 * ha * ha * ha AS va, 8 * hb * hb * hb AS vb, w * w * w AS vi FROM o)
 SELECT CAST(k AS VARCHAR) AS mesh_id, round(va + vb - vi, 3) AS union_volume, round(va - vi, 3) AS difference_volume, round(vi, 3) AS intersection_volume, round(va + vb - 2 * vi, 3) AS symmetric_volume FROM v""")
-def bool_volumes_whole(spark, sf_dir):
+def bool_volumes(spark, sf_dir):
     """All vectors' boxes, in pairs, at once."""
     return _volumes(*_operands(spark, sf_dir, _half(spark, sf_dir)))
 
 
 @query(None)
-def bool_union_geometry_whole(spark, sf_dir):
+def bool_union_geometry(spark, sf_dir):
+    """Statistics of the unions: closed, one body each."""
     return _union_statistics(*_operands(spark, sf_dir, _half(spark, sf_dir)))
 
 
@@ -87,13 +69,6 @@ def boundary_loops(spark, sf_dir):
     return loops.boundary_loops(height_field(spark, sf_dir).triangles).drop("mesh_id")
 
 
-@query(f"""WITH {SQL_BOXES} SELECT vec_id * 12 AS first_tid, 12::BIGINT AS num_triangles, 18::BIGINT AS num_edges, 0::BIGINT AS num_hole_edges, round(8 * half * half * half, 6) AS volume FROM be WHERE vec_id < 60""")
-def close_holes(spark, sf_dir):
-    """Boxes that lost the two triangles of a face each, closed again."""
-    mesh = boxes(spark, sf_dir)
-    return _reclosed(MeshFrame(mesh.vertices.where("vid < 480"), mesh.triangles.where("tid < 720")))
-
-
 def _reclosed(mesh: MeshFrame):
     body = lambda c, n: F.expr(f"{c} div {n}").cast("string").alias("mesh_id")
     v = mesh.vertices.select(body("vid", 8), "vid", "x", "y", "z")
@@ -106,29 +81,14 @@ def _reclosed(mesh: MeshFrame):
 
 
 @query(f"""WITH {SQL_BOXES} SELECT vec_id * 12 AS first_tid, 12::BIGINT AS num_triangles, 18::BIGINT AS num_edges, 0::BIGINT AS num_hole_edges, round(8 * half * half * half, 6) AS volume FROM be""")
-def close_holes_whole(spark, sf_dir):
+def close_holes(spark, sf_dir):
     """All boxes that lost the two triangles of a face each, closed again."""
     return _reclosed(boxes(spark, sf_dir))
 
 
-@query("SELECT label, count(*) AS points, CAST(2 * count(*) - 2 AS BIGINT) AS triangles_and_hull FROM embeddings WHERE vec_id < 200 GROUP BY label")
-def triangulate(spark, sf_dir):
-    """Delaunay triangulations of each label's points; by Euler's formula triangles and hull edges are 2 n - 2."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 200")
-
-    def found(part: pd.DataFrame) -> pd.DataFrame:
-        points = [(float(v[0]), float(v[1])) for v in part.sort_values("vec_id")["embedding"]]
-        tris = triangulate_points(points, [], carve=False)
-        sides = pd.Series([frozenset(s) for t in tris for s in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))])
-        hull = int((sides.value_counts() == 1).sum())
-        return pd.DataFrame({"label": [part["label"].iloc[0]], "points": [len(points)], "triangles_and_hull": [len(tris) + hull]})
-
-    return e.select("label", "vec_id", "embedding").groupBy("label").applyInPandas(found, "label int, points long, triangles_and_hull long")
-
-
 @query("""SELECT label, count(*) AS points, count(DISTINCT (embedding[1], embedding[2])) AS places, CASE WHEN count(DISTINCT (embedding[1], embedding[2])) < 3 THEN 0::BIGINT
   ELSE CAST(2 * count(DISTINCT (embedding[1], embedding[2])) - 2 AS BIGINT) END AS triangles_and_hull FROM embeddings WHERE embedding[1] IS NOT NULL AND embedding[2] IS NOT NULL GROUP BY label""")
-def triangulate_whole(spark, sf_dir):
+def triangulate(spark, sf_dir):
     """Delaunay triangulations of all of each label's points, however many; points at one place are one corner."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate("xy")])
 

@@ -175,6 +175,29 @@ def test_booleans_against_known_volumes(spark):
     assert hollow.euler["through"] == 0  # a hole right through
 
 
+def test_each_pair_of_a_batch_by_itself(spark):
+    """A huge, a tiny, a self-intersecting and a degenerate pair beside a good one: each gets what it gets alone."""
+    bow = ([(0, 0, 0), (2, 0, 0), (0, 2, 0), (0.4, 0.4, 2), (0.5, 0.5, -1), (0.6, 0.9, 1)], [(0, 2, 1), (0, 1, 3), (0, 3, 2), (1, 2, 3), (4, 5, 0), (4, 0, 5)])
+    cases = {
+        "good": (box((0, 0, 0), (2, 2, 2)), box((1, 1, 1), (3, 3, 3))),
+        "huge": (box((0, 0, 0), (4e9, 4e9, 4e9)), box((2e9, 2e9, 2e9), (6e9, 6e9, 6e9))),
+        "tiny": (box((0, 0, 0), (2e-6, 2e-6, 2e-6)), box((1e-6, 1e-6, 1e-6), (3e-6, 3e-6, 3e-6))),
+        "bow": (bow, box((5, 5, 5), (6, 6, 6))),
+        "wide": (box((0, 0, 0), (1e-6, 1e-6, 1e-6)), box((0, 0, 0), (1e6, 1e6, 1e6))),
+    }
+    left, right = (mesh(spark, [(k, *v[side]) for k, v in cases.items()]) for side in (0, 1))
+    cut = boolean.resolve(left, right)
+    status = {r.mesh_id: r.status for r in cut.status.collect()}
+    assert status == {"good": "OK", "huge": "OK", "tiny": "OK", "bow": "SELF_INTERSECTING_OPERAND", "wide": "EXCESSIVE_DYNAMIC_RANGE_FOR_QUANTIZATION"}
+    got = volume(boolean.select(cut, "union"))
+    assert got == {"good": pytest.approx(15, abs=1e-3), "huge": pytest.approx(15 * 8e27, rel=1e-4), "tiny": pytest.approx(15e-18, rel=1e-4)}
+    volumes = {r.mesh_id: r["union"] for r in boolean.volumes(cut).collect()}
+    assert volumes == {k: pytest.approx(v, rel=1e-9) for k, v in got.items()}
+    # ids decide the moves: the same ids alone
+    alone = boolean.resolve(left.where("good"), right.where("good"))
+    assert volume(boolean.select(alone, "union")) == {"good": pytest.approx(got["good"], rel=1e-12)}
+
+
 def test_booleans_of_a_box_and_a_tetrahedron(spark):
     tetra = ([(0, 0, 0), (3, 0, 0), (0, 3, 0), (0, 0, 3)], [(0, 2, 1), (0, 1, 3), (0, 3, 2), (1, 2, 3)])
     a, b = mesh(spark, [("m", *box((0, 0, 0), (2, 2, 2)))]), mesh(spark, [("m", *tetra)])

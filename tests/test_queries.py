@@ -11,13 +11,6 @@ def test_sql(spark, duck, name):
     same_rows(registry.QUERIES[name](spark, DATA).toPandas(), duck.execute(registry.SQL[name]).fetchdf())
 
 
-def test_unions_are_closed(spark):
-    rows = registry.QUERIES["bool_union_geometry"](spark, DATA).toPandas()
-    assert len(rows) == 40
-    assert (rows.num_hole_edges == 0).all() and rows.two_manifold.all()
-    assert (rows.euler == 2).all() and (rows.num_bodies == 1).all()
-
-
 def test_planes(spark):
     rows = registry.QUERIES["best_fit_plane"](spark, DATA).toPandas()
     assert ((rows.nx**2 + rows.ny**2 + rows.nz**2 - 1).abs() < 1e-9).all()
@@ -50,17 +43,17 @@ def test_components_of_all_rows(spark, duck):
     for a, b in edges:
         low, high = sorted((root(a), root(b)))
         parent[high] = low
-    got = registry.QUERIES["graph_components_whole"](spark, DATA).collect()
+    got = registry.QUERIES["graph_components"](spark, DATA).collect()
     assert {r.node: r.component for r in got} == {n: root(n) for n in parent}
 
 
 def test_all_points_are_triangulated(spark, duck):
-    rows = registry.QUERIES["triangulate_whole"](spark, DATA).toPandas()
+    rows = registry.QUERIES["triangulate"](spark, DATA).toPandas()
     assert rows.points.sum() == duck.execute("SELECT count(*) FROM embeddings").fetchone()[0]
 
 
 def test_unions_of_all_pairs_are_closed(spark, duck):
-    rows = registry.QUERIES["bool_union_geometry_whole"](spark, DATA).toPandas()
+    rows = registry.QUERIES["bool_union_geometry"](spark, DATA).toPandas()
     assert len(rows) == duck.execute("SELECT (max(vec_id) + 1) // 2 FROM embeddings").fetchone()[0]
     assert (rows.num_hole_edges == 0).all() and rows.two_manifold.all()
     assert (rows.euler == 2).all() and (rows.num_bodies == 1).all()
