@@ -13,10 +13,11 @@ Triangle and vertex ids have to be unique over all meshes of an operand.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,20 +56,20 @@ class Resolved:
     status: DataFrame
 
 
-def _cut(part: pd.DataFrame) -> pd.DataFrame:
+def _cut(part: list) -> list[tuple]:
     """Triangulates one cut triangle: its corners, cut points on its edges (slot 0 to 2), inside it (slot -1), and segments."""
-    head = part.iloc[0]
-    corners = [(head[f"{c}x"], head[f"{c}y"], head[f"{c}z"]) for c in "abc"]
-    ids = [int(head[c]) for c in "abc"]
+    head = part[0]
+    corners = [tuple(getattr(head, f"{c}{n}") for n in "xyz") for c in "abc"]
+    ids = [head.a, head.b, head.c]
     where = dict(zip(ids, corners, strict=True))
     on_edge: dict[int, set[int]] = {0: set(), 1: set(), 2: set()}
     segments = set()
-    for r in part.itertuples():
+    for r in part:
         where[r.point] = (r.x, r.y, r.z)
         if r.slot >= 0:
             on_edge[r.slot].add(r.point)
-        if r.other_point is not None and not pd.isna(r.other_point):
-            segments.add(frozenset((int(r.point), int(r.other_point))))
+        if r.other_point is not None:
+            segments.add(frozenset((r.point, r.other_point)))
     n = [0.0, 0.0, 0.0]
     (ax, ay, az), (bx, by, bz), (cx, cy, cz) = corners
     n = [(by - ay) * (cz - az) - (bz - az) * (cy - ay), (bz - az) * (cx - ax) - (bx - ax) * (cz - az), (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)]
@@ -89,8 +90,34 @@ def _cut(part: pd.DataFrame) -> pd.DataFrame:
         found, status = triangulate([(where[v][i], where[v][j]) for v in order], lines), "ok"
     except TriangulationError as error:
         found, status = [(0, 1, 2)], error.code
-    rows = [(head["mesh_id"], int(head["tid"]), k, order[a], order[b], order[c], int(head["label"]), status) for k, (a, b, c) in enumerate(found)]
-    return pd.DataFrame(rows, columns=["mesh_id", "tid", "piece", "a", "b", "c", "label", "status"])
+    return [(head.mesh_id, head.tid, k, order[a], order[b], order[c], head.label, status) for k, (a, b, c) in enumerate(found)]
+
+
+_PIECES = {"mesh_id": pa.string(), "tid": pa.int64(), "piece": pa.int32(), "a": pa.int64(), "b": pa.int64(), "c": pa.int64(), "label": pa.int32(), "status": pa.string()}
+
+
+def _cut_all(batches):
+    """Rows in order of their triangle in, pieces out; a triangle's rows are in memory at a time."""
+    now, held, out = None, [], []
+
+    def pieces() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [[]] * len(_PIECES)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _PIECES.values(), strict=True)], names=list(_PIECES))
+
+    for batch in batches:
+        row_of = namedtuple("row_of", batch.schema.names)._make
+        for row in map(row_of, zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if (row.mesh_id, row.tid) != now:
+                if held:
+                    out.extend(_cut(held))
+                now, held = (row.mesh_id, row.tid), []
+            held.append(row)
+        if len(out) > 10_000:
+            yield pieces()
+    if held:
+        out.extend(_cut(held))
+    yield pieces()
 
 
 def resolve(left: MeshFrame, right: MeshFrame, seed: int = 1, quanta: tuple[int, ...] = QUANTA) -> Resolved:
@@ -168,7 +195,8 @@ def _subdivide(grid: MeshFrame, pairs: DataFrame, bad: DataFrame, attempt: int)
     on = shared.select("mesh_id", F.col("owner").alias("tid"), "slot", "point", "x", "y", "z").union(shared.select("mesh_id", F.col("hit").alias("tid"), F.lit(-1).alias("slot"), "point", "x", "y", "z")).distinct()
     lines = segments.select("mesh_id", F.explode(F.array("t0", "t1")).alias("tid"), F.col("p0").alias("point"), F.col("p1").alias("other_point")).distinct()
     work = on.join(lines, ["mesh_id", "tid", "point"], "left").join(T.materialize(_doubles(grid), ["label"]), ["mesh_id", "tid"])
-    pieces = work.groupBy("mesh_id", "tid").applyInPandas(_cut, "mesh_id string, tid long, piece int, a long, b long, c long, label int, status string")
+    work = work.repartition("mesh_id", "tid").sortWithinPartitions("mesh_id", "tid")
+    pieces = work.mapInArrow(_cut_all, "mesh_id string, tid long, piece int, a long, b long, c long, label int, status string")
     pieces, _ = write_table(pieces)
     failed = pieces.where("status <> 'ok'").select("mesh_id", F.lit("SUBDIVISION_FAILED").alias("status")).distinct()
     whole = grid.triangles.join(pieces.select("mesh_id", "tid").distinct(), ["mesh_id", "tid"], "left_anti")
