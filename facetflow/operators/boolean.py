@@ -195,7 +195,7 @@ def _subdivide(grid: MeshFrame, pairs: DataFrame, bad: DataFrame, attempt: int)
     on = shared.select("mesh_id", F.col("owner").alias("tid"), "slot", "point", "x", "y", "z").union(shared.select("mesh_id", F.col("hit").alias("tid"), F.lit(-1).alias("slot"), "point", "x", "y", "z")).distinct()
     lines = segments.select("mesh_id", F.explode(F.array("t0", "t1")).alias("tid"), F.col("p0").alias("point"), F.col("p1").alias("other_point")).distinct()
     work = on.join(lines, ["mesh_id", "tid", "point"], "left").join(T.materialize(_doubles(grid), ["label"]), ["mesh_id", "tid"])
-    work = work.repartition("mesh_id", "tid").sortWithinPartitions("mesh_id", "tid")
+    work = work.repartition("mesh_id", "tid").sortWithinPartitions("mesh_id", "tid", "slot", "x", "y", "z", "point")
     pieces = work.mapInArrow(_cut_all, "mesh_id string, tid long, piece int, a long, b long, c long, label int, status string")
     pieces, _ = write_table(pieces)
     failed = pieces.where("status <> 'ok'").select("mesh_id", F.lit("SUBDIVISION_FAILED").alias("status")).distinct()
