@@ -8,8 +8,9 @@ these meet in a tree of the same fan. At the root at most one document a source
 source misses its target by less than one document.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 and
-sources of size 0 take 0 words; rows that repeat in doc_id, source and size are documents of their own; an empty
-table gives no rows. Other columns are ignored, whatever their names.
+sources of size 0 take 0 words; rows that repeat in doc_id, source and text are documents of their own; an empty
+table gives no rows. Other columns are ignored, whatever their names. A document's identity has the hash of its text, so that rows of
+one doc_id, or without one, spread over tasks; only rows that repeat whole meet in one, which spills.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 FAN = 256
+_RUN = 1 << 12
 SEED = 7_151
 #: Up to so many sources, a row of 40 bytes each, their targets are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 100_000
@@ -72,64 +74,68 @@ aggregate(
 _TAKE = "x.coin * (least(items[s.at - 1].size - s.m, x.m) + least(s.m, x.size - x.m)) < least(s.m, x.size - x.m)"
 
 
-def _coin(*parts: Column) -> Column:
+def _coin(*parts: Column | str) -> Column:
     """A seeded number in [0, 1)."""
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / float(1 << 53)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, fan: int = FAN) -> DataFrame:
-    """(doc_id, source, size, copy, source_size, target, copies): how many times the mix takes each document.
+    """(doc_id, digest, source, size, copy, source_size, target, copies): how many times the mix takes each document.
 
-    ``copy`` numbers rows that repeat in doc_id, source and size from 1. Sizes are counted once and written; what follows
-    moves some 60 bytes a document. Source totals are summed before the shuffle, a hot source is dealt over its buckets.
+    ``digest`` is a 64-bit hash of the text; ``copy`` numbers rows that repeat in doc_id, digest, source and size from 1. Sizes are counted
+    once and written; what follows moves some 70 bytes a document. Source totals are summed before the shuffle, a hot
+    source is dealt over its buckets.
     """
-    counted = docs.select("doc_id", "source", size().alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    identity = ["doc_id", "digest", "size", "copy"]
+    counted = docs.select("doc_id", F.xxhash64("text").alias("digest"), "source", size().alias("size")).groupBy("doc_id", "digest", "source", "size").agg(F.count("*").alias("n"))
     base, _ = write_table(counted)
     sources = base.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     sources, _ = write_table(source_targets(sources, weights, share, most).withColumnRenamed("source", "of"))
     many, largest = sources.agg(F.count("*"), F.max("docs")).first()
     right = F.broadcast(sources) if many <= BROADCAST_SOURCES else sources
-    rows = base.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    # in two steps, so that no array grows with the number of copies but by its root
+    rows = base.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_RUN).cast("long"))))
+    rows = rows.select("doc_id", "digest", "source", "size", F.explode(F.sequence(F.col("from") + 1, F.least(F.col("from") + _RUN, "n"))).alias("copy"))
     rows = rows.join(right, rows.source.eqNullSafe(right.of)).drop("of", "weight")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(ratio)).withColumn("m", (ratio - F.floor(ratio)) * F.col("size"))
-    fixed = ["doc_id", "source", "size", "copy", "source_size", "target", "whole"]
+    fixed = ["doc_id", "digest", "source", "size", "copy", "source_size", "target", "whole"]
     certain = (F.col("m") <= 0) | (F.col("size") == 0)
     decided = rows.where(certain).select(*fixed, F.lit(0).alias("up"))
     todo = rows.where(~certain)
     nodes = F.ceil(F.col("docs") / fan)
-    todo = todo.select(*fixed, "m", nodes.alias("nodes"), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "copy"), nodes).alias("node"))
+    todo = todo.select(*fixed, "m", nodes.alias("nodes"), F.pmod(F.xxhash64(F.lit(seed), *identity), nodes).alias("node"))
     keys = ["source", "source_size", "target", "whole"]
     for level in range(max(1, math.ceil(math.log(max(largest or 1, 2), fan) + 1e-9))):
-        item = F.struct(F.xxhash64(F.lit(seed + 1 + level), "doc_id", "size", "copy").alias("h"), "doc_id", "size", "copy", "m", _coin(F.lit(seed - 1 - level), F.col("doc_id"), F.col("size"), F.col("copy")).alias("coin"))
+        item = F.struct(F.xxhash64(F.lit(seed + 1 + level), *identity).alias("h"), *identity, "m", _coin(F.lit(seed - 1 - level), *identity).alias("coin"))
         folded = todo.groupBy(*keys, "nodes", "node").agg(F.sort_array(F.collect_list(item)).alias("items"))
         folded, _ = write_table(folded.withColumn("fold", F.expr(_STEP.format(take=_TAKE))))
         one = folded.select(*keys, "items", F.explode("fold.done").alias("code")).select(*keys, F.expr("items[shiftright(code, 1) - 1]").alias("x"), (F.col("code") % 2).alias("up"))
-        decided = decided.unionByName(one.select("x.doc_id", "source", "x.size", "x.copy", "source_size", "target", "whole", "up"))
+        decided = decided.unionByName(one.select("x.doc_id", "x.digest", "source", "x.size", "x.copy", "source_size", "target", "whole", "up"))
         left = F.expr("items[fold.at - 1]")
         fewer = F.ceil(F.col("nodes") / fan)
         todo = folded.select(*keys, left.alias("x"), F.col("fold.m").alias("m"), fewer.alias("nodes"), F.floor(F.col("node") / fan).alias("node"))
-        todo = todo.select("x.doc_id", "source", "x.size", "x.copy", "source_size", "target", "whole", "m", "nodes", "node")
-    last = todo.select(*fixed, (_coin(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("copy")) * F.col("size") < F.col("m")).cast("int").alias("up"))
-    return decided.unionByName(last).select("doc_id", "source", "size", "copy", "source_size", "target", (F.col("whole") + F.col("up")).alias("copies"))
+        todo = todo.select("x.doc_id", "x.digest", "source", "x.size", "x.copy", "source_size", "target", "whole", "m", "nodes", "node")
+    last = todo.select(*fixed, (_coin(F.lit(seed), *identity) * F.col("size") < F.col("m")).cast("int").alias("up"))
+    return decided.unionByName(last).select("doc_id", "digest", "source", "size", "copy", "source_size", "target", (F.col("whole") + F.col("up")).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it (0 to 2 with the defaults).
 
-    Texts are shuffled once, by doc_id, source and size. Of rows that repeat in these, those with the smallest hashes of their
-    text take the group's larger numbers of copies.
+    Texts are shuffled once, by doc_id, source, size and the text's hash. Of rows that repeat in these, the first take the
+    larger numbers of copies.
     """
     names = docs.columns
 
-    def key(doc_id: str, source: str, words: str) -> Column:
+    def key(digest: Column, words: str) -> Column:
         part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-        return F.concat(part(doc_id), F.lit(","), F.col(words).cast("string"), F.lit(","), part(source))
+        return F.concat_ws(",", digest.cast("string"), F.col(words).cast("string"), part("doc_id"), part("source"))
 
-    taken = mix(docs, **parameters).groupBy(key("doc_id", "source", "size").alias("__key"))
+    taken = mix(docs, **parameters).groupBy(key(F.col("digest"), "size").alias("__key"))
     taken = taken.agg(F.min("copies").alias("__low"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("__more"))
-    rows = docs.withColumn("__size", size()).withColumn("__key", key("doc_id", "source", "__size"))
-    rows = rows.withColumn("__k", F.row_number().over(W.partitionBy("__key").orderBy(F.xxhash64("text"))))
+    rows = docs.withColumn("__size", size()).withColumn("__key", key(F.xxhash64("text"), "__size"))
+    rows = rows.withColumn("__k", F.row_number().over(W.partitionBy("__key").orderBy("__size")))
     copies = F.col("__low") + F.when(F.col("__k") <= F.col("__more"), 1).otherwise(0)
     rows = rows.join(taken, "__key").withColumn("__copies", copies).where("__copies > 0")
     return rows.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*names)
