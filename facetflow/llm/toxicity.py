@@ -196,12 +196,16 @@ def choose_features(sample: DataFrame, categories: tuple[str, ...], features: in
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample: int = SAMPLE) -> Chain:
-    """``labels(doc_id, *categories)``: 0 or 1 each. The driver gets the chosen features' values of the sample."""
+    """``labels(doc_id, *categories)``: 0 or 1 each. The driver gets the chosen features' values of the sample.
+
+    At most 2 * ``sample`` labelled documents; of rows that share a doc_id, the one whose text has the smallest hash.
+    """
     names = [f"y{k}" for k in range(len(categories))]
     clean = labels.dropna(subset=["doc_id", *categories]).groupBy("doc_id").agg(*[F.max(F.col(c).cast("double")).alias(n) for c, n in zip(categories, names, strict=True)])
     share = min(1.0, sample / max(1, clean.count()))
     some = clean.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(F.xxhash64("doc_id")).limit(2 * sample)
-    rows, _ = write_table(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(*names, "text"))
+    known = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", *names)
+    rows, _ = write_table(known.agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first")).select(*names, "first.text"))
     features = choose_features(rows, categories)
 
     def valued(batches):
@@ -210,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
                 x = Bag(part.column("text")).shares(features).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array([r.tobytes() for r in x], pa.binary())], names=[*names, "x"])
 
-    got = rows.transform(map_arrow, valued, ", ".join(f"{n} double" for n in names) + ", x binary").limit(4 * sample).collect()
+    got = rows.transform(map_arrow, valued, ", ".join(f"{n} double" for n in names) + ", x binary").collect()
     got.sort(key=lambda r: (bytes(r[-1]), tuple(r[:-1])))
     x = np.array([np.frombuffer(r[-1], np.float32) for r in got], float).reshape(len(got), len(features))
     return fit_chain(features, x, np.array([r[:-1] for r in got], float).reshape(len(got), len(categories)))
