@@ -590,3 +590,50 @@ def test_parts_lie_over_one_buffer():
     spans = [[t[a:b] for a, b in zip(x, y, strict=True)] for t, x, y in zip(column.to_pylist(), batch.column("loss_start").to_pylist(), batch.column("loss_end").to_pylist(), strict=True)]
     assert spans == [["b<\\/s>é"], [], ["zz"]]
     assert batch.column("conv_id").to_pylist() == [1, None, 2] and batch.column("part").to_pylist() == [(3 << 32) + k for k in range(3)]
+
+
+def test_mixing_of_rows_without_ids(spark):
+    """Rows of one id or none spread by their texts; equal rows take whole numbers of copies that sum as the mix says."""
+    from facetflow.llm.mixing import mix, mixed_documents
+
+    rows = [(None, "one two", "a"), (None, "two one", "a"), (7, "one two", "a"), (7, "six seven", "a"), *[(None, "same again", "b")] * 5, (None, None, None)]
+    some = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = mix(some).toPandas()
+    assert len(copies) == len(rows)
+    taken = [tuple(r) for r in mixed_documents(some).collect()]
+    assert len(taken) == copies.copies.sum() and {*taken} <= {*rows}
+    assert taken.count((None, "same again", "b")) == copies[copies.source == "b"].copies.sum()
+    assert sorted(map(str, taken)) == sorted(str(tuple(r)) for r in mixed_documents(some.repartition(3)).collect())
+
+
+def test_chain_equals_a_plain_loop_over_folds():
+    """Out-of-fold log-odds of the first category, by models that never saw the row, are the second's last feature."""
+    from facetflow.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    x = rng.random((120, 4))
+    y = np.column_stack([x[:, 0] + 0.2 * rng.random(120) > 0.6, x[:, 1] > 0.5]).astype(float)
+    chain = toxicity.fit_chain(np.arange(4, dtype=np.uint64), x, y, folds=4, seed=5)
+    fold = np.random.default_rng(5).permutation(120) % 4
+    width = x
+    for k in range(2):
+        odds = np.array([np.nan] * 120)
+        for i in range(120):
+            w = toxicity.fit_logistic(width[fold != fold[i]], y[fold != fold[i], k])
+            odds[i] = min(12, max(-12, float(sum(a * b for a, b in zip(width[i], w[:-1])) + w[-1])))
+        assert np.allclose(1 / (1 + np.exp(-odds)), chain.out_of_fold[:, k])
+        assert np.allclose(chain.weights[k], toxicity.fit_logistic(width, y[:, k]))
+        width = np.column_stack([width, odds])
+
+
+def test_training_on_repeated_ids(spark):
+    """Of a doc_id's rows one is trained on, whatever their order and number."""
+    from facetflow.llm import toxicity
+
+    words = ["calm", "kind", "vile", "foul"]
+    rows = [(i, f"{words[i % 4]} {words[(i + 2) % 4] if i % 3 else 'plain'} text {i % 5}") for i in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 1)) for i in range(80)], "doc_id long, toxic long")
+    docs = spark.createDataFrame(rows + [(3, "another text of three")] * 50, "doc_id long, text string")
+    one, two = (toxicity.train(d, labels, ("toxic",)) for d in (docs, docs.repartition(7)))
+    assert len(one.out_of_fold) == 80
+    assert np.array_equal(one.features, two.features) and all(np.array_equal(a, b) for a, b in zip(one.weights, two.weights))

@@ -58,3 +58,52 @@ def test_pipeline(spark):
         docs = out
     assert counts[1] <= counts[0] <= 200
     assert corpus_pipeline.run(spark, DATA).count() == counts[-1]
+
+
+@pytest.mark.parametrize(
+    ("name", "kinds"),
+    [
+        ("op2_pivotal_mixing", "doc_id bigint, size bigint, source_size bigint, target double, taken bigint"),
+        ("op6_toxicity_chain", "doc_id bigint, toxic boolean"),
+        ("op8_hierarchical_packing", "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"),
+        ("op9_external_shuffle", "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int"),
+    ],
+)
+def test_columns_of_queries_without_sql(spark, name, kinds):
+    rows = queries.QUERIES[name](spark, DATA)
+    found = dict(rows.dtypes)
+    for column in kinds.split(", "):
+        of, kind = column.split(" ")
+        assert found[of] == kind
+    docs = {r[0] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
+    assert {r[0] for r in rows.select("doc_id").collect()} == docs
+
+
+def test_pipeline_keeps_what_it_should(spark):
+    """Each stage's rows against its input: nothing new, no class of equal texts lost, repeats only by the mix."""
+    import corpus_pipeline
+    from facetflow.llm import toxicity
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    chain = toxicity.train(docs, toxicity.judged(labels))
+    scores = {r["doc_id"]: r["toxic"] for r in toxicity.score(docs, chain).collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, docs, DATA)
+    whole = {tuple(r) for r in docs.collect()}
+    rows = {tuple(r) for r in clean.collect()}
+    assert rows == {tuple(r) for r in docs.collect() if not scores[r["doc_id"]]}
+    single = stages["near_duplicates"](spark, clean, DATA)
+    kept = [tuple(r) for r in single.collect()]
+    at = docs.columns.index("text")
+    assert len({*kept}) == len(kept) and {*kept} <= rows <= whole
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))}
+    sets = [grams(r[at] or "") for r in kept]
+    assert all(len(a & b) / max(1, len(a | b)) < 0.8 for i, a in enumerate(sets) for b in sets[:i])
+    # what went is within a chain of links of something that stayed
+    gone, reached = [grams(r[at] or "") for r in rows - {*kept}], sets[:]
+    while near := [g for g in gone if any(len(g & s) / max(1, len(g | s)) >= 0.8 for s in reached)]:
+        gone, reached = [g for g in gone if g not in near], reached + near
+    assert not gone
+    mixed = [tuple(r) for r in stages["mixing"](spark, single, DATA).collect()]
+    assert {*mixed} <= {*kept} and max(mixed.count(r) for r in {*mixed}) <= 2
