@@ -103,17 +103,25 @@ def triangulate(spark, sf_dir):
     return e.where("x IS NOT NULL AND y IS NOT NULL").groupBy("label").applyInPandas(found, "label int, points long, places long, triangles_and_hull long")
 
 
-@query("SELECT 0::BIGINT AS num_non_manifold, 0::BIGINT AS removed_again, true AS had_some")
+#: Vertices with a fin on the edge to the next vertex, every seventh row of the height field; all triangles around them are there.
+_FINS = "vid % 20 = 9 AND {row} % 7 = 3 AND vid + 42 <= {last}"
+
+
+@query(f"""WITH {SQL_HEIGHT}, f AS (SELECT count(*) AS n FROM hv WHERE {_FINS.format(row="vid // 20", last="(SELECT max(vid) FROM hv)")}), i AS (SELECT v0, v1, count(*) AS n FROM he GROUP BY ALL)
+SELECT f.n AS before, 0::BIGINT AS after, f.n AS resolved, 0::BIGINT AS abandoned, 0::BIGINT AS failed, (SELECT count(*) FROM ht) - 4 * f.n AS num_triangles,
+  (SELECT count(DISTINCT v) FROM (SELECT unnest([v0, v1]) AS v FROM he)) - 2 * f.n AS num_vertices, (SELECT count(*) FROM i WHERE n = 1) AS num_hole_edges, 0::BIGINT AS num_non_manifold FROM f""")
 def repair_non_manifold(spark, sf_dir):
-    """A surface with a fin: the edge with three triangles is cut out and closed."""
+    """A surface with fins: each edge with three triangles goes with its two ends, ten triangles and the fin, and six close the hole."""
     mesh = height_field(spark, sf_dir)
-    tip = spark.range(1).select(F.lit("h").alias("mesh_id"), F.lit(-1).cast("long").alias("vid"), *[F.lit(x).alias(n) for x, n in zip((10.5, 10.2, 9000.0), "xyz", strict=True)])
-    fin = spark.range(1).select(F.lit("h").alias("mesh_id"), F.lit(-1).cast("long").alias("tid"), *[F.lit(x).cast("long").alias(n) for x, n in zip((210, 211, -1), "abc", strict=True)])
-    v, t = mesh.vertices.union(tip), mesh.triangles.union(fin)
-    fixed, count = repair.remove_non_manifold_edges(MeshFrame(v, t))
-    again, more = repair.remove_non_manifold_edges(fixed)
-    e = T.edge_incidence(again.triangles)
-    return e.agg(F.count_if(F.col("n_inc") > 2).alias("num_non_manifold")).select("num_non_manifold", F.lit(more).cast("long").alias("removed_again"), F.lit(count > 0).alias("had_some"))
+    last = mesh.vertices.agg(F.max("vid")).first()[0] or 0
+    at = mesh.vertices.where(_FINS.format(row="(vid div 20)", last=last))
+    tips = at.select("mesh_id", (-1 - F.col("vid")).alias("vid"), (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.2).alias("y"), F.lit(9e6).alias("z"))
+    fins = at.select("mesh_id", (-1 - F.col("vid")).alias("tid"), F.col("vid").alias("a"), (F.col("vid") + 1).alias("b"), (-1 - F.col("vid")).alias("c"))
+    flat = mesh.vertices.unionByName(tips).withColumn("z", F.col("z") / 8192)
+    fixed, counts = repair.remove_non_manifold_edges(MeshFrame(flat, mesh.triangles.unionByName(fins)))
+    e = T.edge_incidence(fixed.triangles).agg(F.count_if(F.col("n_inc") == 1).alias("num_hole_edges"), F.count_if(F.col("n_inc") > 2).alias("num_non_manifold"))
+    found = e.crossJoin(fixed.triangles.agg(F.count("*").alias("num_triangles"))).crossJoin(fixed.vertices.agg(F.count("*").alias("num_vertices")))  # one row each
+    return found.select("*", *[F.lit(getattr(counts, n)).cast("long").alias(n) for n in ("before", "after", "resolved", "abandoned", "failed")])
 
 
 @query(f"""WITH {SQL_BOXES} SELECT mesh_id, count(*) AS num_triangles, round(sum(8 * half * half * half) / 12, 3) AS volume FROM bt JOIN be USING (mesh_id) WHERE tid // 12 = vec_id GROUP BY mesh_id""")

@@ -221,13 +221,58 @@ def test_self_intersections_and_repair(spark):
     assert before > 0
     fixed, counts = repair.remove_self_intersections(m)
     assert (counts.before, counts.after) == (before, self_intersections(fixed).count())
-    assert counts.after == 0
+    assert counts.after == 0 and counts.resolved and (counts.abandoned, counts.failed) == (0, 0)
     e = topology.edge_incidence(fixed.triangles)
     assert e.where("n_inc > 2").count() == 0 and e.where("n_inc = 1").count() == 4 * (n - 1)
     regions = repair.self_intersecting_regions(m)
     assert regions.select("region").distinct().count() >= 1
 
 
+def sheet(n=8):
+    faces = [t for y in range(n - 1) for x in range(n - 1) for i in [y * n + x] for t in ((i, i + 1, i + n), (i + 1, i + n + 1, i + n))]
+    return [(float(x), float(y), 0.05 * math.sin(x * y)) for y in range(n) for x in range(n)], faces
+
+
+def test_non_manifold_edges_one_by_one(spark):
+    """An edge inside is cut out and closed; at the boundary its hole cannot close, so its triangles stay and it is reported."""
+    points, faces = sheet()
+    tip = len(points)
+    m = mesh(spark, [("inside", [*points, (3.5, 3.2, 9.0)], [*faces, (27, 28, tip)]), ("rim", [*points, (3.5, 0.2, 9.0)], [*faces, (3, 11, tip)]), ("sound", points, faces)])
+    fixed, counts = repair.remove_non_manifold_edges(m)
+    assert (counts.before, counts.after, counts.resolved, counts.abandoned, counts.failed) == (2, 1, 1, 1, 0)
+    n = {r.mesh_id: (r.t, r.h) for r in topology.edge_incidence(fixed.triangles).groupBy("mesh_id").agg(F.count_if(F.col("n_inc") == 1).alias("h"), F.sum("n_inc").alias("t")).collect()}
+    assert n == {"inside": (3 * (98 - 4), 28), "rim": (3 * 99, 30), "sound": (3 * 98, 28)}
+
+
+def test_removals_are_judged_by_themselves(spark):
+    points, faces = sheet()
+    m = mesh(spark, [("m", points, faces)])
+    tids = {r.tid: {r.a, r.b, r.c} for r in m.triangles.collect()}
+    low = min(v for c in tids.values() for v in c)
+    fan = lambda *of: [t for t, c in tids.items() if c & {low + v for v in of}]
+    regions = {1: fan(27), 2: fan(18, 45), 3: fan(3), 4: list(tids), 5: fan(27, 28)}
+    removals = spark.createDataFrame([("m", k, t) for k, of in regions.items() for t in of], "mesh_id string, region long, tid long")
+    status, patches = repair.judge_removals(m, removals)
+    assert {r.region: r.status for r in status.collect()} == {1: "ok", 2: "MANY_BOUNDARIES", 3: "NOT_CLOSED", 4: "NO_BOUNDARY", 5: "ok"}
+    assert {r.region: r["count"] for r in patches.groupBy("region").count().collect()} == {1: 4, 5: 6}
+    status, _ = repair.judge_removals(m, removals, one_boundary=False)
+    assert {r.region: r.status for r in status.collect()}[2] == "ok"
+
+
+def test_hopeless_regions_stay_whole(spark):
+    """Two loose triangles that cross cannot be mended: they stay and are counted; another mesh is mended none the less."""
+    points, faces = sheet()
+    points[27], points[36] = (4.6, 4.3, -0.9), (3.9, 4.1, -2.0)
+    loose = [(0, 0, 0), (2, 0, 0), (0, 2, 0), (0.5, 0.4, -1), (0.5, 0.4, 1), (0.6, 3, 0)]
+    m = mesh(spark, [("good", points, faces), ("loose", loose, [(0, 1, 2), (3, 4, 5)])])
+    fixed, counts = repair.remove_self_intersections(m, passes=1)
+    left = self_intersections(fixed).collect()
+    assert {r.mesh_id for r in left} == {"loose"} and counts.after == len(left) == counts.abandoned
+    assert counts.resolved + counts.abandoned + counts.failed == counts.before > counts.after and counts.failed == 0
+    e = topology.edge_incidence(fixed.triangles)
+    assert e.where("n_inc > 2").count() == 0 and {r.mesh_id: r["count"] for r in e.where("n_inc = 1").groupBy("mesh_id").count().collect()} == {"good": 28, "loose": 6}
+
+
 def test_closing_holes(spark):
     points, faces = box((0, 0, 0), (2, 2, 2))
     opened = mesh(spark, [("one", points, faces[1:]), ("two", points, faces[2:])])
