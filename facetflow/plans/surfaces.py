@@ -11,7 +11,7 @@ from facetflow.operators import loops, planes, repair, spatial, surfaces
 from facetflow.operators import topology as T
 from facetflow.operators.tables import write_table
 from facetflow.plans.relational import _POLY, _SQL_TWO, _polygons, _two
-from facetflow.plans.scalar import SQL_VERDICT, _points, query, quoted, sql_signs
+from facetflow.plans.scalar import SQL, SQL_VERDICT, _points, query, quoted, sql_signs
 from facetflow.sources import off
 from facetflow.sources.derived import SQL_BOXES, SQL_HEIGHT, MeshFrame, boxes, height_field, table
 from facetflow.streaming.drops import event_windows as windows
@@ -173,12 +173,6 @@ def repair_self_intersections(spark, sf_dir):
     return found.select(F.lit(counts.before > 0).alias("had_some"), *left, "num_hole_edges", "num_non_manifold", (F.col("v") - F.col("e") + F.col("f")).alias("euler"))
 
 
-@query(None)
-def self_intersecting_regions(spark, sf_dir):
-    mesh = boxes(spark, sf_dir)
-    return repair.self_intersecting_regions(MeshFrame(mesh.vertices, mesh.triangles), 1).groupBy("mesh_id", "region").agg(F.count("*").alias("triangles"))
-
-
 @query(f"WITH {_POLY} SELECT label, pos, CAST(CAST(x AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(y AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(z AS BIGINT) AS VARCHAR) AS line FROM q")
 def polyline_text(spark, sf_dir):
     p = _polygons(spark, sf_dir).select("label", "pos", *[F.col(n).cast("bigint").alias(n) for n in "xyz"])
@@ -197,3 +191,12 @@ def event_windows(spark, sf_dir):
     """The windowed aggregate of the event stream, run over the table as one batch."""
     rows = windows(table(spark, sf_dir, "events"))
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(f"""SELECT 'b' || (box % 4) AS mesh_id, box * 12 AS region, 12::BIGINT AS triangles FROM (SELECT DISTINCT unnest([edge_tid // 12, tid // 12]) AS box FROM ({SQL["self_intersections"]}))""")
+def self_intersecting_regions(spark, sf_dir):
+    """Boxes that pierce others or are pierced: growth ends with the box, which is a region whole."""
+    mesh = boxes(spark, sf_dir)
+    v = mesh.vertices.select("mesh_id", "vid", (F.col("x") * 16).alias("x"), (F.col("y") * 16).alias("y"), (F.col("z") * 16 + F.col("vid") % 16).alias("z"))
+    found = repair.self_intersecting_regions(MeshFrame(v, mesh.triangles), Quantizer(exponent=30))
+    return found.groupBy("mesh_id", "region").agg(F.count("*").alias("triangles"))

@@ -273,6 +273,38 @@ def test_hopeless_regions_stay_whole(spark):
     assert e.where("n_inc > 2").count() == 0 and {r.mesh_id: r["count"] for r in e.where("n_inc = 1").groupBy("mesh_id").count().collect()} == {"good": 28, "loose": 6}
 
 
+def test_regions_grow_until_they_hold_the_pierced_triangle(spark):
+    """Against a plain loop over rings, merged by what they share; two loose triangles that cross never reach each other."""
+    points, faces = sheet(14)
+    points[31], points[46], points[150] = (4.6, 3.3, -0.9), (4.9, 3.1, -2.0), (12.6, 11.3, -0.9)
+    points[165] = (11.9, 11.1, -2.0)
+    loose = [(0, 0, 0), (2, 0, 0), (0, 2, 0), (0.5, 0.4, -1), (0.5, 0.4, 1), (0.6, 3, 0)]
+    m = mesh(spark, [("sheet", points, faces), ("loose", loose, [(0, 1, 2), (3, 4, 5)])])
+    corners = {r.tid: {r.a, r.b, r.c} for r in m.triangles.collect()}
+
+    def grown(tids, rings):
+        for _ in range(rings):
+            touched = set().union(*(corners[t] for t in tids))
+            tids = {t for t, c in corners.items() if c & touched}
+        return tids
+
+    most, beyond, around, sets = 2, 1, 1, []
+    for r in self_intersections(m).collect():
+        edge = {t for t, c in corners.items() if {r.v0, r.v1} <= c}
+        reach = next((k for k in range(1, most + 1) if r.tid in grown(edge, k)), None)
+        sets.append(grown(edge, (most if reach is None else reach + beyond) + around))
+        if reach is None:
+            sets.append(grown({r.tid}, beyond))
+    whole = []
+    for one in sets:
+        apart = [w for w in whole if not w & one]
+        whole = [*apart, one.union(*(w for w in whole if w & one))]
+    got = {}
+    for r in repair.self_intersecting_regions(m, None, most, beyond, around).collect():
+        got.setdefault(r.region, set()).add(r.tid)
+    assert got == {min(w): w for w in whole} and len(whole) >= 3
+
+
 def test_closing_holes(spark):
     points, faces = box((0, 0, 0), (2, 2, 2))
     opened = mesh(spark, [("one", points, faces[1:]), ("two", points, faces[2:])])
