@@ -200,3 +200,15 @@ def self_intersecting_regions(spark, sf_dir):
     v = mesh.vertices.select("mesh_id", "vid", (F.col("x") * 16).alias("x"), (F.col("y") * 16).alias("y"), (F.col("z") * 16 + F.col("vid") % 16).alias("z"))
     found = repair.self_intersecting_regions(MeshFrame(v, mesh.triangles), Quantizer(exponent=30))
     return found.groupBy("mesh_id", "region").agg(F.count("*").alias("triangles"))
+
+
+@query(f"""WITH RECURSIVE {SQL_BOXES}, s AS ({SQL["self_intersections"]}),
+n AS (SELECT DISTINCT v0, v1, bt.tid FROM s JOIN bt ON bt.tid // 12 = v0 // 8 AND (v0 IN (a, b, c) OR v1 IN (a, b, c))),
+l AS (SELECT DISTINCT p.v0, p.v1, q.v0 AS w0, q.v1 AS w1 FROM n AS p JOIN n AS q USING (tid)),
+r AS (SELECT * FROM l UNION SELECT r.v0, r.v1, l.w0, l.w1 FROM r JOIN l ON r.w0 = l.v0 AND r.w1 = l.v1)
+SELECT v0, v1, min(edge_tid) AS edge_tid, min(tid) AS tid FROM s WHERE (v0, v1) IN (SELECT (v0, v1) FROM r GROUP BY v0, v1 HAVING min((w0, w1)) = (v0, v1)) GROUP BY v0, v1""")
+def distinct_self_intersections(spark, sf_dir):
+    """One self-intersection for each place of a mesh of many boxes."""
+    mesh = boxes(spark, sf_dir)
+    v = mesh.vertices.select("mesh_id", "vid", (F.col("x") * 16).alias("x"), (F.col("y") * 16).alias("y"), (F.col("z") * 16 + F.col("vid") % 16).alias("z"))
+    return repair.distinct_self_intersections(MeshFrame(v, mesh.triangles), Quantizer(exponent=30)).select("v0", "v1", "edge_tid", "tid")
