@@ -446,7 +446,7 @@ def test_batch(spark, tmp_path):
     for name, shift in (("a", 0), ("b", 1)):
         points, faces = box((shift, shift, shift), (shift + 2, shift + 2, shift + 2))
         (tmp_path / f"{name}.off").write_text(off.render(points, faces))
-    results, rows = batch.run(spark, str(tmp_path / "*.off"), ("union", "difference"))
+    results, rows = batch.run(spark, str(tmp_path / "*.off"), ("union", "difference"), repair=True)
     assert {k: round(v, 3) for k, v in volume(results["union"]).items()} == {"a~b": 15.0, "b~a": 15.0}
     total = {r.operation: r.two_manifold for r in batch.rollup(rows).collect()}
     assert total == {None: 4, "union": 2, "difference": 2}
