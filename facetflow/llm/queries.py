@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from facetflow.llm import ann, chat, embedding_dedup, jaccard_join, lm_scoring, mixing, packing, sharding, toxicity, warc
+from facetflow.llm import ann, chat, embedding_dedup, filter_audit, jaccard_join, lm_scoring, mixing, packing, sharding, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_stupid_backoff": lm_scoring.op1_stupid_backoff,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_hierarchical_packing": packing.op8_hierarchical_packing,
     "op9_external_shuffle": sharding.op9_external_shuffle,
     "op10_warc_archive": warc.op10_warc_archive,
+    "op11_filter_trie_audit": filter_audit.op11_filter_trie_audit,
+    "op12_prefix_token_counts": token_counts.op12_prefix_token_counts,
 }
 
 SQL = {
@@ -24,4 +26,5 @@ SQL = {
     "op5_chat_format": chat.SQL,
     "op7_minhash_jaccard_join": jaccard_join.SQL,
     "op10_warc_archive": warc.SQL,
+    "op11_filter_trie_audit": filter_audit.SQL,
 }
