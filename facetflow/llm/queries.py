@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from facetflow.llm import ann, chat, embedding_dedup, filter_audit, jaccard_join, lm_scoring, mixing, packing, sharding, token_counts, toxicity, warc
+from facetflow.llm import ann, chat, collocations, embedding_dedup, filter_audit, jaccard_join, lm_scoring, mixing, packing, sharding, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_stupid_backoff": lm_scoring.op1_stupid_backoff,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc_archive": warc.op10_warc_archive,
     "op11_filter_trie_audit": filter_audit.op11_filter_trie_audit,
     "op12_prefix_token_counts": token_counts.op12_prefix_token_counts,
+    "op13_phrase_collocations": collocations.op13_phrase_collocations,
 }
 
 SQL = {
@@ -27,4 +28,5 @@ SQL = {
     "op7_minhash_jaccard_join": jaccard_join.SQL,
     "op10_warc_archive": warc.SQL,
     "op11_filter_trie_audit": filter_audit.SQL,
+    "op13_phrase_collocations": collocations.SQL,
 }
