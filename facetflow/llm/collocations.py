@@ -9,8 +9,9 @@ Phrases grow to the right from frequent prefixes, as an occurrence of a phrase h
    its prefixes' projections depth first, which sorted rows are the order of, and counts every growth. A task holds no
    more than the path it is on.
 
-A prefix with more than a 2^20th of all pointers (and 2^14) is dealt over several tasks, whose growths are summed. Such
-prefixes are 2^20 at most, so their list is broadcast.
+A prefix with more than a 4096th of all pointers, or 2^24, is dealt over several tasks by the words that follow; its equal
+pointers are counted before they are shuffled, and growths by one word are summed over its tasks. Such prefixes are 2^20 at
+most, as the limit is never below a 2^20th of all pointers; so their list is broadcast.
 
 Words are 64-bit hashes of language and word. Two words of one hash are found when words are counted, with their smallest
 and largest spelling, and the run is repeated with another seed; so counts are exact. Sets of frequent words and pairs are
@@ -41,8 +42,8 @@ TOP = 2000
 #: Bits of the sets of frequent words and pairs: 16 MB a set.
 BITS = 1 << 27
 TEXT_BYTES = 8 << 20
-#: Pointers of one prefix in one task, or this share of all pointers if that is more.
-PROJECTED, SHARE = 1 << 14, 1 << 20
+#: Pointers of one prefix in one task: this share of all, this number at most, but never under the last share.
+SHARE, PROJECTED, LEAST_SHARE = 1 << 12, 1 << 24, 1 << 20
 _SPREAD = 256
 _SOFT = np.zeros(256, bool)
 _SOFT[[0x20, 0x09]] = True
@@ -161,60 +162,62 @@ def pair_counts(docs: DataFrame, words: BitSet, least: int = LEAST, seed: int =
     return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def grown(docs: DataFrame, pairs: DataFrame, frequent: BitSet, least: int = LEAST, seed: int = 0, projected: int = PROJECTED) -> DataFrame:
+def grown(docs: DataFrame, pairs: DataFrame, frequent: BitSet, least: int = LEAST, seed: int = 0, share: int = SHARE) -> DataFrame:
     """``h1, h2, h3, h4, n`` of phrases of three words (``h4`` is 0) and four that begin with a frequent pair."""
     spark = docs.sparkSession
     total = pairs.agg(F.sum("n")).first()[0] or 0
-    most = max(projected, total // SHARE)
-    hot = pairs.where(F.col("n") > most).select("h1", "h2", F.ceil(F.col("n") / most).alias("parts")).toArrow()  # SHARE rows at most
+    most = max(min(total // share, PROJECTED), total // LEAST_SHARE, 1)
+    hot = pairs.where(F.col("n") > most).select("h1", "h2", F.ceil(F.col("n") / most).alias("parts")).toArrow()  # LEAST_SHARE rows at most
     keys = _pair(*(hot.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2")))
     order = np.argsort(keys)
     sent = spark.sparkContext.broadcast((keys[order], hot.column("parts").to_numpy()[order]))
 
     def pointers(batches):
         keys, parts = sent.value
-        turn = 0
         for w in _batches(batches, seed):
-            h, n = w.hash, len(w.hash)
-            pair = np.zeros(n, np.uint64)
+            h, size = w.hash, len(w.hash)
+            pair = np.zeros(size, np.uint64)
             pair[:-1] = _pair(h[:-1], h[1:])
             held = w.joined & frequent.holds(pair)
             k = np.flatnonzero(held)
-            k = k[k + 1 < n]
+            k = k[k + 1 < size]
             k = k[held[k + 1]]
-            more = k + 2 < n
+            more = k + 2 < size
             more[more] = held[k[more] + 2]
-            fourth = np.where(more, h[np.minimum(k + 3, n - 1)], np.uint64(0))
-            part = np.full(len(k), -1, np.int32)
+            fourth = np.where(more, h[np.minimum(k + 3, size - 1)], np.uint64(0))
+            rows = np.stack([h[k], h[k + 1], h[k + 2], fourth], axis=1)
+            part, n = np.full(len(k), -1, np.int32), np.ones(len(k), np.int64)
             if len(keys):
                 spot = np.minimum(np.searchsorted(keys, pair[k]), len(keys) - 1)
                 split = keys[spot] == pair[k]
-                part[split] = (turn + np.arange(split.sum())) % parts[spot[split]]
-                turn += int(split.sum())
-            yield pa.RecordBatch.from_arrays([*_signed(h[k], h[k + 1], h[k + 2], fourth), pa.array(part)], names=[*_H, "part"])
+                dealt = (mix(rows[:, 2] ^ (rows[:, 3] >> np.uint64(7))) % parts[spot].astype(np.uint64)).astype(np.int32)
+                again, at, times = np.unique(rows[split], axis=0, return_index=True, return_counts=True)
+                rows = np.concatenate([rows[~split], again])
+                part = np.concatenate([part[~split], dealt[split][at]])
+                n = np.concatenate([n[~split], times])
+            yield pa.RecordBatch.from_arrays([*_signed(*np.ascontiguousarray(rows.T)), pa.array(part), pa.array(n)], names=[*_H, "part", "n"])
 
     def walked(batches):
-        """Of each depth only the growth that the walk is in is held; whole prefixes leave out what is rare."""
+        """Of each depth only the growth that the walk is in is held. Rare growths are left out where a task has them whole."""
         open_at = {3: None, 4: None}
         for batch in batches:
             rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("h1", "h2", "part", "h3", "h4")], axis=1)
             for depth in open_at:
-                done, open_at[depth] = _runs(rows[:, : depth + 1], open_at[depth])
+                done, open_at[depth] = _runs(rows[:, : depth + 1], batch.column("n").to_numpy(), open_at[depth])
                 yield _growths(done, depth, least)
         for depth, path in open_at.items():
             if path is not None:
                 yield _growths(path, depth, least)
 
-    rows = docs.select("text", "lang").transform(map_arrow, pointers, "h1 long, h2 long, h3 long, h4 long, part int")
+    rows = docs.select("text", "lang").transform(map_arrow, pointers, "h1 long, h2 long, h3 long, h4 long, part int, n long")
     tasks = F.col("h1"), F.col("h2"), F.col("part")
     rows = rows.repartition(*tasks).sortWithinPartitions("h1", "h2", "part", "h3", "h4")
     growths = rows.transform(map_arrow, walked, "h1 long, h2 long, h3 long, h4 long, n long")
     return growths.groupBy(*_H).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def _runs(rows: np.ndarray, before: tuple[np.ndarray, np.ndarray] | None) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray] | None]:
-    """Runs of equal rows and their lengths: those that are over, and the last one, which may go on in the next batch."""
-    weight = np.ones(len(rows), np.int64)
+def _runs(rows: np.ndarray, weight: np.ndarray, before: tuple[np.ndarray, np.ndarray] | None) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray] | None]:
+    """Runs of equal rows and their weights: those that are over, and the last one, which may go on in the next batch."""
     if before is not None:
         rows, weight = np.concatenate([before[0], rows]), np.concatenate([before[1], weight])
     if not len(rows):
@@ -228,15 +231,13 @@ def _runs(rows: np.ndarray, before: tuple[np.ndarray, np.ndarray] | None) -> tup
 
 def _growths(runs: tuple[np.ndarray, np.ndarray], depth: int, least: int) -> pa.RecordBatch:
     rows, n = runs
-    keep = (n >= least) | (rows[:, 2] >= 0)
-    if depth == 4:
-        keep &= rows[:, 4] != 0
+    keep = (n >= least) & (rows[:, 4] != 0) if depth == 4 else (n >= least) | (rows[:, 2] >= 0)
     rows, n = rows[keep], n[keep]
     fourth = rows[:, 4] if depth == 4 else np.zeros(len(rows), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (rows[:, 0], rows[:, 1], rows[:, 3], fourth, n)], names=[*_H, "n"])
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, bits: int = BITS, projected: int = PROJECTED) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = LEAST, bits: int = BITS, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
     """Words ``(h, lang, word, n)``, with languages' totals, and phrases of one to four words ``(key, n)``, ``key`` an array of hashes."""
     for seed in range(64):
         words, _ = write_table(word_counts(docs, least, seed))
@@ -248,7 +249,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, bits: int = BITS, proj
     single = words.where("word is not null")
     pairs, _ = write_table(pair_counts(docs, BitSet(single, F.col("h"), bits), least, seed))
     frequent = BitSet(pairs, F.col("h1").bitwiseXOR(F.shiftrightunsigned("h2", 7)), bits)
-    longer, _ = write_table(grown(docs, pairs, frequent, least, seed, projected))
+    longer, _ = write_table(grown(docs, pairs, frequent, least, seed, share))
     keys = [single.select(F.array("h").alias("key"), "n"), pairs.select(F.array("h1", "h2").alias("key"), "n")]
     keys += [longer.where("h4 = 0").select(F.array("h1", "h2", "h3").alias("key"), "n"), longer.where("h4 <> 0").select(F.array(*_H).alias("key"), "n")]
     return words, keys[0].unionByName(keys[1]).unionByName(keys[2]).unionByName(keys[3])
