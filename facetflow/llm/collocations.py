@@ -41,7 +41,7 @@ LEAST = 30
 TOP = 2000
 #: Bits of the sets of frequent words and pairs: 16 MB a set.
 BITS = 1 << 27
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 2 << 20
 #: Pointers of one prefix in one task: this share of all, this number at most, but never under the last share.
 SHARE, PROJECTED, LEAST_SHARE = 1 << 12, 1 << 24, 1 << 20
 _SPREAD = 256
@@ -80,7 +80,7 @@ class Words:
         with np.errstate(over="ignore"):
             self.salt = mix(of_lang + np.uint64(seed))
         self.hash = word_key(word_hashes(self.buf, self.start, self.end), self.salt[self.lang])
-        breaks = np.cumsum(hard)
+        breaks = np.cumsum(hard, dtype=np.int32)
         self.joined = np.zeros(len(self.start), bool)
         self.joined[:-1] = (self.row[1:] == self.row[:-1]) & (breaks[self.start[1:]] == breaks[self.start[:-1]])
 
