@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.functions import predicates as P
-from facetflow.functions.quantize import Quantizer, perturbation
+from facetflow.functions.quantize import Quantizer, grid_exponents, perturbation
 from facetflow.functions.vec import V3, Box, Triangle
 from facetflow.operators.topology import edges, materialize
 from facetflow.sources.derived import MeshFrame
@@ -49,8 +49,31 @@ def _from_level(levels: list[int], own: Column) -> Column:
     return F.filter(F.array(*[F.lit(k) for k in levels or [0]]), lambda k: k >= own)
 
 
+def grids(mesh: MeshFrame) -> DataFrame:
+    """(mesh_id, exponent, status): each mesh's own grid, and OK or why the grid is too coarse for its shortest edge."""
+    largest = mesh.vertices.groupBy("mesh_id").agg(F.max(F.greatest(F.abs("x"), F.abs("y"), F.abs("z"))).alias("largest"))
+    rows = edges(mesh.triangles).select("mesh_id", "v0", "v1")
+    for end in ("v0", "v1"):
+        rows = rows.join(mesh.vertices.select("mesh_id", F.col("vid").alias(end), F.struct("x", "y", "z").alias(f"at_{end}")), ["mesh_id", end])
+    length = F.sqrt(sum(((F.col(f"at_v0.{n}") - F.col(f"at_v1.{n}")) ** 2 for n in "xyz"), F.lit(0.0)))
+    shortest = rows.groupBy("mesh_id").agg(F.min(length).alias("shortest"))
+    exponent, status = grid_exponents(F.col("largest"), F.col("shortest"))
+    return largest.join(shortest, "mesh_id", "left").select("mesh_id", exponent.alias("exponent"), status.alias("status"))
+
+
+def with_exponents(mesh: MeshFrame) -> MeshFrame:
+    """Vertices with the ``exponent`` of their own mesh's grid, if they don't have one already: a row a mesh is joined."""
+    if "exponent" in mesh.vertices.columns:
+        return mesh
+    largest = mesh.vertices.groupBy("mesh_id").agg(F.max(F.greatest(F.abs("x"), F.abs("y"), F.abs("z"))).alias("largest"))
+    own = largest.select("mesh_id", grid_exponents(F.col("largest"), F.lit(1.0))[0].alias("exponent"))
+    return MeshFrame(mesh.vertices.join(own, "mesh_id"), mesh.triangles)
+
+
 def on_grid(mesh: MeshFrame, quantizer: Quantizer, seed: int = 0, quanta: int = 0) -> MeshFrame:
-    """Vertices as integers of the grid, moved by up to ``quanta`` by a seeded hash."""
+    """Vertices as integers of the grid, moved by up to ``quanta`` by a seeded hash; with ``Quantizer.per_mesh()`` of each mesh's own."""
+    if isinstance(quantizer.exponent, Column):
+        mesh = with_exponents(mesh)
     p = quantizer.to_grid(V3.of())
     if quanta:
         p = p + perturbation(F.col("vid"), seed, quanta)
@@ -98,9 +121,12 @@ def intersection_point(p: V3, q: V3, t: Triangle) -> V3:
 
 
 def self_intersections(mesh: MeshFrame, quantizer: Quantizer | None = None) -> DataFrame:
-    """(mesh_id, v0, v1, edge_tid, tid): edges that pierce a triangle of their own mesh; each edge once, with its first triangle."""
+    """(mesh_id, v0, v1, edge_tid, tid): edges that pierce a triangle of their own mesh; each edge once, with its first triangle.
+
+    Without a quantizer each mesh has its own grid, so that a mesh is judged as it is alone, whatever its company.
+    """
     labelled = MeshFrame(mesh.vertices, mesh.triangles if "label" in mesh.triangles.columns else mesh.triangles.withColumn("label", F.lit(0)))
-    grid = on_grid(labelled, quantizer or Quantizer.calibrate(mesh))
+    grid = on_grid(labelled, quantizer or Quantizer.per_mesh())
     return edge_triangle_pairs(grid, other=False).where("meets").select("mesh_id", "v0", "v1", "edge_tid", "tid")
 
 

@@ -12,18 +12,11 @@ from facetflow.functions.quantize import Quantizer
 from facetflow.functions.vec import V3
 from facetflow.operators import loops, planes
 from facetflow.operators.graph import edge_components
+from facetflow.operators.tables import write_table
 from facetflow.operators.topology import edge_incidence, edges
 from facetflow.sources.derived import MeshFrame
 
 
-class SurfaceError(ValueError):
-    """``code``: NON_MANIFOLD_EDGE."""
-
-    def __init__(self, code: str):
-        super().__init__(code)
-        self.code = code
-
-
 def mesh_metrics(mesh: MeshFrame) -> DataFrame:
     """(mesh_id, n_vertices, max_abs, box): one aggregate of the vertices."""
     p = V3.of()
@@ -54,16 +47,16 @@ def boundary_lengths(mesh: MeshFrame, found: DataFrame) -> DataFrame:
 
 
 def largest_surface(triangles: DataFrame) -> DataFrame:
-    """(mesh_id, tid): of each mesh's surfaces connected over edges the one with most triangles, of equal ones the first.
+    """(mesh_id, tid, status): of each mesh's surfaces connected over edges the one with most triangles, of equal ones the first.
 
-    Refused if an edge has more than two triangles.
+    A mesh that has an edge with more than two triangles gives one row without ``tid``, of status NON_MANIFOLD_EDGE; others are ok.
     """
-    if edge_incidence(triangles).where("n_inc > 2").limit(1).count():
-        raise SurfaceError("NON_MANIFOLD_EDGE")
-    found = edge_components(triangles)
+    bad, _ = write_table(edge_incidence(triangles).where("n_inc > 2").select("mesh_id").distinct())
+    found = edge_components(triangles.join(bad, "mesh_id", "left_anti"))
     sizes = found.groupBy("mesh_id", "component").agg(F.count("*").alias("n"))
     best = sizes.groupBy("mesh_id").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))
-    return found.join(best, ["mesh_id", "component"], "left_semi").select("mesh_id", "tid")
+    largest = found.join(best, ["mesh_id", "component"], "left_semi").select("mesh_id", "tid", F.lit("ok").alias("status"))
+    return largest.unionByName(bad.select("mesh_id", F.lit(None).cast("long").alias("tid"), F.lit("NON_MANIFOLD_EDGE").alias("status")))
 
 
 def loop_owners(mesh: MeshFrame, found: DataFrame) -> DataFrame:

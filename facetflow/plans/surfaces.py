@@ -59,7 +59,7 @@ def outside_boundary(spark, sf_dir):
 @query(f"WITH {SQL_BOXES} SELECT mesh_id, min(tid // 12) * 12 + j AS tid FROM bt JOIN (SELECT unnest(range(12)) AS j) ON true GROUP BY mesh_id, j")
 def largest_surface(spark, sf_dir):
     """Of each mesh's boxes, which are equally large, the first."""
-    return surfaces.largest_surface(boxes(spark, sf_dir).triangles)
+    return surfaces.largest_surface(boxes(spark, sf_dir).triangles).select("mesh_id", "tid")
 
 
 @query(f"""WITH {SQL_HEIGHT}, m AS (SELECT tid // 10 - k AS set_id FROM ht, (VALUES (0), (1)) AS o(k) WHERE k = 0 OR tid % 10 < 5) SELECT DISTINCT set_id, set_id // 3 * 3 AS merged FROM m WHERE set_id >= 0 AND set_id % 3 <> 2""")

@@ -264,13 +264,14 @@ def test_hopeless_regions_stay_whole(spark):
     points, faces = sheet()
     points[27], points[36] = (4.6, 4.3, -0.9), (3.9, 4.1, -2.0)
     loose = [(0, 0, 0), (2, 0, 0), (0, 2, 0), (0.5, 0.4, -1), (0.5, 0.4, 1), (0.6, 3, 0)]
-    m = mesh(spark, [("good", points, faces), ("loose", loose, [(0, 1, 2), (3, 4, 5)])])
+    # a huge triangle beside them has a grid of its own
+    m = mesh(spark, [("good", points, faces), ("loose", loose, [(0, 1, 2), (3, 4, 5)]), ("z", [(0, 0, 0), (1e12, 0, 0), (0, 1e12, 0)], [(0, 1, 2)])])
     fixed, counts = repair.remove_self_intersections(m, passes=1)
     left = self_intersections(fixed).collect()
     assert {r.mesh_id for r in left} == {"loose"} and counts.after == len(left) == counts.abandoned
     assert counts.resolved + counts.abandoned + counts.failed == counts.before > counts.after and counts.failed == 0
     e = topology.edge_incidence(fixed.triangles)
-    assert e.where("n_inc > 2").count() == 0 and {r.mesh_id: r["count"] for r in e.where("n_inc = 1").groupBy("mesh_id").count().collect()} == {"good": 28, "loose": 6}
+    assert e.where("n_inc > 2").count() == 0 and {r.mesh_id: r["count"] for r in e.where("n_inc = 1").groupBy("mesh_id").count().collect()} == {"good": 28, "loose": 6, "z": 3}
 
 
 def test_regions_grow_until_they_hold_the_pierced_triangle(spark):
@@ -279,7 +280,7 @@ def test_regions_grow_until_they_hold_the_pierced_triangle(spark):
     points[31], points[46], points[150] = (4.6, 3.3, -0.9), (4.9, 3.1, -2.0), (12.6, 11.3, -0.9)
     points[165] = (11.9, 11.1, -2.0)
     loose = [(0, 0, 0), (2, 0, 0), (0, 2, 0), (0.5, 0.4, -1), (0.5, 0.4, 1), (0.6, 3, 0)]
-    m = mesh(spark, [("sheet", points, faces), ("loose", loose, [(0, 1, 2), (3, 4, 5)])])
+    m = mesh(spark, [("sheet", points, faces), ("loose", loose, [(0, 1, 2), (3, 4, 5)]), ("z", [(0, 0, 0), (1e12, 0, 0), (0, 1e12, 0)], [(0, 1, 2)])])
     corners = {r.tid: {r.a, r.b, r.c} for r in m.triangles.collect()}
 
     def grown(tids, rings):
