@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.operators.tables import drop_table, write_table
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges of a graph that one task joins: a few MB.
+ONE_TASK = 1 << 16
+
+
+def _united(batches):
+    """Components of the edges of one task, by union-find with halved paths."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, [root(x) for x in nodes])], names=["node", "component"])
+
+
+def components(edges: DataFrame, rounds: int = 60, small: int = 0) -> DataFrame:
     """Connected components of ``edges(a, b)``: (node, component), the smallest node reachable; nodes without edges are absent.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each edge keeps to one row, and a node's neighbours are
     only ever reduced to their minimum. Minima are written before they are joined: both sides of a join then come straight
     from an exchange, so that Spark can split a node with very many edges. It is over when the edges are stars: no node points to two others or is pointed
     to and points on. Each step's edges are written to the scratch folder; one number a round comes to the driver.
-    Empty edges give an empty result. Loops and repeated edges are ignored.
+    Empty edges give an empty result. Loops and repeated edges are ignored. Up to ``small`` edges, once written and counted, are one
+    task's work instead: a job for each step costs more than that. Nodes are then whole numbers.
     """
     spark = edges.sparkSession
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now, path = write_table(now)
+    if small and now.count() <= small:
+        return write_table(now.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(_united, "node long, component long"))[0]
     for _ in range(rounds):
         if _are_stars(now):
             break
@@ -52,7 +78,7 @@ def triangle_vertices(triangles: DataFrame) -> DataFrame:
 
 def labelled_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) of all ``nodes(node)``, those without edges included."""
-    found = components(edges)
+    found = components(edges, small=ONE_TASK)
     return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
@@ -64,7 +90,7 @@ def bodies(triangles: DataFrame) -> DataFrame:
     are offset before (``topology.disjoint_union``).
     """
     edges = triangles.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("c").alias("b")))).alias("e")).select("e.a", "e.b")
-    found = components(edges)
+    found = components(edges, small=ONE_TASK)
     return triangles.join(found, F.col("a") == F.col("node")).select("mesh_id", "tid", F.col("component").alias("body"))
 
 

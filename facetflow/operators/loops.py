@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.operators.graph import components
+from facetflow.operators.graph import ONE_TASK, components
 from facetflow.operators.topology import hole_edges
 
 
@@ -99,7 +99,7 @@ def boundary_loops(triangles: DataFrame) -> DataFrame:
     with a number for further loops through it. A group that does not close gives one row with its status.
     """
     e = hole_edges(triangles)
-    found = components(e.select(F.col("p").alias("a"), F.col("q").alias("b")))
+    found = components(e.select(F.col("p").alias("a"), F.col("q").alias("b")), small=ONE_TASK)
     grouped = e.join(found, F.col("p") == F.col("node")).select("mesh_id", "component", "p", "q")
 
     def loops(part: pd.DataFrame) -> pd.DataFrame:

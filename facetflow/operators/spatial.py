@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from facetflow.functions import predicates as P
 from facetflow.functions.quantize import Quantizer, grid_exponents, perturbation
 from facetflow.functions.vec import V3, Box, Triangle
+from facetflow.operators.tables import write_table
 from facetflow.operators.topology import edges, materialize
 from facetflow.sources.derived import MeshFrame
 
@@ -98,8 +99,9 @@ def edge_triangle_pairs(mesh: MeshFrame, other: bool | None) -> DataFrame:
 
     Pairs that share a vertex are left out; with the exact verdict as columns ``meets`` and ``degenerate``.
     """
-    left = edge_boxes(mesh, ["label"]).withColumnRenamed("label", "l_label")
-    right = triangle_boxes(mesh, ["label"]).withColumnRenamed("label", "r_label")
+    # written, as the join reads them three times: extents, levels, cells
+    left, _ = write_table(edge_boxes(mesh, ["label"]).withColumnRenamed("label", "l_label"))
+    right, _ = write_table(triangle_boxes(mesh, ["label"]).withColumnRenamed("label", "r_label"))
     pairs = box_join(left, right, ["mesh_id"])
     if other is not None:
         pairs = pairs.where(F.col("l_label") != F.col("r_label")) if other else pairs.where(F.col("l_label") == F.col("r_label"))
