@@ -68,6 +68,24 @@ def _subsets(count: int) -> list[tuple[int, ...]]:
     return [x for size in range(1, count + 1) for x in combinations(range(count), size)]
 
 
+def _grown(first: DataFrame, own: DataFrame, links: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """What is reached over edges behind each boundary (mesh_id, region, k), its region left out; and the boundaries where it passes ``most``.
+
+    Neighbours of a front lie in it, in the one before or in the next one, so that only these are compared.
+    """
+    grow = ["mesh_id", "region", "k"]
+    before, front, member = first.limit(0), first, first
+    over = member.groupBy(*grow).count().where(F.col("count") > most).select(*grow)
+    while front.limit(1).count():
+        new = front.join(over, grow, "left_anti").join(links, ["mesh_id", "tid"]).select(*grow, F.col("other").alias("tid")).distinct()
+        new = new.join(own, ["mesh_id", "region", "tid"], "left_anti")
+        before, front = front, write_table(new.join(front.unionByName(before), [*grow, "tid"], "left_anti"))[0]
+        member = member.unionByName(front)
+        over = member.groupBy(*grow).count().where(F.col("count") > most).select(*grow)
+    over, _ = write_table(over)
+    return write_table(member.join(over, grow, "left_anti"))[0], over
+
+
 def scrub_regions(mesh: MeshFrame, regions: DataFrame, most_filled: int = MOST_FILLED) -> tuple[DataFrame, DataFrame]:
     """Fills the gaps that ``regions(mesh_id, region, tid)`` enclose, as regions merged of several may.
 
@@ -101,23 +119,20 @@ def scrub_regions(mesh: MeshFrame, regions: DataFrame, most_filled: int = MOST_F
     rim = steps.select(F.col("of").alias("mesh_id"), "region", "k", F.least("of_vid", "of_q").alias("v0"), F.greatest("of_vid", "of_q").alias("v1"))
     around, _ = write_table(T.edges(mesh.triangles).select("mesh_id", "tid", "v0", "v1"))
     own = regions.select(*key, "tid")
-    grow = [*key, "k"]
-    front, _ = write_table(rim.join(around, ["mesh_id", "v0", "v1"]).select(*grow, "tid").distinct().join(own, [*key, "tid"], "left_anti"))
-    member, open_gaps = front, None
+    first, _ = write_table(rim.join(around, ["mesh_id", "v0", "v1"]).select(*key, "k", "tid").distinct().join(own, [*key, "tid"], "left_anti"))
     links = around.join(around.withColumnRenamed("tid", "other"), ["mesh_id", "v0", "v1"]).where("tid <> other").select("mesh_id", "tid", "other")
-    while front.limit(1).count():
-        over, _ = write_table(member.groupBy(*grow).count().where(F.col("count") > most_filled).select(*grow))
-        open_gaps = over
-        new = front.join(over, grow, "left_anti").join(links, ["mesh_id", "tid"]).select(*grow, F.col("other").alias("tid")).distinct()
-        front, _ = write_table(new.join(own, [*key, "tid"], "left_anti").join(member, [*grow, "tid"], "left_anti"))
-        member, _ = write_table(member.unionByName(front))
-    closed = member if open_gaps is None else member.join(open_gaps, grow, "left_anti")
-    closed, _ = write_table(closed)
+    # the longest boundary alone comes first of all sets: what lies behind it is asked for only where that set does not hold
+    closed, unbounded = _grown(first.where("k > 0"), own, links, most_filled)
+    wide = closed.select(*key, "tid").distinct().groupBy(*key).count().where(F.col("count") > most_filled).select(*key)
+    further, _ = write_table(unbounded.select(*key).union(wide).distinct())
+    if further.limit(1).count():
+        behind = _grown(first.where("k = 0").join(further, key, "left_semi"), own, links, most_filled)
+        closed, unbounded = closed.unionByName(behind[0]), unbounded.unionByName(behind[1])
 
     # a set of boundaries holds a region if nothing that passes the limit is reached over the others
     several_of = several.select(F.col("of").alias("mesh_id"), "region", "boundaries").distinct()
     bit = F.pow(F.lit(2), F.col("k")).cast("int")
-    unbounded = (open_gaps if open_gaps is not None else member.select(*grow).limit(0)).groupBy(*key).agg(F.bit_or(bit).alias("unbounded"))
+    unbounded = unbounded.groupBy(*key).agg(F.bit_or(bit).alias("unbounded"))
     sets = F.array(*[F.struct(F.lit(n).alias("of"), F.lit(i).alias("i"), F.lit(sum(1 << x for x in s)).alias("kept")) for n in range(2, MOST_BOUNDARIES + 1) for i, s in enumerate(_subsets(n))])
     tried = several_of.join(unbounded, key, "left").select(*key, F.coalesce("unbounded", F.lit(0)).alias("unbounded"), F.explode(F.filter(sets, lambda s: s["of"] == F.col("boundaries"))).alias("s"))
     tried = tried.select(*key, "s.i", "s.kept", "unbounded").where(F.col("unbounded").bitwiseAND(F.bitwise_not("kept")) == 0)

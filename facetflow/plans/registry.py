@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from facetflow.plans import relational, scalar, solids, surfaces  # noqa: F401  each registers its queries
+from facetflow.plans import regions, relational, scalar, solids, surfaces  # noqa: F401  each registers its queries
 from facetflow.plans.scalar import QUERIES, SQL  # noqa: F401
 
 
