@@ -124,21 +124,21 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it (0 to 2 with the defaults).
 
     Texts are shuffled once, by doc_id, source, size and the text's hash. Of rows that repeat in these, the first take the
-    larger numbers of copies.
+    larger numbers of copies. A row travels whole in a struct, so that its column names clash with nothing; columns may be of any type.
     """
-    names = docs.columns
 
-    def key(digest: Column, words: str) -> Column:
+    def key(digest: str) -> Column:
         part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-        return F.concat_ws(",", digest.cast("string"), F.col(words).cast("string"), part("doc_id"), part("source"))
-
-    taken = mix(docs, **parameters).groupBy(key(F.col("digest"), "size").alias("__key"))
-    taken = taken.agg(F.min("copies").alias("__low"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("__more"))
-    rows = docs.withColumn("__size", size()).withColumn("__key", key(F.xxhash64("text"), "__size"))
-    rows = rows.withColumn("__k", F.row_number().over(W.partitionBy("__key").orderBy("__size")))
-    copies = F.col("__low") + F.when(F.col("__k") <= F.col("__more"), 1).otherwise(0)
-    rows = rows.join(taken, "__key").withColumn("__copies", copies).where("__copies > 0")
-    return rows.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*names)
+        return F.concat_ws(",", F.col(digest).cast("string"), F.col("size").cast("string"), part("doc_id"), part("source")).alias("key")
+
+    taken = mix(docs, **parameters).groupBy(key("digest"))
+    taken = taken.agg(F.min("copies").alias("low"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("more"))
+    rows = docs.select(F.struct("*").alias("record"), "doc_id", "source", F.xxhash64("text").alias("digest"), size().alias("size"))
+    rows = rows.select("record", key("digest"), "size")
+    rows = rows.select("record", "key", F.row_number().over(W.partitionBy("key").orderBy("size")).alias("k"))
+    copies = F.col("low") + F.when(F.col("k") <= F.col("more"), 1).otherwise(0)
+    rows = rows.join(taken, "key").select("record", copies.alias("copies")).where("copies > 0")
+    return rows.select("record", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("record.*")
 
 
 def op2_pivotal_mixing(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ an equal slice (law ``rows``).
 
 Defined cases: an empty table gives no rows; a null text has no bytes; rows with one doc_id are dealt by their texts, a null
 doc_id is an id like others; rows that repeat whole are dealt to one bucket, which is shuffled in pieces; a very long text
-is in memory alone. The record travels whole in a struct, so that its column names clash with nothing.
+is in memory alone. The record travels whole in a struct, so that its column names clash with nothing; columns may be of any type,
+but ties of rows that agree in all columns but maps are broken in no fixed order.
 """
 
 from __future__ import annotations
@@ -93,21 +94,21 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
 
     rows = docs.select(F.struct("*").alias("record"), bucket.alias("bucket"), F.lit(None).cast("long").alias("first"), F.xxhash64(F.lit(seed + 1), "doc_id").alias("by"))
     kind = rows.schema["record"].dataType
+    hashed = [F.col("record")[f.name] for f in kind if "map<" not in f.dataType.simpleString()]  # Spark hashes no maps
     heads = places.select(F.lit(None).cast(kind).alias("record"), "bucket", "first", F.lit(None).cast("long").alias("by"))
     scattered = heads.union(rows).withColumn("task", F.floor(F.col("bucket") * tasks / buckets).cast("int")).repartitionById(tasks, "task")
-    scattered = scattered.sortWithinPartitions("bucket", F.col("first").isNull(), "by", F.xxhash64("record")).select("record", "bucket", "first")
+    scattered = scattered.sortWithinPartitions("bucket", F.col("first").isNull(), "by", F.xxhash64(*hashed)).select("record", "bucket", "first")
     return scattered.transform(map_arrow, shuffled, f"record {kind.simpleString()}, shard int, slot long")
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """Writes each shard into a folder of its own, slots in order within each file."""
-    rows = shuffled.select("record.*", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    rows.sortWithinPartitions("__shard", "__slot").write.partitionBy("__shard").parquet(path)
+    """Writes each shard into a folder of its own: (record struct, slot), slots in order within each file."""
+    shuffled.select("record", "slot", "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def read_shards(docs: DataFrame, path: str) -> DataFrame:
-    """What ``write_shards`` wrote: the columns of ``docs``, ``__slot`` and ``__shard``."""
-    kind = StructType([*docs.schema.fields, StructField("__slot", LongType()), StructField("__shard", IntegerType())])
+    """What ``write_shards`` wrote of ``docs``: (record struct, slot long, shard int)."""
+    kind = StructType([StructField("record", docs.schema), StructField("slot", LongType()), StructField("shard", IntegerType())])
     return docs.sparkSession.read.schema(kind).parquet(path)
 
 
@@ -115,8 +116,8 @@ def op9_external_shuffle(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = f"{scratch(spark)}/{uuid.uuid4().hex}.shards"
     write_shards(shuffle_into_shards(docs), path)
-    text = F.col("text")
+    text = F.col("record.text")
     return read_shards(docs, path).select(
-        "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "utf-8")).alias("text_crc32"),
-        F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        "record.doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "utf-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )

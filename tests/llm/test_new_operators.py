@@ -165,3 +165,58 @@ def test_scores_pass_64_bits(spark):
     rows = [([1], 3 * a), ([2], a + 1), ([1, 2], a)]
     got = collocations.scored(spark.createDataFrame(rows, "key array<long>, n long")).collect()
     assert [(r.key, r.a, r.l, r.r, r.score) for r in got] == [([1, 2], a, 3 * a, a + 1, 2000000 * a // (4 * a + 1))]
+
+
+#: Columns with names that operators might use themselves, and a map.
+CLASHING = "__size int, __key int, __k int, __low int, __more int, __copies int, __again int, __slot int, __shard int, key int, k int, size int, copies int, record int, slot int, shard int, bucket int, digest int, m map<string,int>"
+
+
+def clashing(spark, rows):
+    """``rows`` of (doc_id, text, lang, source, n_chars) with these columns, different in each row."""
+    names = [c.split()[0] for c in CLASHING.split(", ")]
+    values = [(*r, *(1000 * k + j for j in range(len(names) - 1)), {"a": k}) for k, r in enumerate(rows)]
+    return spark.createDataFrame(values, f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}")
+
+
+def plain(rows):
+    return sorted(str({k: sorted(v.items()) if isinstance(v, dict) else v for k, v in r.asDict().items()}) for r in rows)
+
+
+def test_mixing_touches_no_column(spark):
+    from facetflow.llm.mixing import mixed_documents
+
+    docs = clashing(spark, [(k % 30 if k % 7 else None, f"word {k} " * (k % 9), "en", ["s", "t", None][k % 3], k) for k in range(90)])
+    before, after = plain(docs.collect()), plain(mixed_documents(docs).collect())
+    assert docs.columns == mixed_documents(docs).columns
+    assert after and set(after) <= set(before) and max(after.count(x) for x in set(after)) <= 2
+    assert mixed_documents(docs.limit(0)).collect() == []
+
+
+def test_shards_touch_no_column(spark, tmp_path):
+    from facetflow.llm.sharding import read_shards, shuffle_into_shards, write_shards
+
+    docs = clashing(spark, [(k % 30, f"word {k}" * (k % 5), "en", "s", k) for k in range(90)] + [(None, None, None, None, None)])
+    shuffled = shuffle_into_shards(docs, shards=4)
+    write_shards(shuffled, f"file://{tmp_path}/shards")
+    found = read_shards(docs, f"file://{tmp_path}/shards")
+    assert plain(found.select("record.*").collect()) == plain(docs.collect())
+    assert sorted(r["count"] for r in found.groupBy("shard").count().collect()) == [22, 23, 23, 23]
+
+
+def test_pipeline_stages_touch_no_column(spark):
+    """Stages that give documents give their columns whole; nulls, repeats and an empty table go through all four."""
+    import corpus_pipeline
+
+    source = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()
+    rows = [tuple(r) for r in source] + [tuple(source[0]), (None, None, None, None, None), (5, "", "en", None, 0)]
+    docs = clashing(spark, rows)
+    whole = set(plain(docs.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        if name != "packing":
+            assert out.columns == docs.columns and set(plain(out.collect())) <= whole
+            docs = out
+    assert out.count() > 0
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DATA).collect() == []

@@ -384,15 +384,15 @@ def test_shards_are_written(spark, docs, no_docs, tmp_path):
     path = str(tmp_path / "shards")
     write_shards(shuffle_into_shards(docs, shards=4, bucket_bytes=2000), path)
     want = sorted(map(repr, shuffle_into_shards(docs, shards=4, bucket_bytes=2000).select("record.*", "slot", "shard").collect()))
-    got = read_shards(docs, path).withColumnsRenamed({"__slot": "slot", "__shard": "shard"}).collect()
+    got = read_shards(docs, path).select("record.*", "slot", "shard").collect()
     assert sorted(map(repr, got)) == want
-    for file in tmp_path.glob("shards/__shard=*/*.parquet"):
-        slots = pq.ParquetFile(file).read(columns=["__slot"]).column(0).to_pylist()
+    for file in tmp_path.glob("shards/shard=*/*.parquet"):
+        slots = pq.ParquetFile(file).read(columns=["slot"]).column(0).to_pylist()
         assert slots == sorted(slots)
     write_shards(shuffle_into_shards(no_docs), str(tmp_path / "none"))
     assert read_shards(no_docs, str(tmp_path / "none")).count() == 0
     rows = op9_external_shuffle(spark, "/root/testdata/sf0.001")
-    assert all("__shard=" in f for f in rows.inputFiles()) and rows.inputFiles()
+    assert all("shard=" in f for f in rows.inputFiles()) and rows.inputFiles()
 
 
 def brute_classes(rows):
