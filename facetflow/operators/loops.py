@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.operators.graph import ONE_TASK, components
-from facetflow.operators.topology import hole_edges
+from facetflow.operators.tables import write_table
+from facetflow.operators.topology import dense_numbers, hole_edges
 
 
 class BoundaryError(ValueError):
@@ -130,6 +131,42 @@ def divide(points: DataFrame, key: str, runs: int) -> DataFrame:
     return rows.where(F.col("run") < runs).drop("__n")
 
 
+def smooth_loops(loops: DataFrame, triangles: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """``loops(mesh_id, loop_id, pos, vid)`` with every two edges of one triangle replaced by its third edge, until none are left.
+
+    All loops at once, in rounds: of corners that form a triangle with their neighbours, those with a smaller id than such neighbours
+    of theirs go; of a loop of five or fewer the smallest alone, and none of a triangle. A triangle is cut off once. Loops are tables of
+    edges, so no loop has to fit into a task; vertices keep their order. A vertex occurs once in a loop.
+    """
+    key = ["mesh_id", "loop_id"]
+    corners = lambda *c: F.array_sort(F.array(*c)).alias("corners")
+    free, _ = write_table(triangles.select("mesh_id", corners("a", "b", "c")).distinct())
+    size = loops.groupBy(*key).agg(F.count("*").alias("n"))
+    after = loops.select(*key, F.col("pos").alias("next"), F.col("vid").alias("q"))
+    edges = loops.join(size, key).withColumn("next", (F.col("pos") + 1) % F.col("n")).join(after, [*key, "next"])
+    edges, _ = write_table(edges.select(*key, F.col("vid").alias("p"), "q"))
+    gone = None
+    for _ in range(rounds):
+        size = edges.groupBy(*key).agg(F.count("*").alias("n")).where("n > 3")
+        trios = edges.withColumnRenamed("q", "c").join(edges.select(*key, F.col("p").alias("c"), "q"), [*key, "c"]).join(size, key)
+        found, _ = write_table(trios.withColumn("corners", corners("p", "c", "q")).join(free, ["mesh_id", "corners"], "left_semi").select(*key, "p", "c", "q", "n", "corners"))
+        if not found.limit(1).count():
+            break
+        rival = found.select(*key, F.col("c").alias("other"))
+        beaten = found.select(*key, "c", F.explode(F.array("p", "q")).alias("other")).where("other < c").join(rival, [*key, "other"], "left_semi").select(*key, "c").distinct()
+        least = found.groupBy(*key).agg(F.min("c").alias("least"))
+        cut = found.join(beaten, [*key, "c"], "left_anti").join(least, key).where("n > 5 OR c = least")
+        cut, _ = write_table(cut.select(*key, "p", "c", "q", "corners"))
+        kept = edges.join(cut.select(*key, F.col("c").alias("p")), [*key, "p"], "left_anti").join(cut.select(*key, F.col("c").alias("q")), [*key, "q"], "left_anti")
+        edges, _ = write_table(kept.unionByName(cut.select(*key, "p", "q")))
+        free, _ = write_table(free.join(cut.select("mesh_id", "corners"), ["mesh_id", "corners"], "left_anti"))
+        gone = cut.select(*key, F.col("c").alias("vid")) if gone is None else gone.unionByName(cut.select(*key, F.col("c").alias("vid")))
+    left = loops.select(*key, "pos", "vid") if gone is None else loops.select(*key, "pos", "vid").join(gone, [*key, "vid"], "left_anti")
+    left = left.withColumn("of", F.to_json(F.struct(*key)))
+    places = dense_numbers(left.select(F.col("of").alias("mesh_id"), "pos"), "pos").withColumnRenamed("mesh_id", "of")
+    return left.join(places, ["of", "pos"]).select(*key, F.col("new").cast("int").alias("pos"), "vid")
+
+
 def smooth(loop: list[int], triangles: list[tuple[int, int, int]]) -> list[int]:
     """Replaces two boundary edges of one triangle by its third edge, until none is left."""
     have = {frozenset(t) for t in triangles}

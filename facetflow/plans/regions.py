@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from facetflow.operators import region_repair, repair
+from facetflow.operators import loops, region_repair, repair
 from facetflow.operators import topology as T
 from facetflow.plans.scalar import query
 from facetflow.sources.derived import SQL_HEIGHT, MeshFrame, height_field
@@ -71,3 +71,13 @@ def try_regions(spark, sf_dir):
     _, status = region_repair.try_regions(mesh)
     sizes = mesh.triangles.groupBy("mesh_id").agg(F.count("*").alias("mesh_triangles"))
     return status.join(sizes, "mesh_id").select("mesh_id", "status", (F.col("before") > 0).alias("had_some"), "after", "filled", "mesh_triangles")
+
+
+@query(f"""WITH {SQL_HEIGHT}, o AS (SELECT v0, v1 FROM he GROUP BY ALL HAVING count(*) = 1), v AS (SELECT DISTINCT unnest([v0, v1]) AS vid FROM o),
+k AS (SELECT vid FROM v WHERE vid NOT IN (SELECT a FROM ht WHERE a = 0) AND NOT (vid % 20 = 19 AND vid = (SELECT max(vid) FROM hv)))
+SELECT (SELECT min(vid) FROM v)::VARCHAR AS loop_id, count(*) AS n, min(vid) AS first, max(vid) AS last, sum(vid)::BIGINT AS ids FROM k""")
+def smooth_loops(spark, sf_dir):
+    """The boundary of a surface of cells: of its four corners two are cut off with their triangle."""
+    mesh = height_field(spark, sf_dir)
+    found = loops.smooth_loops(loops.boundary_loops(mesh.triangles), mesh.triangles)
+    return found.groupBy("loop_id").agg(F.count("*").alias("n"), F.min("vid").alias("first"), F.max("vid").alias("last"), F.sum("vid").alias("ids"))

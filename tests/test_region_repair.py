@@ -1,12 +1,14 @@
 """Repair of regions beside their mesh, against known geometry; a mesh gets in company what it gets alone."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from facetflow.operators import region_repair, repair, stats, surfaces, topology
+from facetflow.operators import loops, region_repair, repair, stats, surfaces, topology
 from facetflow.operators.spatial import grids, self_intersections
+from facetflow.operators.tables import write_table
 from tests.test_operators import box, mesh, sheet
 
 LOOSE = ([(0, 0, 0), (2, 0, 0), (0, 2, 0), (0.5, 0.4, -1), (0.5, 0.4, 1), (0.6, 3, 0)], [(0, 1, 2), (3, 4, 5)])
@@ -139,3 +141,28 @@ def test_trials_leave_the_mesh(spark):
     rows = status.collect()
     assert [(r.mesh_id, r.status, r.after) for r in rows] == [("folded", "ok", 0)]
     assert rows[0].before == self_intersections(m).count() and math.isclose(rows[0].triangles, patches.triangles.count() + rows[0].removed + rows[0].loose, rel_tol=0.2)
+
+
+def test_smoothing_all_loops_at_once(spark):
+    """Ragged rims and holes of two meshes: what goes are triangles off the loop, and nothing is left to go."""
+    rng = random.Random(4)
+    points, faces = sheet(9)
+    ragged = [f for f in faces if not set(f) & {0, 8, 40}]
+    m = mesh(spark, [("ragged", points, ragged), ("chewed", points, [f for f in faces if min(f) > 12 or rng.random() < 0.7])])
+    found = loops.boundary_loops(m.triangles).where("status = 'ok'")
+    found, _ = write_table(found)
+    rows = lambda of: {k: [v for _, v in sorted((r.pos, r.vid) for r in of if (r.mesh_id, r.loop_id) == k)] for k in {(r.mesh_id, r.loop_id) for r in of}}
+    before, after = rows(found.collect()), rows(loops.smooth_loops(found, m.triangles).collect())
+    tris = [(r.mesh_id, frozenset((r.a, r.b, r.c))) for r in m.triangles.collect()]
+    assert before.keys() == after.keys() and any(len(before[k]) > len(after[k]) for k in before)
+    for k, loop in after.items():
+        old, kept = before[k], set(loop)
+        assert loop == [v for v in old if v in kept] and len(loop) >= 3
+        corners = [frozenset((loop[i - 1], loop[i], loop[(i + 1) % len(loop)])) for i in range(len(loop))]
+        used = [t for name, t in tris if name == k[0]]
+        # a corner may stay only where its triangle was cut off already or the loop is a triangle
+        cut = len(old) - len(loop)
+        assert len(loop) == 3 or sum(c in used for c in corners) <= cut
+        # the same number goes as one after another
+        assert len(loop) == len(loops.smooth(old, [tuple(t) for t in used]))
+    assert loops.smooth_loops(found.limit(0), m.triangles).collect() == []
