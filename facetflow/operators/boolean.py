@@ -14,11 +14,12 @@ Triangle and vertex ids have to be unique over all meshes of an operand.
 from __future__ import annotations
 
 from collections import namedtuple
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.functions.quantize import Quantizer, grid_exponents
@@ -262,16 +263,28 @@ def volumes(resolved: Resolved) -> DataFrame:
     return T.materialize(MeshFrame(_put_back(resolved), resolved.mesh.triangles), ["label", "inside"]).groupBy("mesh_id").agg(*map(total, RULES))
 
 
-def select(resolved: Resolved, operation: str) -> MeshFrame:
-    """The result of one operation, in the operands' coordinates; resolving once serves all four."""
-    stay, turned = RULES[operation]
-    code = F.col("label") * 2 + F.col("inside")
-    numbers = lambda rule: [a * 2 + b for a, b in rule]
-    rows = resolved.mesh.triangles.where(code.isin(numbers(stay) + numbers(turned)))
-    rows = T.flip(rows, code.isin(numbers(turned)) if turned else F.lit(False))
-    return MeshFrame(_put_back(resolved), rows.select("mesh_id", "tid", "a", "b", "c"))
+def rule(operation: str) -> Callable[[Column, Column], Column]:
+    """The classifier of one of ``RULES``."""
+    stay, turned = ([a * 2 + b for a, b in pairs] for pairs in RULES[operation])
 
+    def classify(label: Column, inside: Column) -> Column:
+        code = label * 2 + inside
+        return F.when(code.isin(stay), "keep").when(code.isin(turned) if turned else F.lit(False), "flip").otherwise("drop")
 
-def boolean(left: MeshFrame, right: MeshFrame, operation: str) -> MeshFrame:
+    return classify
+
+
+def select(resolved: Resolved, operation: str | Callable[[Column, Column], Column]) -> MeshFrame:
+    """The result of one operation, in the operands' coordinates; resolving once serves all.
+
+    ``operation`` is one of ``RULES`` or a classifier of one's own: from the columns label (operand) and inside (1 within the other
+    operand) of each piece it makes a column that says keep, flip (keep with its orientation turned) or drop.
+    """
+    classify = rule(operation) if isinstance(operation, str) else operation
+    rows = resolved.mesh.triangles.withColumn("said", classify(F.col("label"), F.col("inside"))).where("said IN ('keep', 'flip')")
+    return MeshFrame(_put_back(resolved), T.flip(rows, F.col("said") == "flip").select("mesh_id", "tid", "a", "b", "c"))
+
+
+def boolean(left: MeshFrame, right: MeshFrame, operation: str | Callable[[Column, Column], Column]) -> MeshFrame:
     """The result of one operation; pairs that fail have no rows, ``resolve(...).status`` says why."""
     return select(resolve(left, right), operation)

@@ -124,6 +124,13 @@ def ring(triangles: DataFrame, seeds: DataFrame, layers: int = 1) -> DataFrame:
     return reached
 
 
+def extract_around(mesh, seeds: DataFrame, layers: int = 1):
+    """The sub-mesh of the seeds and ``layers`` rings around them, renumbered, and the map of its vertices (mesh_id, vid, new)."""
+    from facetflow.operators.topology import extract
+
+    return extract(mesh, ring(mesh.triangles, seeds, layers).select("mesh_id", "tid"))
+
+
 def region_grow(triangles: DataFrame, seeds: DataFrame, barrier: DataFrame, limit: int, most_rounds: int = 10_000) -> DataFrame:
     """(mesh_id, tid): what is reached from the seeds over shared edges that are not in ``barrier(mesh_id, v0, v1)``.
 

@@ -147,3 +147,11 @@ def without_shared_vertices(pairs: DataFrame, triangles: DataFrame) -> DataFrame
     """Those of ``pairs(mesh_id, a, b)`` of triangle ids whose triangles have no vertex in common."""
     corners = lambda of: triangles.select("mesh_id", F.col("tid").alias(of), F.array("a", "b", "c").alias(f"of_{of}"))
     return pairs.join(corners("a"), ["mesh_id", "a"]).join(corners("b"), ["mesh_id", "b"]).where(~F.arrays_overlap("of_a", "of_b")).select(*pairs.columns)
+
+
+def without_common_vertex(triples: DataFrame, triangles: DataFrame) -> DataFrame:
+    """Those of ``triples(mesh_id, t0, t1, t2)`` whose triangles have no vertex common to all three; two of them may share."""
+    rows = triples
+    for of in ("t0", "t1", "t2"):
+        rows = rows.join(triangles.select("mesh_id", F.col("tid").alias(of), F.array("a", "b", "c").alias(f"of_{of}")), ["mesh_id", of])
+    return rows.where(F.size(F.array_intersect(F.array_intersect("of_t0", "of_t1"), "of_t2")) == 0).select(*triples.columns)

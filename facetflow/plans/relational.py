@@ -262,6 +262,17 @@ def ring_k(spark, sf_dir):
     return G.ring(t, t.where("tid = 300"), 3).select("tid", "layer")
 
 
+@query(f"""{_W}, c AS (SELECT tid, unnest([a, b, c]) AS vid FROM ht),
+r1 AS (SELECT DISTINCT o.tid FROM c JOIN c AS o USING (vid) WHERE c.tid % 640 = 300), r2 AS (SELECT DISTINCT o.tid FROM c JOIN c AS o USING (vid) WHERE c.tid IN (SELECT tid FROM r1)),
+n AS (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS new FROM (SELECT DISTINCT vid FROM c WHERE tid IN (SELECT tid FROM r2)))
+SELECT row_number() OVER (ORDER BY tid) - 1 AS tid, p.new AS a, q.new AS b, r.new AS c FROM ht JOIN n AS p ON p.vid = a JOIN n AS q ON q.vid = b JOIN n AS r ON r.vid = c WHERE tid IN (SELECT tid FROM r2)""")
+def extract_around(spark, sf_dir):
+    """Two rings around a triangle of every sixteen rows, as a mesh of its own."""
+    mesh = height_field(spark, sf_dir)
+    part, _ = G.extract_around(mesh, mesh.triangles.where("tid % 640 = 300").select("mesh_id", "tid"), 2)
+    return part.triangles.select("tid", "a", "b", "c")
+
+
 @query(f"{_W} SELECT tid FROM ht WHERE a // 20 < 10")
 def region_grow(spark, sf_dir):
     """All rows of cells below the line of vertices 200 to 219, whose edges are the barrier."""
@@ -373,6 +384,17 @@ def triples_without_shared_vertices(spark, sf_dir):
     return spatial.meeting_triples(spatial.without_shared_vertices(pairs, t)).select("t0", "t1", "t2")
 
 
+@query(f"""{_WB}, x AS (SELECT p.tid AS t0, q.tid AS t1, r.tid AS t2, p.a AS pa, p.b AS pb, p.c AS pc, [q.a, q.b, q.c] AS q, [r.a, r.b, r.c] AS r
+  FROM bt AS p JOIN bt AS q ON p.tid // 12 = q.tid // 12 AND p.tid < q.tid JOIN bt AS r ON r.tid // 12 = q.tid // 12 AND q.tid < r.tid)
+SELECT t0, t1, t2 FROM x WHERE NOT (list_contains(q, pa) AND list_contains(r, pa) OR list_contains(q, pb) AND list_contains(r, pb) OR list_contains(q, pc) AND list_contains(r, pc))""")
+def triples_without_common_vertex(spark, sf_dir):
+    """Triples of a box's triangles that have no vertex common to all three."""
+    t = boxes(spark, sf_dir).triangles
+    body = t.select("mesh_id", "tid", F.expr("tid div 12").alias("body"))
+    pairs = body.withColumnRenamed("tid", "a").join(body.withColumnRenamed("tid", "b"), ["mesh_id", "body"]).where("a < b").drop("body")
+    return spatial.without_common_vertex(spatial.meeting_triples(pairs), t).select("t0", "t1", "t2")
+
+
 @query("""WITH r AS (SELECT o_orderpriority AS operation, o_orderstatus <> 'P' AS two_manifold, CASE WHEN o_orderstatus = 'F' THEN 'DEGENERATE' ELSE 'OK' END AS status, o_custkey AS num_triangles FROM orders)
 SELECT operation, count(*) AS runs, CAST(count(*) FILTER (status = 'OK') AS BIGINT) AS successes, CAST(count(*) FILTER (status <> 'OK') AS BIGINT) AS failures,
   CAST(count(*) FILTER (two_manifold) AS BIGINT) AS two_manifold, CAST(sum(num_triangles) AS BIGINT) AS triangles FROM r GROUP BY ROLLUP (operation)""")

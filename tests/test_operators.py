@@ -206,6 +206,11 @@ def test_booleans_of_a_box_and_a_tetrahedron(spark):
     both = 27 / 6 - 3 * 1 / 6
     assert volume(boolean.select(cut, "intersection"))["m"] == pytest.approx(both, abs=1e-4)
     assert volume(boolean.select(cut, "union"))["m"] == pytest.approx(8 + 4.5 - both, abs=1e-4)
+    # classifiers of one's own: what a rule says, and only the part of one operand's surface within the other
+    own = boolean.select(cut, lambda label, inside: F.when((label == 0) & (inside == 0), "keep").when((label == 1) & (inside == 1), "flip").otherwise("drop"))
+    assert volume(own) == volume(boolean.select(cut, "difference"))
+    part = boolean.select(cut, lambda label, inside: F.when((label == 1) & (inside == 1), "keep"))
+    assert part.triangles.count() == cut.mesh.triangles.where("label = 1 AND inside = 1").count() > 0
     again = boolean.select(boolean.resolve(a, b), "union")
     assert volume(again) == volume(boolean.select(cut, "union"))
 
