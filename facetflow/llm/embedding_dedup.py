@@ -4,11 +4,15 @@ Unit vectors are split in two halves, each with a codebook of its own; a pair of
 vector is kept in its cell and looks for partners in the cells that a multi-sequence traversal meets, nearest first: in
 order of the squared distances to the two half cells' bounding planes, summed. Pairs found are verified in double precision.
 
-The traversal stops where the target recall is met. That is measured: ``QUERIES`` classes, chosen by hash, are compared with all
-classes of their label in blocks, and for each link found so the traversal's distance at which it is met is counted, by
-similarity, into a table of fixed size. The stop is the distance that meets ``RECALL`` of these links, of every range of
-similarity on its own, and of the copies at the very threshold that are made of the sample in random directions. No link needs more
-than 2 - 2 * similarity, which is the stop with a recall of 1.
+The traversal goes on until the target recall is met, by default 1: it stops at the summed distance 2 - 2 * similarity, which no
+link exceeds, so that every link is met whatever the vectors are like. How fine the codebooks are decides only what that costs:
+a cell has about ``CELL`` classes of the largest label, but no more cells are made than leave a sampled vector ``COPIES`` others to look
+into on average, so that copies of vectors stay proportional to the rows where vectors are spread over many dimensions.
+
+With a target below 1 the stop is measured: ``QUERIES`` classes, chosen by hash, are compared with all classes of their label in
+blocks, and for each link found so the traversal's distance at which it is met is counted, by similarity, into a table of
+fixed size. The stop is the distance that meets the target of these links, of every range of similarity on its own, and of the copies
+at the very threshold that are made of the sample in random directions. Links unlike the sampled ones can be lost then.
 
 Equal vectors of a label are one class first, a node with a number of its own. Of two cells the one with the smaller number looks
 into the other, so that a pair is met once. A cell's vectors are compared in blocks; links are counted where they are found and
@@ -34,14 +38,16 @@ from facetflow.llm.common import components, map_arrow, write_table
 from facetflow.llm.vectors import from_binary, kind_of, matrices, unit
 
 SIMILARITY = 0.98
-#: Share of links that the traversal has to meet.
-RECALL = 0.999
-#: Rows that the codebooks are trained on, at most about twice as many, and those compared with all to place the stop.
+#: Share of links that the traversal has to meet; 1: all, by a bound.
+RECALL = 1.0
+#: Classes of the largest label in a cell, cells besides its own that a vector looks into on average, and codes of a half at most.
+CELL, COPIES, CODES = 256, 8, 1024
+#: Rows that the codebooks are trained on, at most about twice as many, and those compared with all to place a measured stop.
 SAMPLE, QUERIES = 8192, 2048
 #: Ranges of similarity and steps of distance in the table of links.
 RANGES, STEPS = 8, 512
-#: Classes of a cell that are held as one block.
-BLOCK = 1024
+#: Classes of a cell that are held as one block; classes that look into the cell stream past it in blocks ``STREAMED`` times as large.
+BLOCK, STREAMED = 1024, 8
 
 
 def train_codebook(rows: np.ndarray, size: int, seed: int, steps: int = 12) -> np.ndarray:
@@ -111,6 +117,16 @@ class MultiIndex:
         return own, row[other], cell[other]
 
 
+def _index(rows: np.ndarray, size: int, similarity: float, copies: float = COPIES) -> MultiIndex:
+    """An index with ``size`` codes of a half, or as many fewer as keep the sampled vectors' visits to other cells to ``copies``."""
+    while True:
+        index = MultiIndex(rows, size, similarity)
+        some = rows[:1024]
+        if size == 1 or len(index.cells(some)[1]) / 2 <= copies * len(some):  # of two cells one looks into the other
+            return index
+        size = size * 2 // 3
+
+
 def _stop(classes: DataFrame, indexes: dict[int, MultiIndex], queries: dict, kind: type, similarity: float, recall: float) -> dict[int, float]:
     """Of each index the distance at which the traversal meets ``recall`` of the links between ``queries`` and all classes.
 
@@ -230,6 +246,7 @@ def _links(similarity: float, kind: type):
         for batch in batches:
             key_columns = [batch.column(c).to_numpy() for c in ("label", "cell", "left", "right", "role")]
             cuts = np.flatnonzero(np.any([np.diff(x) != 0 for x in key_columns], axis=0)) + 1
+            cuts = np.union1d(cuts, np.arange(BLOCK, len(batch), BLOCK))
             for low, high in zip([0, *cuts], [*cuts, len(batch)], strict=True):
                 if low == high:
                     continue
@@ -296,8 +313,10 @@ def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, recal
         by_width.setdefault(len(vector), []).append(vector)
         if row.chance < int((1 << 30) * min(1.0, queries / count)):
             asked.setdefault((row.label, len(vector)), []).append((row.node, vector))
-    size = codes or int(np.clip(np.sqrt(count / 256), 1, 256))
-    indexes = {wide: MultiIndex(unit(np.stack(found)), size, similarity) for wide, found in by_width.items() if wide > 1}
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    size = int(np.clip(np.sqrt(largest / CELL), 1, CODES))
+    build = (lambda rows: MultiIndex(rows, codes, similarity)) if codes else (lambda rows: _index(rows, size, similarity))
+    indexes = {wide: build(unit(np.stack(found))) for wide, found in by_width.items() if wide > 1}
     asked = {k: found for k, found in asked.items() if k[1] in indexes}
     if recall < 1 and any(len(book) > 1 for index in indexes.values() for book in index.books):
         points = {k: (np.array([n for n, _ in found]), np.stack([v for _, v in found])) for k, found in asked.items()}
@@ -308,22 +327,26 @@ def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, recal
         for batch in batches:
             width = _widths(batch.column("vector"), kind)
             for wide in np.unique(width).tolist():
-                some = batch.take(pa.array(np.flatnonzero(width == wide)))
-                if wide in indexes:
-                    home, row, cell = indexes[wide].cells(unit(from_binary(some.column("vector"), kind)))
-                else:  # no vector of this length in the sample: one cell
-                    home, row, cell = np.zeros(len(some), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-                later = cell > home[row]
-                at = np.concatenate([np.arange(len(some)), row[later]])
-                cells, role = np.concatenate([home, cell[later]]) + (wide << 20), np.repeat([0, 1], [len(some), later.sum()])
-                for low in range(0, len(at), 8192):
-                    part = some.take(pa.array(at[low : low + 8192]))
-                    yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(cells[low : low + 8192], pa.int64()), pa.array(role[low : low + 8192], pa.int32()), part.column("node"), part.column("n"), part.column("vector")], names=["label", "cell", "role", "node", "n", "vector"])
+                here = np.flatnonzero(width == wide)
+                for some in (batch.take(pa.array(here[low : low + 1024])) for low in range(0, len(here), 1024)):
+                    yield from visited(some, wide)
+
+    def visited(some, wide):
+        if wide in indexes:
+            home, row, cell = indexes[wide].cells(unit(from_binary(some.column("vector"), kind)))
+        else:  # no vector of this length in the sample: one cell
+            home, row, cell = np.zeros(len(some), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        later = cell > home[row]
+        at = np.concatenate([np.arange(len(some)), row[later]])
+        cells, role = np.concatenate([home, cell[later]]) + (wide << 20), np.repeat([0, 1], [len(some), later.sum()])
+        for low in range(0, len(at), 8192):
+            part = some.take(pa.array(at[low : low + 8192]))
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(cells[low : low + 8192], pa.int64()), pa.array(role[low : low + 8192], pa.int32()), part.column("node"), part.column("n"), part.column("vector")], names=["label", "cell", "role", "node", "n", "vector"])
 
     columns = "label long, cell long, role int, node long, n long, vector binary"
     visits = classes.select("label", "node", "n", "vector").transform(map_arrow, celled, columns)
     visits, _ = write_table(visits)
-    counts = visits.groupBy("label", "cell").agg(*[F.greatest(F.ceil(F.count_if(F.col("role") == k) / block), F.lit(1).cast("long")).alias(n) for k, n in enumerate(("kept", "looking"))])
+    counts = visits.groupBy("label", "cell").agg(*[F.greatest(F.ceil(F.count_if(F.col("role") == k) / (block * of)), F.lit(1).cast("long")).alias(n) for k, n, of in ((0, "kept", 1), (1, "looking", STREAMED))])
     hot, _ = write_table(counts.where("kept > 1 OR looking > 1"))
     one = F.lit(1).cast("long")
     visits = visits.join(hot, ["label", "cell"], "left").withColumns({"kept": F.coalesce("kept", one), "looking": F.coalesce("looking", one)})

@@ -486,22 +486,36 @@ def test_search_of_mixed_lengths_and_doubles(spark):
         assert part.sort_values("rank").vec_id.tolist() == [i for _, i in dist[:3]]
 
 
-def test_embedding_dedup_recall_beyond_the_sample(spark):
-    """Near copies that differ along a few directions, several times as many as are sampled: links against brute force."""
+@pytest.mark.parametrize("codes", [None, 17])
+def test_embedding_dedup_beyond_the_sample(spark, codes):
+    """Near copies that differ along a few directions, far more than are sampled, and rare ones elsewhere: every link, by brute force."""
     from facetflow.llm.embedding_dedup import near_duplicates
 
     rng = np.random.default_rng(6)
-    x = rng.standard_normal((4000, 16)) * np.array([3.0] * 2 + [1.0] * 14)
+    x = rng.standard_normal((6000, 16)) * np.array([3.0] * 2 + [1.0] * 14)
     y = x[:2000] + np.pad(rng.standard_normal((2000, 2)) * 0.4, ((0, 0), (0, 14)))  # along the directions of most variance
-    z = x[2000:] + 0.12 * rng.standard_normal((2000, 16))
-    x = np.concatenate([x, y, z])
+    z = x[2000:3980] + 0.12 * rng.standard_normal((1980, 16))
+    rare = x[3980:4000] + np.pad(rng.standard_normal((20, 1)), ((0, 0), (15, 0)))  # along one that few links take
+    x = np.concatenate([x, y, z, rare])
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = u @ u.T >= 0.98
     np.fill_diagonal(near, False)
     docs = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x), "label": np.zeros(len(x), int)})).repartition(4)
-    got = near_duplicates(docs, codes=17, sample=1000, queries=600).toPandas().set_index("vec_id").n_links
-    assert (got.sort_index().to_numpy() <= near.sum(1)).all()
-    assert got.sum() >= 0.98 * near.sum() > 2000
+    got = near_duplicates(docs, codes=codes, sample=1000).toPandas().set_index("vec_id").n_links
+    assert (got.sort_index().to_numpy() == near.sum(1)).all() and near.sum() > 3000
+    if codes:  # a stop that is measured
+        got = near_duplicates(docs, codes=codes, sample=1000, queries=600, recall=0.999).toPandas().set_index("vec_id").n_links
+        assert (got.sort_index().to_numpy() <= near.sum(1)).all() and got.sum() >= 0.98 * near.sum()
+
+
+def test_fewer_codes_where_cells_are_not_apart():
+    from facetflow.llm.embedding_dedup import _index
+
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    spread = _index(unit(rng.standard_normal((2000, 64))), 64, 0.98)
+    apart = _index(unit(10 * np.repeat(rng.standard_normal((64, 64)), 32, 0) + 0.05 * rng.standard_normal((2048, 64))), 64, 0.98)
+    assert len(spread.books[0]) < 12 and len(apart.books[0]) > 30
 
 
 def test_graph_recall_on_full_shards(spark):
