@@ -60,7 +60,7 @@ _MASK = (1 << _LOW) - 1
 SIGNS = ("sp", "sq", "s1", "s2", "s3")
 
 
-def _triple(u: V3, cross: V3) -> tuple[Column, Column]:
+def triple(u: V3, cross: V3) -> tuple[Column, Column]:
     """u . cross as high * 2^31 + low, low in [0, 2^31): exact for 31-bit differences and their 62-bit cross products.
 
     The cross product's components are split at bit 31, so that both sums of products stay below 2^63.
@@ -81,7 +81,7 @@ def _sign(high: Column, low: Column) -> Column:
 def orient3d(a: V3, b: V3, c: V3, d: V3) -> Column:
     """The exact sign of det[a-d, b-d, c-d] of integer points, in 64-bit arithmetic."""
     u, v, w = (a - d, b - d, c - d)
-    return _sign(*_triple(u, v.cross(w)))
+    return _sign(*triple(u, v.cross(w)))
 
 
 def with_piercing_signs(rows: DataFrame, p: V3, q: V3, t: Triangle) -> DataFrame:
@@ -95,7 +95,7 @@ def with_piercing_signs(rows: DataFrame, p: V3, q: V3, t: Triangle) -> DataFrame
     rows = rows.withColumns({f"_{n}{k}": x for n, v in names.items() for k, x in zip("xyz", (v - p).parts(), strict=True)})
     d = {n: V3.of(f"_{n}") for n in names}
     rows = rows.withColumns({f"_{u}{v}{k}": x for u, v in ("ab", "bc", "ca") for k, x in zip("xyz", d[u].cross(d[v]).parts(), strict=True)})
-    products = {"0": _triple(d["a"], V3.of("_bc")), "1": _triple(d["q"], V3.of("_ab")), "2": _triple(d["q"], V3.of("_bc")), "3": _triple(d["q"], V3.of("_ca"))}
+    products = {"0": triple(d["a"], V3.of("_bc")), "1": triple(d["q"], V3.of("_ab")), "2": triple(d["q"], V3.of("_bc")), "3": triple(d["q"], V3.of("_ca"))}
     rows = rows.withColumns({f"_{n}{i}": x for i, both in products.items() for n, x in zip("hl", both, strict=True)})
     h, k = ([F.col(f"_{n}{i}") for i in range(4)] for n in "hl")
     signs = [_sign(h[0], k[0]), _sign(h[0] - h[1] - h[2] - h[3], k[0] - k[1] - k[2] - k[3]), *(-_sign(h[i], k[i]) for i in (1, 2, 3))]

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetflow.functions import predicates as P
 from facetflow.functions.quantize import Quantizer
 from facetflow.functions.vec import V3
+from facetflow.functions.wide import Wide
 from facetflow.operators import loops, planes
 from facetflow.operators.graph import edge_components
 from facetflow.operators.tables import write_table
@@ -67,56 +66,90 @@ def loop_owners(mesh: MeshFrame, found: DataFrame) -> DataFrame:
     return first.join(second, ["mesh_id", "loop_id"]).join(owner, ["mesh_id", "p", "q"]).select("mesh_id", "loop_id", "tid")
 
 
-def _three_planes(t: list[list[list[int]]]):
-    """Where the planes of three triangles of integers meet, exactly; None if they do not meet in one point."""
-    rows, right = [], []
-    for a, b, c in t:
-        u, v = ([y - x for x, y in zip(a, p, strict=True)] for p in (b, c))
-        n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
-        rows.append(n)
-        right.append(sum(x * y for x, y in zip(n, a, strict=True)))
-
-    def det(m):
-        return m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
-
-    whole = det(rows)
-    if not whole:
-        return None
-    return [Fraction(det([[right[i] if k == j else rows[i][k] for k in range(3)] for i in range(3)]), whole) for j in range(3)]
-
+#: Pairs of triangles that the third is seen from, in turn, and the ends of a triangle's sides.
+_OTHERS = ((1, 2), (2, 0), (0, 1))
+_SIDES = ((0, 1), (1, 2), (2, 0))
+#: Bound of the rounding error of a side's value in doubles, of the sum of its absolute products: 11 roundings, rounded up.
+_SIDE_BOUND = 16 * 2.0**-53
+#: The variants of the test: doubles as they come; doubles where their error bound decides, else 'maybe'; integers; the last two in turn.
+TRIPLE_TESTS = ("inexact", "filter", "exact", "combined")
 
-def _inside(p, a, b, c) -> int:
-    """1 if a point of the triangle's plane is inside it, 0 on its rim, -1 outside."""
-    u, v = ([y - x for x, y in zip(a, q, strict=True)] for q in (b, c))
-    n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
-    worst = 1
-    for q, r in ((a, b), (b, c), (c, a)):
-        e, f = ([y - x for x, y in zip(q, s, strict=True)] for s in (r, p))
-        side = sum(x * y for x, y in zip(n, (e[1] * f[2] - e[2] * f[1], e[2] * f[0] - e[0] * f[2], e[0] * f[1] - e[1] * f[0]), strict=True))
-        worst = min(worst, (side > 0) - (side < 0))
-    return worst
 
+def triple_points(rows: DataFrame, names: list[str], test: str = "combined") -> DataFrame:
+    """Adds status ('meets', 'empty' or 'degenerate'), stage ('filter' or 'exact': which one decided) and point x, y, z of three triangles.
 
-def triple_points(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Adds status ('meets', 'empty' or 'degenerate') and point x, y, z of three triangles of integer coordinates.
+    ``names`` are the 27 columns of three triangles' corners, integers of 2^29 at most; rows with a null among them get null status.
+    ``test`` is one of ``TRIPLE_TESTS``; 'filter' leaves the status 'maybe' where the bound does not decide.
 
-    ``names`` are the 27 columns of three triangles' corners. The numbers pass 126 bits, so this is done in Python's
-    integers, on the few triples that pairwise tests leave.
+    With f_k(p) the volume that a corner p spans with triangle k, the line in which the planes of triangles i and j meet passes the side from
+    q to r at f_i(q) f_j(r) - f_i(r) f_j(q), and a triangle's three values add up to the determinant of the three normals. The planes'
+    point is inside the triangle if all three have its sign. Volumes take two 64-bit words, sides some 190 bits. They are found in
+    doubles with a bound of their error first; what is not decided by it, and the point of triangles that meet, in wide integers.
     """
-    keep = [c for c in rows.columns if c not in names]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", status string, x double, y double, z double"
-
-    def tested(parts):
-        for part in parts:
-            out = []
-            for values in part[names].itertuples(index=False):
-                v = [int(x) for x in values]
-                t = [[v[9 * k + 3 * c : 9 * k + 3 * c + 3] for c in range(3)] for k in range(3)]
-                p = _three_planes(t)
-                worst = min(_inside(p, *x) for x in t) if p else 0
-                status = {1: "meets", 0: "degenerate", -1: "empty"}[worst]
-                out.append((status, *(map(float, p) if worst == 1 else (None, None, None))))
-            frame = pd.DataFrame(out, columns=["status", "x", "y", "z"], index=part.index)
-            yield pd.concat([part[keep], frame.astype({n: "float64" for n in "xyz"})], axis=1)
-
-    return rows.mapInPandas(tested, kind)
+    if test not in TRIPLE_TESTS:
+        raise ValueError(f"test {test!r} is none of {TRIPLE_TESTS}")
+    kept = rows.columns
+    # without nulls generated code needs no checks for each operation
+    rows = rows.select("*", *[F.coalesce(F.col(n).cast("bigint"), F.lit(0).cast("bigint")).alias(f"_p{k}") for k, n in enumerate(names)], (F.greatest(*[F.col(n).isNull() for n in names]) == F.lit(False)).alias("_known"))
+    corners = [[V3(*(F.col(f"_p{9 * k + 3 * c + i}") for i in range(3))) for c in range(3)] for k in range(3)]
+    normals = {f"_n{k}{i}": x for k, (a, b, c) in enumerate(corners) for i, x in zip("xyz", (b - a).cross(c - a).parts(), strict=True)}
+    rows = rows.withColumns(normals)
+    seen = [(k, t, c) for t in range(3) for k in range(3) if k != t for c in range(3)]  # triangle k from corner c of triangle t
+    # as text: hundreds of columns made one by one would take seconds
+    away = {(k, t, c): [f"(_p{9 * t + 3 * c + i} - _p{9 * k + i})" for i in range(3)] for k, t, c in seen}
+    doubles = {}
+    for k, t, c in seen:
+        parts = [f"double(_n{k}{n}) * {d}" for n, d in zip("xyz", away[k, t, c], strict=True)]
+        doubles[f"_f{k}{t}{c}"] = F.expr(" + ".join(parts))
+        doubles[f"_g{k}{t}{c}"] = F.expr(" + ".join(f"abs({x})" for x in parts))
+    rows = rows.withColumns(doubles)
+    bounded = test != "inexact"
+    sides = {}
+    for t, (i, j) in enumerate(_OTHERS):
+        for e, (q, r) in enumerate(_SIDES):
+            a, b, c, d = f"{i}{t}{q}", f"{j}{t}{r}", f"{i}{t}{r}", f"{j}{t}{q}"
+            sides[f"_s{t}{e}"] = F.expr(f"_f{a} * _f{b} - _f{c} * _f{d}")
+            sides[f"_b{t}{e}"] = F.expr(f"(_g{a} * _g{b} + _g{c} * _g{d}) * {_SIDE_BOUND if bounded else 0.0!r}D")
+    rows = rows.withColumns(sides)
+    whole = F.col("_s00") + F.col("_s01") + F.col("_s02")
+    slack = F.col("_b00") + F.col("_b01") + F.col("_b02") + (F.abs("_s00") + F.abs("_s01") + F.abs("_s02")) * (_SIDE_BOUND if bounded else 0.0)
+    signed = lambda x, bound: F.expr(f"CASE WHEN {x} > {bound} THEN 1 WHEN {x} < -{bound} THEN -1 ELSE 0 END")  # noqa: E731  0: not sure
+    rows = rows.withColumns({"_s": whole, "_b": slack})
+    rows = rows.withColumns({"_w": signed("_s", "_b")} | {f"_c{n[2:]}": signed(n, f"_b{n[2:]}") for n in sides if n[1] == "s"})
+    rows = rows.withColumn("_worst", F.expr("least({})".format(", ".join(f"_c{n[2:]} * _w" for n in sides if n[1] == "s"))))
+    quick = F.when(~F.col("_known"), None).when(F.col("_worst") < 0, "empty").when(F.col("_worst") > 0, "meets")
+    quick = {"exact": F.lit(None).cast("string"), "inexact": F.when(F.col("_known"), F.coalesce(quick, F.lit("degenerate")))}.get(test, quick)
+    rows = rows.withColumn("_quick", quick)
+    if test == "filter":
+        return rows.select(*kept, F.when(F.col("_known"), F.coalesce("_quick", F.lit("maybe"))).alias("status"), F.when(F.col("_quick").isNotNull(), "filter").alias("stage"))
+    if test == "inexact":
+        return rows.select(*kept, F.col("_quick").alias("status"), *_weighted(corners[0], [F.when(F.col("_quick") == "meets", F.col(f"_s0{e}") / F.col("_s")) for e in range(3)]))
+    # from here on rows that the filter has found empty are null, which skips the arithmetic
+    rows = rows.withColumn("_open", F.col("_known") & F.coalesce(F.col("_quick") == "meets", F.lit(True)))
+    # one expression for all volumes and one for all sides, looped over as arrays, so that generated code stays small
+    v = lambda x: Wide.of_two(*P.triple(*(V3(*(x[f"{of}{n}"] for n in "xyz")) for of in "dn")))
+    asked = [F.expr("named_struct({})".format(", ".join(f"'d{n}', {d}, 'n{n}', _n{at[0]}{n}" for n, d in zip("xyz", away[at], strict=True)))) for at in seen]
+    rows = rows.withColumn("_v", F.when(F.col("_open"), F.transform(F.array(*asked), lambda x: v(x).words)))
+    four = [{"iq": (i, t, q), "ir": (i, t, r), "jq": (j, t, q), "jr": (j, t, r)} for t, (i, j) in enumerate(_OTHERS) for q, r in _SIDES]
+    side = lambda x: Wide(x["iq"], 4).cross(Wide(x["ir"], 4), Wide(x["jq"], 4), Wide(x["jr"], 4))
+    asked = F.array(*[F.expr("named_struct({})".format(", ".join(f"'{n}', _v[{seen.index(at)}]" for n, at in x.items()))) for x in four])
+    rows = rows.withColumn("_e", F.when(F.col("_open"), F.transform(asked, lambda x: side(x).words)))
+    size = 8  # words of a side
+    first = [Wide(F.get("_e", F.lit(e)), size) for e in range(3)]
+    total = first[0] + first[1] + first[2]
+    rows = rows.withColumn("_t", F.when(F.col("_open"), total.words))
+    total = total.named("_t")
+    worst = F.array_min(F.transform("_e", lambda x: Wide(x, size).sign())), F.array_max(F.transform("_e", lambda x: Wide(x, size).sign()))
+    rows = rows.withColumns({"_z": F.when(F.col("_open"), total.sign()), "_low": worst[0], "_high": worst[1]})
+    worst = F.when(F.col("_z") > 0, F.col("_low")).otherwise(-F.col("_high"))
+    known = F.when(F.col("_z") == 0, "degenerate").when(worst < 0, "empty").when(worst > 0, "meets").otherwise("degenerate")
+    rows = rows.withColumns({"status": F.coalesce("_quick", F.when(F.col("_open"), known)), "stage": F.when(F.col("_quick").isNotNull(), "filter").when(F.col("_open"), "exact")})
+    rows = rows.withColumns({f"_q{e}": F.when(F.col("status") == "meets", first[e].to_double() / total.to_double()) for e in range(3)})
+    return rows.select(*kept, "status", "stage", *_weighted(corners[0], [F.col(f"_q{e}") for e in range(3)]))
+
+
+def _weighted(corners: list[V3], sides: list[Column]) -> list[Column]:
+    """The point of a triangle by its sides' shares of the whole: the side ab is c's, ca is b's."""
+    a, b, c = (v.double() for v in corners)
+    p = a + (b - a) * sides[2] + (c - a) * sides[0]
+    return p.columns("")

@@ -9,6 +9,7 @@ from facetflow.functions import predicates as P
 from facetflow.functions.ext import K1
 from facetflow.functions.quantize import Quantizer, perturbation, sql_perturbation
 from facetflow.functions.vec import V2, V3, Box, Triangle, fdiv
+from facetflow.functions.wide import Wide
 from facetflow.operators import topology as T
 from facetflow.sources.derived import SQL_HEIGHT, component, height_field, table
 
@@ -320,6 +321,20 @@ def exact_integers(spark, sf_dir):
     return _points(spark, sf_dir).select("vec_id", text(a + b).alias("plus"), text(a - b).alias("minus"), text(-a).alias("negated"), text(a * b).alias("product"), F.signum(a * b).cast("int").alias("signum"), (a < b).alias("less"))
 
 
+@query(f"""WITH {_sql_points()}, i AS (SELECT vec_id, CAST(p0x AS HUGEINT) * 1048576 AS a, CAST(p1x AS HUGEINT) * 1048576 + 7 AS b, CAST(p2x AS HUGEINT) * 99991 AS c FROM p)
+SELECT vec_id, CAST(a * b * c AS VARCHAR) AS product, CAST(a * a - b * c AS VARCHAR) AS turned, CAST(-(a * b) AS VARCHAR) AS negated, CAST(sign(a * b * c) AS INTEGER) AS signum,
+  CAST(sign(a * b - b * c) AS INTEGER) AS compared, CAST(a * b * c AS DOUBLE) AS size FROM i""")
+def wide_integers(spark, sf_dir):
+    """Integers of several words: sums, products, signs, order and digits."""
+    a, b, c = (F.col(f"p{p}x").cast("bigint") * k + more for p, k, more in ((0, 1048576, 0), (1, 1048576, 7), (2, 99991, 0)))
+    a, b, c = Wide.of(a), Wide.of(b), Wide.of(c)
+    ab, bc = a * b, b * c
+    rows = _points(spark, sf_dir).withColumns({"ab": ab.words, "bc": bc.words, "turned": (t := a.cross(b, c, a)).words})
+    rows = rows.withColumn("abc", (abc := ab.named("ab") * c).words)
+    ab, bc, abc = ab.named("ab"), bc.named("bc"), abc.named("abc")
+    return rows.select("vec_id", abc.to_text().alias("product"), t.named("turned").to_text().alias("turned"), (-ab).to_text().alias("negated"), abc.sign().alias("signum"), ab.compare(bc).alias("compared"), abc.to_double().alias("size"))
+
+
 @query(f"""WITH {SQL_HEIGHT}, {_SQL_BOX}, r AS (SELECT a.tid, b.tid AS other, a.x0, a.y0, a.z0, a.x1, a.y1, a.z1, b.x0 AS u0, b.y0 AS v0, b.z0 AS w0, b.x1 AS u1, b.y1 AS v1, b.z1 AS w1 FROM b AS a JOIN b ON b.tid = a.tid + 3)
 SELECT tid, other, x0 <= u0 AND y0 <= v0 AND z0 <= w0 AND u0 <= x1 AND v0 <= y1 AND w0 <= z1 AS has_corner, x0 <= u0 AND y0 <= v0 AND z0 <= w0 AND u1 <= x1 AND v1 <= y1 AND w1 <= z1 AS contains_box,
   x0 <= u1 AND u0 <= x1 AND y0 <= v1 AND v0 <= y1 AND z0 <= w1 AND w0 <= z1 AS meets, NOT (x0 <= u1 AND u0 <= x1 AND y0 <= v1 AND v0 <= y1 AND z0 <= w1 AND w0 <= z1) AS misses,
