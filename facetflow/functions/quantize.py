@@ -15,6 +15,21 @@ BITS = 30
 LEAST_EDGE_BITS = 10
 
 
+#: Bits of the shortest edge that perturbations leave alone, the bits of the smallest range of perturbations, and those of the largest,
+#: as offsets are drawn modulo a prime of 20 bits.
+BUFFER_BITS, LEAST_RANGE_BITS, MOST_RANGE_BITS = 8, 2, 18
+
+
+def perturbation_budget(edge_bits: Column, first: int) -> tuple[Column, Column]:
+    """(bits of the first range of perturbations, how many ranges there are), each twice as wide as the one before.
+
+    A range takes one bit more of those that the shortest edge has on its mesh's grid; the last leaves ``BUFFER_BITS``. The first is
+    ``first`` bits wide, or less where the edge has so few that not at least five ranges would follow.
+    """
+    begin = F.least(F.lit(first), F.greatest(F.lit(LEAST_RANGE_BITS), edge_bits - BUFFER_BITS - 4))
+    return begin, F.least(edge_bits - BUFFER_BITS, F.lit(MOST_RANGE_BITS)) - begin + 1
+
+
 class QuantizationError(ValueError):
     """``code`` says why a mesh has no grid."""
 
@@ -90,7 +105,7 @@ class Quantizer:
 PRIME = 1_000_003
 
 
-def perturbation(vid: Column, seed: int, quanta: int) -> V3:
+def perturbation(vid: Column, seed: int, quanta: int | Column) -> V3:
     """Grid offsets of -quanta to quanta per axis: a cubic of the vertex id and a seed modulo a prime, so that no structure of
     the ids survives; the same in any engine with 64-bit integers.
     """

@@ -13,6 +13,7 @@ Triangle and vertex ids have to be unique over all meshes of an operand.
 
 from __future__ import annotations
 
+import itertools
 from collections import namedtuple
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.functions.quantize import Quantizer, grid_exponents
+from facetflow.functions.quantize import BITS, Quantizer, binary_exponent, grid_exponents, perturbation_budget
 from facetflow.functions.vec import V3, Triangle
 from facetflow.operators import topology as T
 from facetflow.operators.graph import labelled_components
@@ -31,9 +32,9 @@ from facetflow.operators.tables import write_table
 from facetflow.operators.triangulate import TriangulationError, triangulate
 from facetflow.sources.derived import MeshFrame
 
-#: Steps of the grid that vertices are moved by, tried in turn while the configuration is degenerate or cut points of a
-#: triangle lie too close together to be told apart in doubles.
-QUANTA = (256, 512, 1024, 2048, 4096)
+#: Vertices are moved by up to 2^FIRST_BITS steps of the grid at first, and by twice as many in turn while the configuration is degenerate
+#: or cut points of a triangle lie too close together to be told apart in doubles, as long as the pair's budget of bits lasts.
+FIRST_BITS = 8
 #: For each operation: (operand, inside) that stay as they are, and those that stay turned.
 RULES = {
     "union": ([(0, 0), (1, 0)], []),
@@ -48,7 +49,7 @@ class Resolved:
     """Both operands cut along each other, in grid coordinates, with label (operand), patch and inside of each triangle.
 
     ``original`` has the operands' vertices where they were: only predicates see moved ones. ``status``: (mesh_id, exponent,
-    status, attempts) of every pair; status OK, DEGENERATE, SUBDIVISION_FAILED, SELF_INTERSECTING_OPERAND or
+    status, attempts, bits_left) of every pair: bits_left by which the perturbation could still have been widened; status OK, DEGENERATE, SUBDIVISION_FAILED, SELF_INTERSECTING_OPERAND or
     EXCESSIVE_DYNAMIC_RANGE_FOR_QUANTIZATION.
     """
 
@@ -121,21 +122,24 @@ def _cut_all(batches):
     yield pieces()
 
 
-def resolve(left: MeshFrame, right: MeshFrame, seed: int = 1, quanta: tuple[int, ...] = QUANTA) -> Resolved:
+def resolve(left: MeshFrame, right: MeshFrame, seed: int = 1, first_bits: int = FIRST_BITS) -> Resolved:
     """Cuts both operands along each other and labels the pieces.
 
-    An attempt takes the pairs that are still open; one number of an attempt, how many of them, comes to the driver.
+    An attempt takes the pairs that are still open, each on a perturbation as wide as its own budget says; one number of an
+    attempt, how many are left, comes to the driver. There are at most 17 attempts.
     """
     both = MeshFrame(*(_with_mesh_ids(left, right, part) for part in ("vertices", "triangles")))
     t = Triangle.of()
     sizes = T.materialize(both).groupBy("mesh_id").agg(F.max(F.greatest(*[x for v in (t.a, t.b, t.c) for x in v.abs().parts()])).alias("largest"), F.sqrt(F.min(F.least(*t.edge_squares()))).alias("shortest"))
     exponent, status = grid_exponents(F.col("largest"), F.col("shortest"))
-    grids, _ = write_table(sizes.select("mesh_id", exponent.alias("exponent"), status.alias("status")))
-    todo = grids.where("status = 'OK'").select("mesh_id", "exponent")
+    begin, ranges = perturbation_budget(binary_exponent(F.col("shortest")) - (F.col("exponent") - BITS), first_bits)
+    sizes = sizes.select("mesh_id", "shortest", exponent.alias("exponent"), status.alias("status"))
+    grids, _ = write_table(sizes.select("mesh_id", "exponent", "status", begin.alias("begin"), ranges.alias("ranges")))
+    todo = grids.where("status = 'OK'").drop("status")
     verdicts, done = [grids.where("status <> 'OK'").select("mesh_id", "status", F.lit(0).alias("attempts"))], []
-    for attempt, steps in enumerate(quanta):
+    for attempt in itertools.count():
         mesh = MeshFrame(both.vertices.join(todo, "mesh_id"), both.triangles.join(todo.select("mesh_id"), "mesh_id", "left_semi"))
-        grid = on_grid(mesh, Quantizer.per_mesh(), seed + attempt, steps)
+        grid = on_grid(mesh, Quantizer.per_mesh(), seed + attempt, F.expr(f"shiftleft(1L, begin + {attempt})"))
         vertices, _ = write_table(grid.vertices)
         grid = MeshFrame(vertices, grid.triangles)
         pairs, _ = write_table(edge_triangle_pairs(grid, other=None).where("meets OR degenerate AND l_label <> r_label"))
@@ -143,9 +147,9 @@ def resolve(left: MeshFrame, right: MeshFrame, seed: int = 1, quanta: tuple[int,
         bad = pairs.groupBy("mesh_id").agg(F.max(own & F.col("meets")).alias("own"), F.max(~own & F.col("degenerate")).alias("degenerate")).where("own OR degenerate")
         bad, _ = write_table(bad.select("mesh_id", F.when(F.col("own"), "SELF_INTERSECTING_OPERAND").otherwise("DEGENERATE").alias("status")))
         cut, failed = _subdivide(grid, pairs.where(~own), bad, attempt)
-        failed, _ = write_table(bad.union(failed))
+        failed, _ = write_table(bad.union(failed).join(todo.select("mesh_id", "ranges"), "mesh_id"))
         done.append((*cut, grid, failed))
-        final = F.lit(attempt == len(quanta) - 1) | (F.col("status") == "SELF_INTERSECTING_OPERAND")
+        final = (F.col("ranges") <= attempt + 1) | (F.col("status") == "SELF_INTERSECTING_OPERAND")
         tries = F.lit(attempt + 1).alias("attempts")
         verdicts.append(todo.join(failed, "mesh_id", "left_anti").select("mesh_id", F.lit("OK").alias("status"), tries))
         verdicts.append(failed.where(final).select("mesh_id", "status", tries))
@@ -153,7 +157,8 @@ def resolve(left: MeshFrame, right: MeshFrame, seed: int = 1, quanta: tuple[int,
         if not still.count():
             break
         todo = todo.join(still, "mesh_id", "left_semi")
-    verdict, _ = write_table(grids.drop("status").join(reduce(DataFrame.union, verdicts), "mesh_id"))
+    verdict = grids.drop("status").join(reduce(DataFrame.union, verdicts), "mesh_id")
+    verdict, _ = write_table(verdict.select("mesh_id", "exponent", "status", "attempts", F.when(F.col("attempts") > 0, F.col("ranges") - F.col("attempts")).alias("bits_left")))
     many = len(done) > 1
     keep = lambda rows, failed: rows.join(failed, "mesh_id", "left_anti") if many else rows
     vertices, triangles, cuts = (reduce(DataFrame.union, [keep(d[k], d[4]) for d in done]) for k in range(3))

@@ -70,12 +70,12 @@ def with_exponents(mesh: MeshFrame) -> MeshFrame:
     return MeshFrame(mesh.vertices.join(own, "mesh_id"), mesh.triangles)
 
 
-def on_grid(mesh: MeshFrame, quantizer: Quantizer, seed: int = 0, quanta: int = 0) -> MeshFrame:
-    """Vertices as integers of the grid, moved by up to ``quanta`` by a seeded hash; with ``Quantizer.per_mesh()`` of each mesh's own."""
+def on_grid(mesh: MeshFrame, quantizer: Quantizer, seed: int = 0, quanta: int | Column = 0) -> MeshFrame:
+    """Vertices as integers of the grid, moved by up to ``quanta`` (a number or a column of the vertices) by a seeded hash; with ``Quantizer.per_mesh()`` of each mesh's own."""
     if isinstance(quantizer.exponent, Column):
         mesh = with_exponents(mesh)
     p = quantizer.to_grid(V3.of())
-    if quanta:
+    if isinstance(quanta, Column) or quanta:
         p = p + perturbation(F.col("vid"), seed, quanta)
     return MeshFrame(mesh.vertices.select("mesh_id", "vid", *p.columns("")), mesh.triangles)
 

@@ -198,6 +198,34 @@ def test_each_pair_of_a_batch_by_itself(spark):
     assert volume(boolean.select(alone, "union")) == {"good": pytest.approx(got["good"], rel=1e-12)}
 
 
+def test_budget_of_perturbations(spark, monkeypatch):
+    """Coincident boxes that are not moved before the sixth attempt: one has bits for it, one has spent its own by then."""
+    from facetflow.operators.spatial import on_grid
+
+    asked = []
+
+    def still(mesh, quantizer, seed, quanta):
+        asked.append(seed)
+        return on_grid(mesh, quantizer, seed, quanta if len(asked) > 5 else 0)
+
+    monkeypatch.setattr(boolean, "on_grid", still)
+    cases = {"thick": box((0, 0, 0), (2, 2, 2)), "thin": box((0, 0, 0), (3e5, 3e5, 1))}
+    both = [mesh(spark, [(k, *v) for k, v in cases.items()]) for _ in range(2)]
+    cut = boolean.resolve(*both)
+    got = {r.mesh_id: (r.status, r.attempts, r.bits_left) for r in cut.status.collect()}
+    assert got == {"thick": ("OK", 6, 5), "thin": ("DEGENERATE", 2, 0)} and asked == [1, 2, 3, 4, 5, 6]
+    assert volume(boolean.select(cut, "union")) == {"thick": pytest.approx(8, abs=1e-3)}
+
+
+def test_bits_of_a_budget(spark):
+    from facetflow.functions.quantize import perturbation_budget
+
+    rows = spark.range(10, 31).select("id", *[x.alias(n) for x, n in zip(perturbation_budget(F.col("id").cast("int"), 8), ("begin", "ranges"), strict=True)]).collect()
+    for bits, begin, ranges in rows:
+        assert begin == min(8, max(2, bits - 12)) and ranges >= 1
+        assert begin + ranges - 1 == min(bits - 8, 18)  # the widest range leaves eight bits of the shortest edge
+
+
 def test_booleans_of_a_box_and_a_tetrahedron(spark):
     tetra = ([(0, 0, 0), (3, 0, 0), (0, 3, 0), (0, 0, 3)], [(0, 2, 1), (0, 1, 3), (0, 3, 2), (1, 2, 3)])
     a, b = mesh(spark, [("m", *box((0, 0, 0), (2, 2, 2)))]), mesh(spark, [("m", *tetra)])
