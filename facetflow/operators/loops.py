@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.operators.graph import ONE_TASK, components
-from facetflow.operators.tables import write_table
+from facetflow.operators.tables import drop_table, write_table
 from facetflow.operators.topology import dense_numbers, hole_edges
 
 
@@ -21,103 +21,184 @@ class BoundaryError(ValueError):
         self.code = code
 
 
-def canonical(loop: list[int]) -> list[int]:
-    """The same loop from its smallest vertex on."""
-    k = loop.index(min(loop))
-    return loop[k:] + loop[:k]
+def _turned(chain: tuple) -> tuple:
+    p, via, q, back = chain
+    return q, back, p, via
 
 
-def walk(edges: list[tuple[int, int]]) -> list[list[int]]:
-    """Simple closed loops of directed edges, canonical and in order.
+def close_chains(chains: list[tuple], undirected: bool = False) -> list[list[tuple]]:
+    """Simple closed loops of chains (p, via, q, back): ways from p to q whose second vertex is via and whose last but one is back.
 
-    The walk goes on to the smallest next vertex; whenever it comes back to a vertex of its path, the loop closed there is
-    taken out. Raises NOT_CLOSED if a walk gets stuck.
+    The walk starts at the smallest vertex and goes on to the smallest next one; whenever it comes back to a vertex of its path, the
+    loop closed there is taken out. A loop starts at its smallest vertex, without direction towards the smaller of its neighbours. Raises
+    EMPTY_REGION without chains, NOT_CLOSED if a walk gets stuck.
     """
-    if not edges:
+    if not chains:
         raise BoundaryError("EMPTY_REGION")
-    to: dict[int, list[int]] = defaultdict(list)
-    for p, q in sorted(edges, reverse=True):
-        to[p].append(q)
+    left: dict[int, list[tuple]] = defaultdict(list)
+    for chain in [*chains, *map(_turned, chains if undirected else [])]:
+        left[chain[0]].append(chain)
+    for ways in left.values():
+        ways.sort(key=lambda c: c[1:], reverse=True)  # the smallest next vertex is the last
     loops = []
-    for start in sorted(to):
-        while to[start]:
-            path, where = [start], {start: 0}
+    for start in sorted(left):
+        while left[start]:
+            at, path, where = start, [], {start: 0}
             while True:
-                if not to[path[-1]]:
+                if not left[at]:
                     raise BoundaryError("NOT_CLOSED")
-                q = to[path[-1]].pop()
-                if q in where:
-                    loop = path[where[q] :]
-                    loops.append(canonical(loop))
-                    for v in loop[1:]:
-                        del where[v]
-                    del path[where[q] + 1 :]
-                    if len(path) == 1 and not to[path[0]]:
-                        break
-                    if len(path) == 1:
-                        break
-                else:
-                    where[q] = len(path)
-                    path.append(q)
+                path.append(left[at].pop())
+                at = path[-1][2]
+                if undirected:
+                    left[at].remove(_turned(path[-1]))
+                if at not in where:
+                    where[at] = len(path)
+                    continue
+                loop = path[where[at] :]
+                del path[where[at] :]
+                for chain in loop[:-1]:
+                    del where[chain[2]]
+                k = min(range(len(loop)), key=lambda i: loop[i][0])
+                loop = loop[k:] + loop[:k]
+                if undirected and loop[0][1] > loop[-1][3]:
+                    loop = [_turned(c) for c in reversed(loop)]
+                loops.append(loop)
+                if not path:
+                    break
     return sorted(loops)
 
 
+def walk(edges: list[tuple[int, int]]) -> list[list[int]]:
+    """Simple closed loops of directed edges, as vertices, in order (``close_chains``)."""
+    return [[c[0] for c in loop] for loop in close_chains([(p, q, q, p) for p, q in edges])]
+
+
 def walk_undirected(edges: list[tuple[int, int]]) -> list[list[int]]:
     """Simple closed loops of edges without direction: each is run through once, each loop towards its smaller neighbour."""
-    if not edges:
-        raise BoundaryError("EMPTY_REGION")
-    left: dict[int, list[int]] = defaultdict(list)
-    for p, q in edges:
-        left[p].append(q)
-        left[q].append(p)
-    loops = []
-    for start in sorted(left):
-        while left[start]:
-            path, where = [start], {start: 0}
-            while left[path[-1]]:
-                p = path[-1]
-                q = min(left[p])
-                left[p].remove(q)
-                left[q].remove(p)
-                if q in where:
-                    loop = canonical(path[where[q] :])
-                    loops.append(loop if loop[1] < loop[-1] else [loop[0], *loop[:0:-1]])
-                    for v in path[where[q] + 1 :]:
-                        del where[v]
-                    del path[where[q] + 1 :]
-                else:
-                    where[q] = len(path)
-                    path.append(q)
-            if len(path) > 1:
-                raise BoundaryError("NOT_CLOSED")
-    return sorted(loops)
+    return [[c[0] for c in loop] for loop in close_chains([(p, q, q, p) for p, q in edges], undirected=True)]
+
 
+_PLACED = "mesh_id string, loop_id string, pos long, p long, via long, status string"
 
-def boundary_loops(triangles: DataFrame) -> DataFrame:
-    """(mesh_id, loop_id, pos, vid, status): the loops of edges that one triangle has, along its orientation.
 
-    Boundary edges that hang together are one group, walked in one task; ``loop_id`` is the loop's smallest vertex,
-    with a number for further loops through it. A group that does not close gives one row with its status.
+def _closed(chains: DataFrame, undirected: bool) -> DataFrame:
+    """(mesh_id, loop_id, pos, p, via, status): where each of ``chains(mesh_id, p, via, q, back, n)`` starts in its loop.
+
+    Chains that hang together are one group, walked in one task. A group that does not close gives one row with its status.
     """
-    e = hole_edges(triangles)
-    found = components(e.select(F.col("p").alias("a"), F.col("q").alias("b")), small=ONE_TASK)
-    grouped = e.join(found, F.col("p") == F.col("node")).select("mesh_id", "component", "p", "q")
+    found = components(chains.select(F.col("p").alias("a"), F.col("q").alias("b")), small=ONE_TASK)
+    grouped = chains.join(found, F.col("p") == F.col("node"), "left").withColumn("component", F.coalesce("component", "p"))
 
     def loops(part: pd.DataFrame) -> pd.DataFrame:
-        mesh, group = part["mesh_id"].iloc[0], int(part["component"].iloc[0])
+        mesh, group = part["mesh_id"].iloc[0], int(part[["p", "q"]].min().min())
+        rows = []
+        length = dict(zip(zip(part["p"], part["via"], strict=True), part["n"].tolist(), strict=True))
+        if undirected:
+            length |= dict(zip(zip(part["q"], part["back"], strict=True), part["n"].tolist(), strict=True))
         try:
-            found = walk(list(zip(part["p"].tolist(), part["q"].tolist(), strict=True)))
+            seen: dict[int, int] = defaultdict(int)
+            for loop in close_chains(list(part[["p", "via", "q", "back"]].itertuples(index=False, name=None)), undirected):
+                first, pos = loop[0][0], 0
+                name = f"{first}" if not seen[first] else f"{first}.{seen[first]}"
+                seen[first] += 1
+                for p, via, _, _ in loop:
+                    rows.append((mesh, name, pos, p, via, "ok"))
+                    pos += length[p, via]
         except BoundaryError as error:
-            return pd.DataFrame([(mesh, f"{group}", 0, group, error.code)], columns=["mesh_id", "loop_id", "pos", "vid", "status"])
-        seen: dict[int, int] = defaultdict(int)
-        rows = []
-        for loop in found:
-            name = f"{loop[0]}" if not seen[loop[0]] else f"{loop[0]}.{seen[loop[0]]}"
-            seen[loop[0]] += 1
-            rows += [(mesh, name, k, v, "ok") for k, v in enumerate(loop)]
-        return pd.DataFrame(rows, columns=["mesh_id", "loop_id", "pos", "vid", "status"])
+            rows = [(mesh, f"{group}", 0, group, group, error.code)]
+        return pd.DataFrame(rows, columns=["mesh_id", "loop_id", "pos", "p", "via", "status"])
+
+    return grouped.groupBy("mesh_id", "component").applyInPandas(loops, _PLACED)
+
+
+def assemble(edges: DataFrame, undirected: bool = False, small: int = ONE_TASK) -> DataFrame:
+    """(mesh_id, loop_id, pos, vid, status): the simple closed loops of ``edges(mesh_id, p, q)``, directed or not.
+
+    ``loop_id`` is the loop's smallest vertex, with a number for further loops through it; ``pos`` counts from there, along the edges or,
+    without direction, towards the smaller neighbour. Edges that hang together and do not close give one row with their status. Repeated edges
+    count once, an edge from a vertex to itself is no part of a loop; no edges, no rows.
+
+    No loop has to fit into a task. Vertices with smaller neighbours, unless edges fork or end there, are taken out level by level, until a loop
+    is an edge from its smallest vertex to itself, and what lies between forks is two edges at most; pointer jumping numbers the edges that
+    become one, all at once. Only loops through forks are walked (``close_chains``), a row a chain, which gives the loops of a walk over edges, as
+    it never ends within a chain. What has come down to ``small`` edges is walked as it is.
+    """
+    e = edges.select("mesh_id", "p", "q").where("p <> q")
+    if undirected:
+        e = e.select("mesh_id", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+    e, _ = write_table(e.distinct())
+    darts = e.union(e.select("mesh_id", "q", "p")) if undirected else e
+    links = darts.select("mesh_id", "p", F.col("q").alias("via"), "q", F.col("p").alias("back"), F.lit(1).cast("long").alias("n"))
+    levels = []
+    if e.count() > small:
+        links, _ = write_table(_with_forks(links, 2 if undirected else 1))
+        while links.count() > small:
+            inside, _ = write_table(_inside_chains(links))
+            if not inside.limit(1).count():
+                break
+            levels.append(_ranked(links, inside, undirected))
+            tails = levels[-1].join(inside.withColumnRenamed("v", "q"), ["mesh_id", "q"], "left_anti")
+            links, _ = write_table(tails.select("mesh_id", F.col("head").alias("p"), F.col("head_via").alias("via"), "q", "back", (F.col("hops") + F.col("n")).alias("n"), F.col("head_fork").alias("p_fork"), "q_fork"))
+    alone = (F.col("p") == F.col("q")) & ~F.col("p_fork") if levels else F.lit(False)
+    simple, rest = links.where(alone), links.where(~alone).select("mesh_id", "p", "via", "q", "back", "n")
+    if undirected:
+        simple, rest = simple.where("via < back"), rest.where("struct(p, via) < struct(q, back)")
+    walked = _closed(rest, undirected)
+    if not levels:
+        return walked.select("mesh_id", "loop_id", F.col("pos").cast("int").alias("pos"), F.col("p").alias("vid"), "status")
+    walked, _ = write_table(walked)
+    placed = simple.select("mesh_id", F.col("p").cast("string").alias("loop_id"), F.lit(0).cast("long").alias("pos"), "p", "via").union(walked.where("status = 'ok'").drop("status"))
+    for ranked in reversed(levels):
+        # a hot key, a chain with most of the rows, is on one side only: Spark can split it
+        rows = ranked.select("mesh_id", "p", "via", "head", "head_via", "hops").join(placed.toDF("mesh_id", "loop_id", "pos", "head", "head_via"), ["mesh_id", "head", "head_via"])
+        placed = rows.select("mesh_id", "loop_id", (F.col("pos") + F.col("hops")).alias("pos"), "p", "via")
+    rows = placed.select("mesh_id", "loop_id", "pos", F.col("p").alias("vid"), F.lit("ok").alias("status"))
+    rows = rows.union(walked.where("status <> 'ok'").select("mesh_id", "loop_id", "pos", F.col("p").alias("vid"), "status"))
+    return rows.withColumn("pos", F.col("pos").cast("int"))
+
+
+def _with_forks(links: DataFrame, plain: int) -> DataFrame:
+    """``links`` with p_fork and q_fork: whether the end has other than ``plain`` ways in and out."""
+    ways = links.select("mesh_id", F.col("p").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(links.select("mesh_id", "q", F.lit(0), F.lit(1)))
+    fork, _ = write_table(ways.groupBy("mesh_id", "v").agg(((F.sum("out") != plain) | (F.sum("into") != plain)).alias("fork")))
+    for end in "pq":
+        links = links.join(fork.toDF("mesh_id", end, f"{end}_fork"), ["mesh_id", end])
+    return links
+
+
+def _inside_chains(links: DataFrame) -> DataFrame:
+    """(mesh_id, v): vertices, no forks, that have a smaller neighbour which is no fork either."""
+    plain = links.where("NOT p_fork AND NOT q_fork")
+    ends = plain.select("mesh_id", F.col("p").alias("v"), F.col("q").alias("o")).union(plain.select("mesh_id", "q", "p"))
+    return ends.groupBy("mesh_id", "v").agg(F.min("o").alias("low")).where("low < v").select("mesh_id", "v")
+
+
+def _ranked(links: DataFrame, inside: DataFrame, undirected: bool) -> DataFrame:
+    """``links`` with (head, head_via, head_fork), the first link of its chain, and hops, the edges before it; chains start where p is not ``inside``.
+
+    Each link points to the one before it, then in each round to where that one points, until it has the first.
+    """
+    spark = links.sparkSession
+    at = inside.withColumnRenamed("v", "p")
+    to = lambda p, via, fork, hops, open_: [F.col(p).alias("head"), F.col(via).alias("head_via"), F.col(fork).alias("head_fork"), hops.alias("hops"), F.lit(open_).alias("open")]
+    first = links.join(at, ["mesh_id", "p"], "left_anti").select(*links.columns, *to("p", "via", "p_fork", F.lit(0).cast("long"), False))
+    before = links.select("mesh_id", F.col("p").alias("x"), F.col("via").alias("x_via"), F.col("q").alias("p"), F.col("back").alias("x_back"), F.col("n").alias("x_n"), F.col("p_fork").alias("x_fork"))
+    later = links.join(at, ["mesh_id", "p"], "left_semi").join(before, ["mesh_id", "p"])
+    later = later.where("x_back <> via") if undirected else later  # not back where it came from
+    now, path = write_table(first.union(later.select(*links.columns, *to("x", "x_via", "x_fork", F.col("x_n"), True))))
+    while now.where("open").limit(1).count():
+        there = now.select("mesh_id", F.col("p").alias("head"), F.col("via").alias("head_via"), *[F.col(c).alias(f"to_{c}") for c in ("head", "head_via", "head_fork", "hops", "open")])
+        jumped = now.where("open").drop("head_fork", "open").join(there, ["mesh_id", "head", "head_via"])
+        jumped = jumped.select(*links.columns, F.col("to_head").alias("head"), F.col("to_head_via").alias("head_via"), F.col("to_head_fork").alias("head_fork"), (F.col("hops") + F.col("to_hops")).alias("hops"), F.col("to_open").alias("open"))
+        new, path_new = write_table(now.where("NOT open").union(jumped))
+        drop_table(spark, path)
+        now, path = new, path_new
+    return now.drop("open")
+
 
-    return grouped.groupBy("mesh_id", "component").applyInPandas(loops, "mesh_id string, loop_id string, pos int, vid long, status string")
+def boundary_loops(triangles: DataFrame, small: int = ONE_TASK) -> DataFrame:
+    """(mesh_id, loop_id, pos, vid, status): the loops of edges that one triangle has, along its orientation (``assemble``)."""
+    return assemble(hole_edges(triangles), small=small)
 
 
 def with_coordinates(loops: DataFrame, vertices: DataFrame) -> DataFrame:

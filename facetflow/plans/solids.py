@@ -9,7 +9,7 @@ from facetflow.operators import boolean, loops, repair, stats
 from facetflow.operators import topology as T
 from facetflow.operators.tables import write_table
 from facetflow.operators.triangulate import triangulate as triangulate_points
-from facetflow.plans.scalar import query
+from facetflow.plans.scalar import SQL, query
 from facetflow.sources import off
 from facetflow.sources.derived import SQL_BOXES, SQL_HEIGHT, MeshFrame, boxes, height_field, table
 
@@ -69,6 +69,19 @@ def boundary_loops(spark, sf_dir):
     return loops.boundary_loops(height_field(spark, sf_dir).triangles).drop("mesh_id")
 
 
+_SQL_RING = """n AS (SELECT max(vid) // 20 AS top FROM hv), ring AS (SELECT vid, CASE WHEN vid < 20 THEN vid WHEN vid % 20 = 19 THEN 20 + vid // 20 - 1 WHEN vid // 20 = top THEN 19 + top + 19 - vid % 20
+  ELSE 19 + top + 19 + top - vid // 20 END AS pos FROM hv, n WHERE vid < 20 OR vid % 20 IN (0, 19) OR vid // 20 = top)"""
+
+
+@query(f"""WITH {SQL_HEIGHT}, {SQL_BOXES}, {_SQL_RING} SELECT 'h' AS mesh_id, '0' AS loop_id, CAST(pos AS INTEGER) AS pos, vid, 'ok' AS status FROM ring
+UNION ALL SELECT mesh_id, CAST(vec_id * 8 + 4 AS VARCHAR), k, vec_id * 8 + 4 + k, 'ok' FROM be, (SELECT CAST(unnest(range(4)) AS INTEGER) AS k)""")
+def undirected_loops(spark, sf_dir):
+    """Edges without direction around the height field and around all boxes that lost their tops, numbered by pointer jumping; ids of meshes overlap."""
+    field, open_boxes = height_field(spark, sf_dir).triangles, boxes(spark, sf_dir).triangles.where("tid % 12 NOT IN (2, 3)")
+    edges = T.hole_edges(field).union(T.hole_edges(open_boxes)).select("mesh_id", F.when(F.col("p") % 3 == 0, F.col("q")).otherwise(F.col("p")).alias("p"), F.when(F.col("p") % 3 == 0, F.col("p")).otherwise(F.col("q")).alias("q"))
+    return loops.assemble(edges, undirected=True, small=0)
+
+
 def _reclosed(mesh: MeshFrame):
     body = lambda c, n: F.expr(f"{c} div {n}").cast("string").alias("mesh_id")
     v = mesh.vertices.select(body("vid", 8), "vid", "x", "y", "z")
@@ -137,3 +150,17 @@ def off_round_trip(spark, sf_dir):
     back = off.read_off(spark, f"{path}/mesh_id=*/*.txt", dedup=True)
     found = stats.geometric_statistics(back, ("counts", "volume"))
     return found.select("mesh_id", "num_triangles", F.round("volume", 3).alias("volume"))
+
+
+@query(SQL["off_round_trip"])
+def off_pieces_round_trip(spark, sf_dir):
+    """Meshes written and read by pieces: no file, and no mesh, is one task's."""
+    import uuid
+
+    from facetflow.operators.tables import scratch
+
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    off.write_off(T.compact(boxes(spark, sf_dir))[0], path, None, pieces=True)
+    back = off.read_off(spark, f"{path}/mesh_id=*/*.txt", dedup=True, pieces=True)
+    found = stats.geometric_statistics(back, ("counts", "volume"))
+    return found.select("mesh_id", "num_triangles", F.round("volume", 3).alias("volume"))

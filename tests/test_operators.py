@@ -455,6 +455,86 @@ def test_text_meshes(spark, tmp_path):
     assert spark.read.format("off").load(str(tmp_path / "good.off")).count() == 8
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Splits of 2000 bytes, and tasks that are not put together again."""
+    wanted = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in wanted}
+    for k, n in wanted.items():
+        spark.conf.set(k, n)
+    yield
+    for k, n in kept.items():
+        spark.conf.set(k, n)
+
+
+def test_text_meshes_by_pieces(spark, tmp_path, small_splits):
+    """Files read and written by several tasks each are what they are whole, with the same first errors."""
+    colour = GOOD.replace("OFF", "COFF").replace("0 0 0\n1 0 0 # corner\n0 1 0\n0 0 1", "0 0 0 1 2 3 4\n1 0 0 1 2 3 4\n0 1 0 1 2 3 4\n0 0 1 1 2 3 4")
+    swap = GOOD.replace
+    texts = {
+        "good": GOOD, "a b+c%20": colour, "windows": swap("\n", "\r\n"), "empty": "", "note": "# only\n\n", "header": swap("OFF", "PLY"), "counts": swap("4 4 0", "4 0"), "number": swap("0 1 0", "0 x 0"), "infinite": swap("0 1 0", "0 1e999 0"),
+        "vertex": swap("0 1 0", "0 1"), "twice": swap("0 1 0", "1 -0 0"), "square": swap("3 0 1 3", "4 0 1 3 2"), "face": swap("3 0 1 3", "3 0 1"), "range": swap("3 0 1 3", "3 0 1 4"), "both": swap("3 0 1 3", "3 0 1 4").replace("1 0 0", "1 0"),
+        "few_faces": swap("4 4 0", "4 9 0"), "few": "OFF\n5 0 0\n0 0 0\n", "none": "OFF\n0 0 0\n",
+    }
+    for name, text in texts.items():
+        text = text.replace("# corner", "").replace("\n", f" # {700 * 'x'}\n").replace("\r #", " #") if name != "windows" else text
+        (tmp_path / f"{name}.off").write_bytes(text.encode())
+    path = str(tmp_path / "*.off")
+    rows = lambda m: (sorted(map(tuple, m.vertices.collect())), sorted(map(tuple, m.triangles.collect())))
+    for dedup in (False, True):
+        want, got = (off.read_off(spark, path, dedup, permissive=True, pieces=p) for p in (False, True))
+        assert rows(got) == rows(want)
+        want, got = (sorted(map(tuple, off.read_errors(spark, path, dedup, pieces=p).collect())) for p in (False, True))
+        assert got == want
+    with pytest.raises(off.OffError):
+        off.read_off(spark, path, pieces=True)
+    n = 12
+    grid = MeshFrame(
+        spark.range(n * n).selectExpr("'a b%' AS mesh_id", "id AS vid", f"(id % {n}) / 7 AS x", f"(id div {n}) * 1e-7 AS y", "id * 123456.7D AS z"),
+        spark.range(n * n - n - 1).selectExpr("'a b%' AS mesh_id", "id AS tid", "id AS a", "id + 1 AS b", f"id + {n} AS c"),
+    )
+    for precision in (None, 4):
+        out = tmp_path / f"out{precision}"
+        off.write_off(grid, str(out), precision, pieces=True)
+        files = sorted(out.glob("mesh_id=*/*.txt"))
+        assert len(files) > 1
+        whole = off.parse("".join(f.read_text() for f in files))
+        back = off.read_off(spark, f"{out}/mesh_id=*/*.txt", pieces=True)
+        assert rows(back) == ([("a b%", k, *p) for k, p in enumerate(whole[0])], [("a b%", k, *t) for k, t in enumerate(whole[1])])
+        if precision is None:
+            assert rows(back) == rows(grid)
+        assert whole[1] == off.parse(off.render([r[2:] for r in rows(grid)[0]], [r[2:] for r in rows(grid)[1]], precision))[1]
+        assert whole[0] == off.parse(off.render([r[2:] for r in rows(grid)[0]], [], precision))[0]
+
+
+def loop_edges(seed: int) -> list[tuple]:
+    """Closed ways through few vertices, of two meshes with the same ids."""
+    rng, edges = random.Random(seed), []
+    for mesh_id in "ab":
+        seen = set()
+        for _ in range(4):
+            way = rng.sample(range(40), rng.randint(3, 9))
+            steps = list(zip(way, way[1:] + way[:1], strict=True))
+            if not any((p, q) in seen or (q, p) in seen for p, q in steps):
+                seen |= set(steps)
+                edges += [(mesh_id, p, q) for p, q in steps]
+    return edges
+
+
+def test_loops_by_pointer_jumping(spark):
+    """Loops that meet in vertices, loops alone, ends that do not close, edges twice: as walked edge by edge."""
+    edges = loop_edges(3) + [("a", 100, 101), ("a", 101, 102), ("b", 7, 7), *loop_edges(3)[:2]]
+    edges += [("ring", k * 37 % 500, (k + 1) * 37 % 500) for k in range(500)]
+    edges = spark.createDataFrame(edges, "mesh_id string, p long, q long")
+    for undirected in (False, True):
+        walked, ranked, some = (sorted(map(tuple, loops.assemble(edges, undirected, small).collect())) for small in (10**6, 0, 100))
+        assert walked == ranked == some
+        assert [r[4] for r in walked].count("NOT_CLOSED") == 1
+        ring = [r[3] for r in walked if r[0] == "ring"]
+        assert ring == [k * 37 % 500 for k in range(500)]
+        assert not loops.assemble(edges.where("p > 1000"), undirected, 0).count()
+
+
 def test_streaming(spark, tmp_path):
     from facetflow.streaming.drops import watch
 
