@@ -252,5 +252,16 @@ class Box:
         return [*self.low.columns(f"{prefix}min_"), *self.high.columns(f"{prefix}max_")]
 
 
+def seeded_vector(key: Column, low: float, high: float) -> V3:
+    """A vector with components of [low, high) from a whole number: the same in every run, and in any engine with 64-bit integers."""
+
+    def number(k: int) -> Column:
+        state = (key * 1_103_515_245 + 12_345 * (k + 1)) % 2_147_483_648
+        state = (state * 1_103_515_245 + 12_345) % 2_147_483_648
+        return F.lit(low) + F.lit(high - low) * (state / F.lit(2_147_483_648.0))
+
+    return V3(*map(number, range(3)))
+
+
 def _all(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions)

@@ -14,6 +14,7 @@ Triangle and vertex ids have to be unique over all meshes of an operand.
 from __future__ import annotations
 
 import itertools
+import time
 from collections import namedtuple
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -49,7 +50,7 @@ class Resolved:
     """Both operands cut along each other, in grid coordinates, with label (operand), patch and inside of each triangle.
 
     ``original`` has the operands' vertices where they were: only predicates see moved ones. ``status``: (mesh_id, exponent,
-    status, attempts, bits_left) of every pair: bits_left by which the perturbation could still have been widened; status OK, DEGENERATE, SUBDIVISION_FAILED, SELF_INTERSECTING_OPERAND or
+    status, attempts, seconds, bits_left) of every pair: seconds from the start until its verdict, which it shares with the pairs of its attempt; bits_left by which the perturbation could still have been widened; status OK, DEGENERATE, SUBDIVISION_FAILED, SELF_INTERSECTING_OPERAND or
     EXCESSIVE_DYNAMIC_RANGE_FOR_QUANTIZATION.
     """
 
@@ -136,7 +137,8 @@ def resolve(left: MeshFrame, right: MeshFrame, seed: int = 1, first_bits: int =
     sizes = sizes.select("mesh_id", "shortest", exponent.alias("exponent"), status.alias("status"))
     grids, _ = write_table(sizes.select("mesh_id", "exponent", "status", begin.alias("begin"), ranges.alias("ranges")))
     todo = grids.where("status = 'OK'").drop("status")
-    verdicts, done = [grids.where("status <> 'OK'").select("mesh_id", "status", F.lit(0).alias("attempts"))], []
+    verdicts, done = [grids.where("status <> 'OK'").select("mesh_id", "status", F.lit(0).alias("attempts"), F.lit(0.0).alias("seconds"))], []
+    began = time.monotonic()
     for attempt in itertools.count():
         mesh = MeshFrame(both.vertices.join(todo, "mesh_id"), both.triangles.join(todo.select("mesh_id"), "mesh_id", "left_semi"))
         grid = on_grid(mesh, Quantizer.per_mesh(), seed + attempt, F.expr(f"shiftleft(1L, begin + {attempt})"))
@@ -150,15 +152,15 @@ def resolve(left: MeshFrame, right: MeshFrame, seed: int = 1, first_bits: int =
         failed, _ = write_table(bad.union(failed).join(todo.select("mesh_id", "ranges"), "mesh_id"))
         done.append((*cut, grid, failed))
         final = (F.col("ranges") <= attempt + 1) | (F.col("status") == "SELF_INTERSECTING_OPERAND")
-        tries = F.lit(attempt + 1).alias("attempts")
-        verdicts.append(todo.join(failed, "mesh_id", "left_anti").select("mesh_id", F.lit("OK").alias("status"), tries))
-        verdicts.append(failed.where(final).select("mesh_id", "status", tries))
+        tries = [F.lit(attempt + 1).alias("attempts"), F.lit(round(time.monotonic() - began, 3)).alias("seconds")]
+        verdicts.append(todo.join(failed, "mesh_id", "left_anti").select("mesh_id", F.lit("OK").alias("status"), *tries))
+        verdicts.append(failed.where(final).select("mesh_id", "status", *tries))
         still = failed.where(~final)
         if not still.count():
             break
         todo = todo.join(still, "mesh_id", "left_semi")
     verdict = grids.drop("status").join(reduce(DataFrame.union, verdicts), "mesh_id")
-    verdict, _ = write_table(verdict.select("mesh_id", "exponent", "status", "attempts", F.when(F.col("attempts") > 0, F.col("ranges") - F.col("attempts")).alias("bits_left")))
+    verdict, _ = write_table(verdict.select("mesh_id", "exponent", "status", "attempts", "seconds", F.when(F.col("attempts") > 0, F.col("ranges") - F.col("attempts")).alias("bits_left")))
     many = len(done) > 1
     keep = lambda rows, failed: rows.join(failed, "mesh_id", "left_anti") if many else rows
     vertices, triangles, cuts = (reduce(DataFrame.union, [keep(d[k], d[4]) for d in done]) for k in range(3))

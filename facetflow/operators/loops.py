@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetflow.operators.graph import ONE_TASK, components
@@ -205,6 +206,27 @@ def with_coordinates(loops: DataFrame, vertices: DataFrame) -> DataFrame:
     return loops.join(vertices, ["mesh_id", "vid"]).select("mesh_id", "loop_id", "pos", "vid", "x", "y", "z")
 
 
+def translated(points: DataFrame, **by: float | Column) -> DataFrame:
+    """Points moved along the named axes."""
+    return points.withColumns({n: F.col(n) + d for n, d in by.items()})
+
+
+def closed_edges(points: DataFrame, key: str, names: tuple[str, ...]) -> DataFrame:
+    """(key, edge, p..., q...): the edges of closed polygons of ordered points (pos), the last one back to the first; ``edge`` is the pos of its start.
+
+    ``names`` are the columns that both ends have: coordinates, or ``vid`` for edges of a mesh.
+    """
+    w = W.partitionBy(key).orderBy("pos")
+    after = [F.coalesce(F.lead(n).over(w), F.first(n).over(w)).alias(f"q{n}") for n in names]
+    return points.select(key, F.col("pos").alias("edge"), *[F.col(n).alias(f"p{n}") for n in names], *after)
+
+
+def along(points: DataFrame, key: list[str], by: list[str], following: str) -> DataFrame:
+    """Points numbered (pos, from 1) in their order along each edge, with the column ``following`` of the next one."""
+    w = W.partitionBy(*key).orderBy(*by)
+    return points.select("*", F.row_number().over(w).alias("pos"), F.lead(following).over(w).alias("following"))
+
+
 def divide(points: DataFrame, key: str, runs: int) -> DataFrame:
     """Numbers ordered points (pos from 0) by ``runs`` runs of equal length; a remainder is dropped."""
     n = points.groupBy(key).agg(F.count("*").alias("__n"))

@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from facetflow.functions import predicates as P
 from facetflow.functions.quantize import Quantizer
-from facetflow.functions.vec import V3
+from facetflow.functions.vec import V3, Triangle
 from facetflow.functions.wide import Wide
 from facetflow.operators import loops, planes
 from facetflow.operators.graph import edge_components
 from facetflow.operators.tables import write_table
-from facetflow.operators.topology import edge_incidence, edges
+from facetflow.operators.topology import edge_incidence, edges, materialize
 from facetflow.sources.derived import MeshFrame
 
 
+def representatives(mesh: MeshFrame, keep: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by..., tid, double_area): the largest triangle of each mesh, or of each group of the columns ``by`` (which ``keep`` brings along); of equal ones the first."""
+    t, by = Triangle.of(), by or ["mesh_id"]
+    rows = materialize(mesh, keep).withColumn("double_area", t.double_area())
+    return rows.groupBy(*by).agg(F.max_by("tid", F.struct("double_area", -F.col("tid"))).alias("tid"), F.max("double_area").alias("double_area"))
+
+
 def mesh_metrics(mesh: MeshFrame) -> DataFrame:
     """(mesh_id, n_vertices, max_abs, box): one aggregate of the vertices."""
     p = V3.of()

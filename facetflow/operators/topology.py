@@ -70,6 +70,11 @@ def by_corners(triangles: DataFrame, wanted: DataFrame) -> DataFrame:
     return triangles.withColumn("key", key("a", "b", "c")).join(w, ["mesh_id", "key"], "left_semi").drop("key")
 
 
+def by_uid(triangles: DataFrame, wanted: DataFrame, uid: str = "uid") -> DataFrame:
+    """Triangles whose id in their source is wanted."""
+    return triangles.join(wanted.select(uid), uid, "left_semi")
+
+
 def flip(triangles: DataFrame, when: Column | None = None) -> DataFrame:
     """Turns orientation, everywhere or where a condition holds."""
     turn = F.lit(True) if when is None else when

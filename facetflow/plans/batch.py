@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from facetflow.operators import boolean, stats
 from facetflow.operators import topology as T
+from facetflow.operators.tables import write_table
 from facetflow.operators.repair import close_holes, remove_non_manifold_edges, remove_self_intersections
 from facetflow.sources.derived import MeshFrame
 from facetflow.sources.off import read_off, write_off
@@ -35,18 +36,25 @@ def model_pairs(meshes: MeshFrame) -> tuple[MeshFrame, MeshFrame]:
 
 
 def run(spark: SparkSession, path: str, operations: tuple[str, ...] = OPERATIONS, repair: bool = False) -> tuple[dict[str, MeshFrame], DataFrame]:
-    """Results by operation, and a row per pair and operation: status, attempts, statistics; all pairs go through each step together."""
+    """Results by operation, and a row per pair and operation: status, attempts, seconds until its verdict, vertices and triangles of both operands,
+    statistics of the result; all pairs go through each step together, so a pair has no CPU time of its own."""
     meshes = read_off(spark, path)
     if repair:
         meshes = T.unique_ids(meshes)
         meshes = close_holes(remove_self_intersections(remove_non_manifold_edges(meshes)[0])[0])[0]
     began = time.time()
-    cut = boolean.resolve(*model_pairs(meshes))
+    sides = model_pairs(meshes)
+    cut = boolean.resolve(*sides)
+    pairs = cut.status.select("mesh_id", "status", "attempts", "bits_left", "seconds")
+    for name, side in zip(("left", "right"), sides, strict=True):
+        for part in ("vertices", "triangles"):
+            pairs = pairs.join(getattr(side, part).groupBy("mesh_id").agg(F.count("*").alias(f"{name}_{part}")), "mesh_id", "left")
+    pairs, _ = write_table(pairs)
     results = {name: boolean.select(cut, name) for name in operations}
     rows = None
     for name, mesh in results.items():
         found = stats.geometric_statistics(mesh).join(stats.topological_statistics(mesh.triangles), "mesh_id").withColumn("operation", F.lit(name))
-        found = cut.status.select("mesh_id", "status", "attempts").withColumn("operation", F.lit(name)).join(found, ["mesh_id", "operation"], "left")
+        found = pairs.withColumn("operation", F.lit(name)).join(found, ["mesh_id", "operation"], "left")
         rows = found if rows is None else rows.unionByName(found)
     return results, rows.withColumn("resolve_seconds", F.lit(round(time.time() - began, 3)))
 

@@ -9,7 +9,7 @@ from facetflow.functions import predicates as P
 from facetflow.functions.quantize import sql_perturbation
 from facetflow.functions.vec import V2, V3, Triangle
 from facetflow.operators import graph as G
-from facetflow.operators import planes, spatial, stats
+from facetflow.operators import loops, planes, sets, spatial, stats, surfaces
 from facetflow.operators import topology as T
 from facetflow.plans.scalar import SQL_VERDICT, query, quoted, sql_signs
 from facetflow.sources.derived import SQL_BOXES, SQL_HEIGHT, SQL_SOUP, MeshFrame, boxes, component, height_field, soup, table
@@ -165,8 +165,8 @@ def polygon_crossings(spark, sf_dir):
 
 @query(f"WITH {_POLY} SELECT label, pos, pos AS edge, x AS px, y AS py, coalesce(lead(x) OVER (PARTITION BY label ORDER BY pos), first(x) OVER (PARTITION BY label ORDER BY pos)) AS qx, x + 5 AS moved_x FROM q")
 def closed_polygon_edges(spark, sf_dir):
-    w = W.partitionBy("label").orderBy("pos")
-    return _polygons(spark, sf_dir).select("label", "pos", F.col("pos").alias("edge"), F.col("x").alias("px"), F.col("y").alias("py"), F.coalesce(F.lead("x").over(w), F.first("x").over(w)).alias("qx"), (F.col("x") + 5).alias("moved_x"))
+    p = loops.translated(_polygons(spark, sf_dir).withColumn("from", F.col("x")), x=5)
+    return loops.closed_edges(p.select("label", "pos", F.col("from").alias("x"), "y", F.col("x").alias("moved")), "label", ("x", "y", "moved")).select("label", F.col("edge").alias("pos"), "edge", "px", "py", "qx", F.col("pmoved").alias("moved_x"))
 
 
 @query(f"""{_W} SELECT count(*) AS num_triangles, (SELECT count(*) FROM hv) AS num_vertices, round(sum(sqrt(pow((by_ - ay) * (cz - az) - (bz - az) * (cy - ay), 2) + pow((bz - az) * (cx - ax) - (bx - ax) * (cz - az), 2)
@@ -222,9 +222,7 @@ def boundary_length(spark, sf_dir):
 
 @query(f"""{_WB}, t AS (SELECT bt.mesh_id, tid, tid // 12 AS body, 4 * half * half AS area2 FROM bt JOIN be ON vec_id = tid // 12) SELECT mesh_id, arg_max(tid, area2 * 1000000 - tid) AS tid, round(max(area2), 6) AS double_area FROM t GROUP BY mesh_id""")
 def argmax_triangle(spark, sf_dir):
-    t = Triangle.of()
-    rows = T.materialize(boxes(spark, sf_dir)).withColumn("area2", t.double_area())
-    return rows.groupBy("mesh_id").agg(F.max_by("tid", F.struct("area2", -F.col("tid"))).alias("tid"), F.round(F.max("area2"), 6).alias("double_area"))
+    return surfaces.representatives(boxes(spark, sf_dir)).withColumn("double_area", F.round("double_area", 6))
 
 
 @query(f"{_W}, l AS (SELECT v0, v1, count(*) AS n_inc, min(tid // 200) <> max(tid // 200) AS intersects FROM he GROUP BY v0, v1) SELECT v0, v1, n_inc, intersects FROM l")
@@ -291,7 +289,7 @@ def id_set_ops(spark, sf_dir):
     t = height_field(spark, sf_dir).triangles.select("tid")
     two, three, twelve = (t.where(f"tid % {k} = 0") for k in (2, 3, 12))
     flag = lambda rows, name: rows.withColumn(name, F.lit(True))
-    rows = flag(two.union(three).distinct(), "merged").join(flag(two.exceptAll(three), "difference"), "tid", "left").join(flag(two.intersect(three), "both_sets"), "tid", "left").join(flag(twelve, "subset"), "tid", "left")
+    rows = flag(sets.merged(two, three), "merged").join(flag(sets.difference(two, three), "difference"), "tid", "left").join(flag(sets.common(two, three), "both_sets"), "tid", "left").join(flag(sets.members(two, twelve, ["tid"]), "subset"), "tid", "left")
     return rows.select("tid", "merged", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("difference", "both_sets", "subset")])
 
 
@@ -318,8 +316,16 @@ for _name, _stay, _turned in (("union", "inside = 0", "false"), ("difference", "
 
 @query(f"{_W} SELECT v0, v1, tid, row_number() OVER (PARTITION BY v0 ORDER BY v1, tid) AS pos, lead(v1) OVER (PARTITION BY v0 ORDER BY v1, tid) AS following FROM he")
 def split_edge_order(spark, sf_dir):
-    w = W.partitionBy("v0").orderBy("v1", "tid")
-    return T.edges(height_field(spark, sf_dir).triangles).select("v0", "v1", "tid", F.row_number().over(w).alias("pos"), F.lead("v1").over(w).alias("following"))
+    e = T.edges(height_field(spark, sf_dir).triangles).select("v0", "v1", "tid")
+    return loops.along(e, ["v0"], ["v1", "tid"], "v1")
+
+
+@query(f"""{_W}, m AS (SELECT tid // 40 AS g, tid % 2 = 0 AS l, tid % 6 = 0 OR tid // 40 % 3 = 0 AND tid % 20 = 3 AS r FROM ht WHERE tid // 40 % 7 <> 2 OR tid % 2 = 1)
+SELECT g, bool_or(l AND r) AS overlaps, bool_and(l OR NOT r) AS contains FROM m WHERE l OR r GROUP BY g""")
+def set_relations(spark, sf_dir):
+    """Which sets of triangles, one of each kind for each row of cells, overlap or hold the other."""
+    t = height_field(spark, sf_dir).triangles.select(F.expr("tid div 40").alias("g"), "tid").where("g % 7 <> 2 OR tid % 2 = 1")
+    return sets.relations(t.where("tid % 2 = 0"), t.where("tid % 6 = 0 OR g % 3 = 0 AND tid % 20 = 3"), ["g"])
 
 
 @query(f"WITH {_POLY}, l AS (SELECT label, count(*) AS n FROM q GROUP BY label) SELECT label, n, rank() OVER (ORDER BY n DESC) AS place FROM l")
@@ -361,7 +367,7 @@ def membership(spark, sf_dir):
     """Gathers rows by sets of ids: a semi-join."""
     mesh = height_field(spark, sf_dir)
     high = mesh.vertices.where("z > 0").select("mesh_id", F.col("vid").alias("c"))
-    return mesh.triangles.join(high, ["mesh_id", "c"], "left_semi").select("tid", "a", "b", "c")
+    return sets.members(mesh.triangles, high, ["mesh_id", "c"]).select("tid", "a", "b", "c")
 
 
 @query(f"""{_WB}, bx AS (SELECT vec_id, mesh_id, c0 - half AS x0, c0 + half AS x1, c1 - half AS y0, c1 + half AS y1, c2 - half AS z0, c2 + half AS z1 FROM be),

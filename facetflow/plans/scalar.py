@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from facetflow.functions import predicates as P
 from facetflow.functions.ext import K1
 from facetflow.functions.quantize import Quantizer, perturbation, sql_perturbation
-from facetflow.functions.vec import V2, V3, Box, Triangle, fdiv
+from facetflow.functions.vec import V2, V3, Box, Triangle, fdiv, seeded_vector
 from facetflow.functions.wide import Wide
 from facetflow.operators import topology as T
 from facetflow.sources.derived import SQL_HEIGHT, component, height_field, table
@@ -89,20 +89,13 @@ def vec2_algebra(spark, sf_dir):
     return _points(spark, sf_dir).select("vec_id", *(a + b).columns("add_"), *(a - b).columns("sub_"), a.dot(b).alias("dot"), a.det(b).alias("det"), a.len_squared().alias("len2"), a.length().alias("len"), *a.least(b).columns("min_"), *a.greatest(b).columns("max_"), a.max_dim().alias("max_dim"), a.min_dim().alias("min_dim"), *a.abs().columns("abs_"))
 
 
-def _random(k: int, low: float, high: float):
-    """A seeded number of [low, high) from an id, the same in any engine with 64-bit integers."""
-    state = (F.col("vec_id") * 1_103_515_245 + 12_345 * (k + 1)) % 2_147_483_648
-    state = (state * 1_103_515_245 + 12_345) % 2_147_483_648
-    return F.lit(low) + F.lit(high - low) * (state / F.lit(2_147_483_648.0))
-
-
 def _sql_random(k: int) -> str:
     return f"-1.0::DOUBLE + 2.0::DOUBLE * (((((vec_id * 1103515245 + {12_345 * (k + 1)}) % 2147483648) * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE)"
 
 
 @query(f"SELECT vec_id, {_sql_random(0)} AS x, {_sql_random(1)} AS y, {_sql_random(2)} AS z FROM embeddings")
 def random_vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", *[_random(k, -1.0, 1.0).alias(n) for k, n in enumerate("xyz")])
+    return table(spark, sf_dir, "embeddings").select("vec_id", *seeded_vector(F.col("vec_id"), -1.0, 1.0).columns(""))
 
 
 def _geometry(spark, sf_dir) -> DataFrame:

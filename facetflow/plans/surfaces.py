@@ -41,7 +41,7 @@ def shared_vertices(spark, sf_dir):
 def uid_lookup(spark, sf_dir):
     t = height_field(spark, sf_dir).triangles.withColumn("uid", F.col("tid") * 10 + 7)
     wanted = t.where("tid % 11 = 4").select("uid")
-    return t.join(wanted, "uid", "left_semi").select("uid", "tid", "a", "b", "c")
+    return T.by_uid(t, wanted).select("uid", "tid", "a", "b", "c")
 
 
 @query(f"""WITH {SQL_HEIGHT}, m AS (SELECT max(vid) AS top FROM hv) SELECT '0' AS loop_id, 0::BIGINT AS tid, 4::BIGINT AS holes, true AS outside, CAST(2 * 19 + 2 * (top // 20) AS BIGINT) AS n FROM m""")
@@ -181,9 +181,8 @@ def polyline_text(spark, sf_dir):
 
 @query(f"WITH {SQL_HEIGHT} SELECT tid, '(' || a || ', ' || b || ', ' || c || ')' AS triangle, 'Edge' || ['AB', 'BC', 'CA'][CAST(tid % 3 AS INTEGER) + 1] AS edge FROM ht")
 def debug_text(spark, sf_dir):
-    names = F.array(*map(F.lit, ("AB", "BC", "CA")))
     t = height_field(spark, sf_dir).triangles
-    return t.select("tid", F.concat(F.lit("("), F.concat_ws(", ", *[F.col(n).cast("string") for n in "abc"]), F.lit(")")).alias("triangle"), F.concat(F.lit("Edge"), F.element_at(names, (F.col("tid") % 3 + 1).cast("int"))).alias("edge"))
+    return t.select("tid", off.tuple_text(*map(F.col, "abc")).alias("triangle"), off.slot_name(F.col("tid") % 3).alias("edge"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -10,7 +10,7 @@ import math
 import re
 import urllib.parse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -294,6 +294,20 @@ def write_off(mesh: MeshFrame, path: str, precision: int | None = 6, pieces: boo
     text.write.partitionBy("mesh_id").text(path)
 
 
+#: Names of a triangle's vertices and edges by slot.
+VERTEX_NAMES, EDGE_NAMES = ("VertexA", "VertexB", "VertexC"), ("EdgeAB", "EdgeBC", "EdgeCA")
+
+
+def tuple_text(*parts: Column, marks: str = "()") -> Column:
+    """``(a, b, c)`` for ids, or with ``marks`` "[]" and "," between for coordinates: how rows are shown in logs."""
+    between = ", " if marks == "()" else ","
+    return F.concat(F.lit(marks[0]), F.concat_ws(between, *[p.cast("string") for p in parts]), F.lit(marks[1]))
+
+
+def slot_name(slot: Column, names: tuple[str, ...] = EDGE_NAMES) -> Column:
+    return F.get(F.array(*map(F.lit, names)), slot.cast("int"))
+
+
 def polyline_text(points: DataFrame, key: str) -> DataFrame:
     """(key, pos, line): ``x y z`` of ordered points."""
     return points.select(key, "pos", F.concat_ws(" ", *[F.col(n).cast("string") for n in "xyz"]).alias("line"))

@@ -564,6 +564,9 @@ def test_batch(spark, tmp_path):
     assert {k: round(v, 3) for k, v in volume(results["union"]).items()} == {"a~b": 15.0, "b~a": 15.0}
     total = {r.operation: r.two_manifold for r in batch.rollup(rows).collect()}
     assert total == {None: 4, "union": 2, "difference": 2}
+    for r in rows.collect():
+        assert (r.status, r.left_vertices, r.right_vertices, r.left_triangles, r.right_triangles) == ("OK", 8, 8, 12, 12)
+        assert r.attempts >= 1 and r.seconds > 0 and r.num_triangles > 12
 
 
 def test_fraction_of_meet_is_exact():
