@@ -233,16 +233,21 @@ def _label(vertices: DataFrame, triangles: DataFrame, cut: DataFrame, original:
 def _inside(rays: DataFrame, grid: MeshFrame) -> DataFrame:
     """(patch, inside): the winding of the other operand about each point, by a ray along z.
 
-    Points and triangles meet in cells of the xy plane: a triangle is entered in the cells of its box, a point in one.
+    Points and triangles meet in cells of the xy plane, on levels: cells have the triangles' mean extent, doubled from level to level. A triangle is
+    entered on the level whose cells are as large as itself, in four cells at most, a point in one cell of each level that occurs.
     """
     t = Triangle.of()
     box = t.box()
     rows = T.materialize(_doubles(grid), ["label"]).withColumns({"lx": box.low.x, "hx": box.high.x, "ly": box.low.y, "hy": box.high.y, "hz": box.high.z})
-    size = rows.agg(F.avg(F.greatest(F.col("hx") - F.col("lx"), F.col("hy") - F.col("ly")))).first()[0] or 1.0
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
-    rows = rows.withColumn("gx", cells("lx", "hx")).withColumn("gy", cells("ly", "hy")).withColumnRenamed("label", "of")
-    points = rays.select("mesh_id", "label", "patch", *[F.col(n).alias(f"o{n}") for n in "xyz"]).withColumns({"gx": F.floor(F.col("ox") / size), "gy": F.floor(F.col("oy") / size)})
-    met = points.join(rows, ["mesh_id", "gx", "gy"]).where("label <> of AND ox BETWEEN lx AND hx AND oy BETWEEN ly AND hy AND hz >= oz")
+    extent = F.greatest(F.col("hx") - F.col("lx"), F.col("hy") - F.col("ly"))
+    size = rows.agg(F.avg(extent)).first()[0] or 1.0
+    rows = rows.withColumn("level", F.ceil(F.log2(F.greatest(extent / size, F.lit(1.0)))).cast("int"))
+    levels = sorted(r[0] for r in rows.select("level").distinct().collect())  # a few dozen numbers
+    cell = lambda of: F.floor(F.col(of) / (F.lit(size) * F.pow(F.lit(2.0), F.col("level"))))
+    rows = rows.withColumn("gx", F.explode(F.sequence(cell("lx"), cell("hx")))).withColumn("gy", F.explode(F.sequence(cell("ly"), cell("hy")))).withColumnRenamed("label", "of")
+    points = rays.select("mesh_id", "label", "patch", *[F.col(n).alias(f"o{n}") for n in "xyz"]).withColumn("level", F.explode(F.array(*map(F.lit, levels or [0]))))
+    points = points.withColumns({"gx": cell("ox"), "gy": cell("oy")})
+    met = points.join(rows, ["mesh_id", "level", "gx", "gy"]).where("label <> of AND ox BETWEEN lx AND hx AND oy BETWEEN ly AND hy AND hz >= oz")
     o = V3.of("o")
     flat = lambda p, q: (p.x - o.x) * (q.y - o.y) - (p.y - o.y) * (q.x - o.x)
     ab, bc, ca = flat(t.a, t.b), flat(t.b, t.c), flat(t.c, t.a)
