@@ -572,3 +572,18 @@ def test_batch(spark, tmp_path):
 def test_fraction_of_meet_is_exact():
     """The documented example in rational arithmetic."""
     assert Fraction(538, 145) == Fraction(2) + 4 * Fraction(62, 145)
+
+
+def test_inside_with_one_large_solid(spark):
+    """A box of 2^20 beside many small ones: its triangles are entered in few cells."""
+    solids = [box((-(2**19),) * 3, (2**19,) * 3)] + [box((2**21 + 3 * k, 0, 0), (2**21 + 3 * k + 1, 1, 1)) for k in range(40)]
+    vertices = [("m", 8 * k + i, *p) for k, (points, _) in enumerate(solids) for i, p in enumerate(points)]
+    triangles = [("m", 12 * k + j, *(8 * k + v for v in t), 1) for k, (_, faces) in enumerate(solids) for j, t in enumerate(faces)]
+    grid = MeshFrame(
+        spark.createDataFrame([(m, v, *map(int, p)) for m, v, *p in vertices], "mesh_id string, vid long, x long, y long, z long"),
+        spark.createDataFrame(triangles, "mesh_id string, tid long, a long, b long, c long, label int"),
+    )
+    spots = {1: (5.25, 7.5, 0.125), 2: (2.0**20 + 0.5, 0.25, 0.5), 3: (2.0**21 + 3.25, 0.5, 0.375), 4: (2.0**21 + 2.5, 0.5, 0.375)}
+    rays = spark.createDataFrame([("m", 0, patch, *p) for patch, p in spots.items()], "mesh_id string, label int, patch long, x double, y double, z double")
+    found = {r.patch: r.inside for r in boolean._inside(rays, grid).collect()}
+    assert {patch: found.get(patch, 0) for patch in spots} == {1: 1, 2: 0, 3: 1, 4: 0}
