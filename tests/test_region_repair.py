@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from facetflow.operators import loops, region_repair, repair, stats, surfaces, topology
+from facetflow.operators import loops, region_repair, repair, spatial, stats, surfaces, topology
 from facetflow.operators.spatial import grids, self_intersections
 from facetflow.operators.tables import write_table
 from tests.test_operators import box, mesh, sheet
@@ -166,3 +166,21 @@ def test_smoothing_all_loops_at_once(spark):
         # the same number goes as one after another
         assert len(loop) == len(loops.smooth(old, [tuple(t) for t in used]))
     assert loops.smooth_loops(found.limit(0), m.triangles).collect() == []
+
+
+def crossing_boxes(spark, n=14):
+    """Boxes each of which crosses all others: intersections grow with the square of their number."""
+    rng = random.Random(5)
+    bodies = [box([rng.uniform(-0.4, 0.4) for _ in range(3)], [rng.uniform(1, 1.4) for _ in range(3)]) for _ in range(n)]
+    points = [p for own, _ in bodies for p in own]
+    return mesh(spark, [("m", points, [tuple(8 * k + v for v in t) for k, (_, faces) in enumerate(bodies) for t in faces])])
+
+
+def test_candidates_are_not_shuffled(spark, monkeypatch):
+    """Boxes are dealt by cells, pairs stay where they are found; a crowded cell dealt over tasks gives the same pairs."""
+    m = crossing_boxes(spark)
+    whole = self_intersections(m)
+    assert "REPARTITION" not in whole._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(tuple, whole.collect()))
+    monkeypatch.setattr(spatial, "CROWDED", 50)
+    assert sorted(map(tuple, self_intersections(m).collect())) == rows and len(rows) > 14 * 30
