@@ -184,3 +184,14 @@ def test_candidates_are_not_shuffled(spark, monkeypatch):
     rows = sorted(map(tuple, whole.collect()))
     monkeypatch.setattr(spatial, "CROWDED", 50)
     assert sorted(map(tuple, self_intersections(m).collect())) == rows and len(rows) > 14 * 30
+
+
+@pytest.mark.parametrize("operator", ["distinct_self_intersections"])
+def test_intersections_are_reduced_before_they_are_written(spark, monkeypatch, operator):
+    """What is written first has a row an edge or a triangle, not one an intersection; the boxes are one place, and a region each."""
+    m, sizes = crossing_boxes(spark), []
+    write = repair.write_table
+    monkeypatch.setattr(repair, "write_table", lambda df, **o: (out := write(df, **o), sizes.append(out[0].count()))[0])
+    rows = getattr(repair, operator)(m).collect()
+    assert sizes[0] <= 14 * 30 < self_intersections(m).count()
+    assert len(rows) == (14 if operator.startswith("distinct") else 14 * 12)
