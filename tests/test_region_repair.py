@@ -186,7 +186,7 @@ def test_candidates_are_not_shuffled(spark, monkeypatch):
     assert sorted(map(tuple, self_intersections(m).collect())) == rows and len(rows) > 14 * 30
 
 
-@pytest.mark.parametrize("operator", ["distinct_self_intersections"])
+@pytest.mark.parametrize("operator", ["distinct_self_intersections", "self_intersecting_regions"])
 def test_intersections_are_reduced_before_they_are_written(spark, monkeypatch, operator):
     """What is written first has a row an edge or a triangle, not one an intersection; the boxes are one place, and a region each."""
     m, sizes = crossing_boxes(spark), []
