@@ -92,9 +92,13 @@ def box_self_join(spark, sf_dir):
     return _meeting_boxes(spark, sf_dir).select("a", "b")
 
 
-def _meeting_boxes(spark, sf_dir):
+def _extents(spark, sf_dir):
     v = boxes(spark, sf_dir).vertices.withColumn("body", F.expr("vid div 8"))
-    b = v.groupBy("mesh_id", "body").agg(*[f(n).alias(f"{side}_{n}") for side, f in (("min", F.min), ("max", F.max)) for n in "xyz"])
+    return v.groupBy("mesh_id", "body").agg(*[f(n).alias(f"{side}_{n}") for side, f in (("min", F.min), ("max", F.max)) for n in "xyz"])
+
+
+def _meeting_boxes(spark, sf_dir):
+    b = _extents(spark, sf_dir)
     left = b.select("mesh_id", F.col("body").alias("a"), *[F.col(c).alias(f"l_{c}") for c in spatial.BOX])
     right = b.select("mesh_id", F.col("body").alias("b"), *[F.col(c).alias(f"r_{c}") for c in spatial.BOX])
     return spatial.box_join(left, right, ["mesh_id"]).where("a < b").select("mesh_id", "a", "b")
@@ -375,7 +379,7 @@ g AS (SELECT p.mesh_id, p.vec_id AS a, q.vec_id AS b FROM bx AS p JOIN bx AS q O
 SELECT x.a AS t0, x.b AS t1, y.b AS t2 FROM g AS x JOIN g AS y ON y.mesh_id = x.mesh_id AND y.a = x.b JOIN g AS z ON z.mesh_id = x.mesh_id AND z.a = x.a AND z.b = y.b""")
 def tri_triples(spark, sf_dir):
     """Boxes that meet pairwise, each triple once."""
-    return spatial.meeting_triples(_meeting_boxes(spark, sf_dir)).select("t0", "t1", "t2")
+    return spatial.box_triples(_extents(spark, sf_dir).withColumnRenamed("body", "id"), ["mesh_id"]).select("t0", "t1", "t2")
 
 
 @query(f"""{_WB}, s AS (SELECT mesh_id, vec_id AS body, bt.* EXCLUDE (mesh_id) FROM bt JOIN be USING (mesh_id) WHERE tid // 12 = vec_id), c AS (SELECT tid, unnest([a, b, c]) AS v FROM s),

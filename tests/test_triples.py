@@ -119,3 +119,23 @@ def test_no_python_worker(tested):
 def test_unknown_test(tested, spark):
     with pytest.raises(ValueError, match="none of"):
         triple_points(spark.range(1), NAMES, "other")
+
+
+def test_triples_of_boxes_by_cells(spark):
+    """Against all triples, with boxes of many sizes, of no extent and twice in one place; only boxes are shuffled, by cells."""
+    import re
+    from itertools import combinations
+
+    from facetflow.operators.spatial import BOX, box_triples
+
+    rng, boxes = random.Random(8), []
+    for k in range(70):
+        low, size = [rng.randint(-4, 4) for _ in range(3)], rng.choice([0, 1, 3, 5, 14])
+        boxes.append(("ab"[k % 2], k, *map(float, low), *[float(c + rng.randint(0, size)) for c in low]))
+    boxes.append(("a", 70, *boxes[0][2:]))
+    meet = lambda p, q: p[0] == q[0] and all(p[2 + j] <= q[5 + j] and q[2 + j] <= p[5 + j] for j in range(3))
+    want = sorted((p[0], p[1], q[1], r[1]) for p, q, r in combinations(boxes, 3) if meet(p, q) and meet(q, r) and meet(p, r))
+    got = box_triples(spark.createDataFrame(boxes, ["mesh_id", "id", *BOX]), ["mesh_id"])
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 50
+    dealt = re.findall(r"hashpartitioning\((.*?)\)", got._jdf.queryExecution().executedPlan().toString())
+    assert dealt and all("cell_x" in keys for keys in dealt)
