@@ -587,3 +587,12 @@ def test_inside_with_one_large_solid(spark):
     rays = spark.createDataFrame([("m", 0, patch, *p) for patch, p in spots.items()], "mesh_id string, label int, patch long, x double, y double, z double")
     found = {r.patch: r.inside for r in boolean._inside(rays, grid).collect()}
     assert {patch: found.get(patch, 0) for patch in spots} == {1: 1, 2: 0, 3: 1, 4: 0}
+
+
+def test_components_are_not_broadcast(spark):
+    """A row a node: joined by shuffle, however small the files are."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40) if k % 8], "a long, b long")
+    found = graph.components(edges)
+    assert {r.node: r.component for r in found.collect()} == {k: max(1, (k - 1) // 8 * 8 + 1) for k in range(1, 41)}
+    plan = spark.range(50).withColumnRenamed("id", "node").join(found, "node")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
