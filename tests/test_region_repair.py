@@ -195,3 +195,43 @@ def test_intersections_are_reduced_before_they_are_written(spark, monkeypatch, o
     rows = getattr(repair, operator)(m).collect()
     assert sizes[0] <= 14 * 30 < self_intersections(m).count()
     assert len(rows) == (14 if operator.startswith("distinct") else 14 * 12)
+
+
+def test_removals_of_equal_triangles_are_judged_once(spark, monkeypatch):
+    """Edges that pierce share vertices: what is removed at a vertex is judged once, with what each patch's own trial says."""
+    m = mesh(spark, [("a", *folded()), ("b", *folded(10))])
+    judged, judge = [], repair.judge_removals
+    monkeypatch.setattr(repair, "judge_removals", lambda *a, **k: judged.append((a[1], judge(*a, **k))) or judged[-1][1])
+    fixed, counts = repair.remove_self_intersections(m)
+    assert counts.after == 0 < counts.before
+    removals, (status, _) = judged[0]
+    regions = [tuple(sorted(r.tids)) for r in removals.groupBy("mesh_id", "region").agg(F.collect_list("tid").alias("tids")).collect()]
+    assert len(regions) == len(set(regions)) < counts.before * repair.REMOVALS
+    # each trial as a mesh of its own, all of its triangles against each other
+    grid = repair.Quantizer(exponent=6)
+    plain, patches = judge(m, removals)
+    said = {r.region: r.status for r in judge(m, removals, quantizer=grid)[0].collect()}
+    around = repair._around(repair.G.triangle_vertices(m.triangles), removals, 3)
+    around = around.join(removals, ["mesh_id", "region", "tid"], "left_anti").join(m.triangles, ["mesh_id", "tid"]).select("region", "tid", "a", "b", "c")
+    trial = around.union(patches.select("region", -1 - F.col("piece"), "a", "b", "c")).select(F.col("region").cast("string").alias("mesh_id"), F.col("tid").cast("long").alias("tid"), "a", "b", "c")
+    trial, _ = write_table(trial)
+    used = trial.select("mesh_id", F.explode(F.array("a", "b", "c")).alias("vid")).distinct().join(m.vertices.drop("mesh_id"), "vid").select("mesh_id", "vid", "x", "y", "z")
+    crossed = {int(r.mesh_id) for r in self_intersections(type(m)(used, trial), grid).select("mesh_id").distinct().collect()}
+    want = {r.region: "SELF_INTERSECTING_PATCH" if r.status == "ok" and r.region in crossed else r.status for r in plain.collect()}
+    assert said == want and {"ok", "SELF_INTERSECTING_PATCH"} <= set(want.values())
+
+
+def test_boxes_are_paired_on_their_own_levels(spark, monkeypatch):
+    """One huge box among small ones: small ones don't meet each other again in its cells."""
+    draw = random.Random(3)
+    small = [[draw.uniform(0, 60) for _ in range(3)] for _ in range(1500)]
+    rows = [(k, *p, *(x + 1 for x in p)) for k, p in enumerate(small)] + [(1500, 0.0, 0.0, 0.0, 64.0, 64.0, 64.0)]
+    frame = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in spatial.BOX))
+    side = lambda p: frame.select(F.lit("m").alias("mesh_id"), F.col("id").alias(p + "id"), *[F.col(c).alias(p + c) for c in spatial.BOX])
+    seen, dealt = [], spatial._dealt
+    monkeypatch.setattr(spatial, "_dealt", lambda left, right, same: seen.append((left, right, same)) or dealt(left, right, same))
+    got = sorted((r.l_id, r.r_id) for r in spatial.box_join(side("l_"), side("r_"), ["mesh_id"]).collect())
+    meets = lambda a, b: all(a[1 + k] <= b[4 + k] and b[1 + k] <= a[4 + k] for k in range(3))
+    assert got == [(a[0], b[0]) for a in rows for b in rows if meets(a, b)]
+    left, right, same = seen[0]
+    assert left.select(*same).join(right.select(*same), same).count() < 200_000  # 1501 squared and more, if the huge box's cells pair all
