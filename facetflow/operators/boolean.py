@@ -220,8 +220,8 @@ def _label(vertices: DataFrame, triangles: DataFrame, cut: DataFrame, original:
     # patches: triangles of an operand that share an edge which is no cut
     e = T.edges(triangles, keep=["label"]).join(cut, ["mesh_id", "v0", "v1"], "left_anti")
     first = e.groupBy("mesh_id", "label", "v0", "v1").agg(F.min("tid").alias("low"))
-    links = e.join(first, ["mesh_id", "label", "v0", "v1"]).select(F.col("tid").alias("a"), F.col("low").alias("b"))
-    patch, _ = write_table(labelled_components(triangles.select(F.col("tid").alias("node")), links).toDF("tid", "patch"))
+    links = e.join(first, ["mesh_id", "label", "v0", "v1"]).select("mesh_id", F.col("tid").alias("a"), F.col("low").alias("b"))
+    patch, _ = write_table(labelled_components(triangles.select(F.col("tid").alias("node")), links, ["mesh_id"]).toDF("tid", "patch"))
     geometry = T.materialize(mesh, ["label"]).join(patch, "tid")
     t = Triangle.of()
     rays = geometry.groupBy("mesh_id", "label", "patch").agg(F.max_by(F.struct(*t.centroid().columns("")), F.struct(t.double_area(), -F.col("tid"))).alias("o"))

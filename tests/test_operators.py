@@ -596,3 +596,30 @@ def test_components_are_not_broadcast(spark):
     assert {r.node: r.component for r in found.collect()} == {k: max(1, (k - 1) // 8 * 8 + 1) for k in range(1, 41)}
     plan = spark.range(50).withColumnRenamed("id", "node").join(found, "node")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_edges_of_meshes_are_contracted_before_the_steps(spark, monkeypatch):
+    """Paths of many meshes are stars before the first step; one that is dealt over several tasks is found by the steps."""
+    edges = [(f"m{m}", 1000 * m + k, 1000 * m + k + 1) for m in range(9) for k in range(99)]
+    edges = spark.createDataFrame(edges, "mesh_id string, a long, b long")
+    want = {1000 * m + k: 1000 * m for m in range(9) for k in range(100)}
+    steps, stars = [], graph._are_stars
+    monkeypatch.setattr(graph, "_are_stars", lambda e: steps.append(1) or stars(e))
+    assert dict(map(tuple, graph.components(edges, within=["mesh_id"]).collect())) == want and len(steps) == 1
+    monkeypatch.setattr(graph, "CHUNK", 40)
+    assert dict(map(tuple, graph.components(edges, within=["mesh_id"]).collect())) == want
+
+
+def test_small_meshes_are_joined_without_cells(spark, monkeypatch):
+    """Boxes of meshes of few pairs meet by their key alone; a large mesh beside them by cells, with the same pairs."""
+    from facetflow.operators import spatial
+
+    draw = random.Random(5)
+    rows = [(m, k, *p, *(x + 1 for x in p)) for m, n in (("s", 20), ("t", 30), ("large", 100)) for k in range(n) for p in [[draw.uniform(0, 6) for _ in range(3)]]]
+    frame = spark.createDataFrame(rows, "mesh_id string, id long, " + ", ".join(f"{c} double" for c in spatial.BOX))
+    side = lambda p, of: of.select("mesh_id", F.col("id").alias(p + "id"), *[F.col(c).alias(p + c) for c in spatial.BOX])
+    pairs = lambda of: sorted(map(tuple, spatial.box_join(side("l_", of), side("r_", of), ["mesh_id"]).select("mesh_id", "l_id", "r_id").collect()))
+    want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and all(a[2 + k] <= b[5 + k] and b[2 + k] <= a[5 + k] for k in range(3)))
+    assert pairs(frame) == want
+    monkeypatch.setattr(spatial, "_cell_join", None)
+    assert pairs(frame.where("mesh_id <> 'large'")) == [r for r in want if r[0] != "large"]
