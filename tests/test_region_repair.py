@@ -235,3 +235,38 @@ def test_boxes_are_paired_on_their_own_levels(spark, monkeypatch):
     assert got == [(a[0], b[0]) for a in rows for b in rows if meets(a, b)]
     left, right, same = seen[0]
     assert left.select(*same).join(right.select(*same), same).count() < 200_000  # 1501 squared and more, if the huge box's cells pair all
+
+
+def test_rings_read_only_fronts(spark, monkeypatch):
+    """Rings as walked triangle by triangle; no round reads the rounds before it, nor the mesh."""
+    m = mesh(spark, [("a", *sheet(12)), ("b", *sheet(5)), ("z", *HUGE)])
+    of = {(r.mesh_id, r.tid): {r.a, r.b, r.c} for r in m.triangles.collect()}
+    some = {k: sorted(t for mesh_id, t in of if mesh_id == k) for k in "abz"}
+    seeds = [("a", 1, some["a"][100]), ("a", 1, some["a"][101]), ("a", 2, some["a"][0]), ("b", 1, some["b"][3]), ("b", 1, some["b"][3]), ("z", 3, some["z"][0])]
+    leaves, write = [], region_repair.write_table
+    monkeypatch.setattr(region_repair, "write_table", lambda df: leaves.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size()) or write(df))
+    corners = region_repair.G.triangle_vertices(m.triangles)
+    for layers in (0, 1, 7):
+        got = sorted(map(tuple, region_repair.rings(corners, spark.createDataFrame(seeds, "mesh_id string, region long, tid long"), layers).collect()))
+        want = {(k, region, t): 0 for k, region, t in seeds}
+        for layer in range(1, layers + 1):
+            near = {(k, region, v) for k, region, t in want for v in of[k, t]}
+            want |= {(k, region, t): layer for k, region in {x[:2] for x in want} for t in some[k] if (k, region, t) not in want and any((k, region, v) in near for v in of[k, t])}
+        assert got == sorted((*x, layer) for x, layer in want.items())
+    assert max(leaves) <= 5
+
+
+def test_meshes_of_some_hundred_triangles_need_no_cells(spark, monkeypatch):
+    """They are joined by mesh; cells, and crowded cells dealt over tasks, give the same pairs."""
+    for m in (mesh(spark, [("a", *folded()), ("b", *folded(12))]), crossing_boxes(spark)):
+        entered, cells = [], spatial._cell_join
+        with monkeypatch.context() as patch:
+            patch.setattr(spatial, "_cell_join", lambda *a: entered.append(a) or cells(*a))
+            rows = sorted(map(tuple, self_intersections(m).collect()))
+            assert rows and not entered
+            for few in (100_000, 0):  # the larger sheet by cells and the smaller by mesh, then both by cells
+                patch.setattr(spatial, "FEW", few)
+                assert sorted(map(tuple, self_intersections(m).collect())) == rows
+            assert entered
+            patch.setattr(spatial, "CROWDED", 50)
+            assert sorted(map(tuple, self_intersections(m).collect())) == rows
