@@ -270,3 +270,12 @@ def test_meshes_of_some_hundred_triangles_need_no_cells(spark, monkeypatch):
             assert entered
             patch.setattr(spatial, "CROWDED", 50)
             assert sorted(map(tuple, self_intersections(m).collect())) == rows
+
+
+def test_surfaces_to_repair_are_read_once(spark):
+    """What vertices are made of is computed for their grid's exponent and for the table that all steps read, not in each step."""
+    m = mesh(spark, [("folded", *folded())])
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda z: (read.add(1), z)[1], "double")
+    _, status = region_repair.repair_surfaces(type(m)(m.vertices.withColumn("z", seen("z")), m.triangles))
+    assert status.first().status == "ok" and read.value <= 3 * m.vertices.count()
