@@ -139,3 +139,24 @@ def test_triples_of_boxes_by_cells(spark):
     assert sorted(map(tuple, got.collect())) == want and len(want) > 50
     dealt = re.findall(r"hashpartitioning\((.*?)\)", got._jdf.queryExecution().executedPlan().toString())
     assert dealt and all("cell_x" in keys for keys in dealt)
+
+
+def test_triples_of_one_cell_by_many_tasks(spark, monkeypatch):
+    """Boxes of one cell: first boxes are dealt, and no join compares pairs with all boxes."""
+    import random
+
+    from facetflow.operators import spatial
+
+    monkeypatch.setattr(spatial, "CROWDED_TRIPLES", 1 << 16, raising=False)
+    r = random.Random(5)
+    low = [tuple(r.randrange(16) for _ in range(3)) for _ in range(90)]
+    boxes = [("m", k, *map(float, p), *(float(c + 8 + k % 3) for c in p)) for k, p in enumerate(low)]
+    boxes += [("m", 7, *boxes[8][2:]), ("n", 1, *boxes[1][2:]), ("n", 2, *boxes[2][2:])]  # a repeated id, another mesh
+    meets = lambda p, q: p[0] == q[0] and all(p[2 + n] <= q[5 + n] and q[2 + n] <= p[5 + n] for n in range(3))
+    by_id = sorted(boxes, key=lambda b: b[1])
+    pairs = {(i, j) for i, p in enumerate(by_id) for j, q in enumerate(by_id) if p[1] < q[1] and meets(p, q)}
+    want = sorted((by_id[i][0], by_id[i][1], by_id[j][1], by_id[k][1]) for i, j in pairs for k in range(len(by_id)) if (j, k) in pairs and (i, k) in pairs)
+    got = spatial.box_triples(spark.createDataFrame(boxes, ["mesh_id", "id", *spatial.BOX]), ["mesh_id"])
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 1000
+    assert len({x[0] for x in got.selectExpr("spark_partition_id()").distinct().collect()}) == 4
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
